@@ -1,8 +1,10 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word's bytes are an array of one-byte pieces. A fold joins, step by step, the leftmost pair of least
-rank, which is looked up in a literal rank map: an array of small maps, one for each value of a hash,
-held in the plan as a value. The fold ends where no pair has a rank.
+A word's bytes are an array of one-byte pieces, each written as its id. A fold joins, step by step, the
+leftmost pair of least rank. Ranks of pairs are looked up in a literal rank map: an array of small maps,
+one for each value of a hash, held in the plan as a value. A piece's rank is its id, so the map holds
+every two pieces that join to a piece of the vocabulary, and a step needs two look-ups, for the pairs
+left and right of the join. The fold ends where no pair has a rank.
 
 Words are split from the text by the tokenizer's pattern. The most frequent FREQUENT_WORDS distinct
 words of the whole corpus are folded once each and then looked up, again in a literal map; every other
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FREQUENT_WORDS = 1 << 16
-BUCKETS = 1 << 15
+FREQUENT_WORDS = 1 << 19
+BUCKETS = 1 << 17
 #: Bytes up to which a word is folded by higher-order functions.
 LONG_WORD = 96
 
@@ -75,48 +77,64 @@ def find(maps: Column, key: Column) -> Column:
 
 
 class Tokenizer:
-    """Literal maps of one vocabulary in one session. A piece is written in hex, two digits a byte, so
-    that joining two pieces joins their bytes and a map key is a plain string."""
+    """Literal maps of one vocabulary in one session."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, java_pattern(pattern)
-        rows = spark.createDataFrame([(k.hex().upper(), v) for k, v in ranks.items()], "piece string, rank int")
-        self.rank_map = literal_map(spark, "bpe_ranks", rows, "piece", "rank")
-        pieces = [bytearray()] * (max(ranks.values(), default=-1) + 1)
+        self.base = max(ranks.values(), default=-1) + 1
+        pieces = [bytearray()] * self.base
+        pairs = []
         for k, v in ranks.items():
             pieces[v] = bytearray(k)
+            pairs += [(a * self.base + b, v) for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None]
+        rows = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "rank"], dtype="int64"), "pair long, rank int")
+        self.rank_map = literal_map(spark, "bpe_ranks", rows, "pair", "rank")
         self.pieces = literal(spark, "bpe_pieces", spark.createDataFrame([(pieces,)], "pieces array<binary>"))
+        self.bytes = literal(spark, "bpe_bytes", spark.createDataFrame([([ranks.get(bytes([i])) for i in range(256)],)], "bytes array<int>"))
+        # A word that is a piece as a whole is that piece, even if merges alone would not make it.
+        self.whole = [(k.decode(), [v]) for k, v in ranks.items() if len(k) > 1 and heap_fold(k, ranks, whole=False) != [v] and k.decode("utf-8", "ignore").encode() == k]
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
         """The word's ids by ranked merges."""
-        raw, n = F.hex(word.cast("binary")), F.octet_length(word)
-        bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, 2 * i - 1, F.lit(2)))
+        n = F.octet_length(word)
+        single = F.decode(word.cast("binary"), "ISO-8859-1")  # a character for each byte
+        ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.bytes, F.ascii(F.substring(single, i, F.lit(1)))))
+        none = F.array().cast("array<int>")
+
+        def pair(a: Column, b: Column) -> Column:
+            return find(self.rank_map, a.cast("long") * self.base + b)
 
-        def step(pieces: Column, _: Column) -> Column:
-            size = F.size(pieces)
-            ranks = F.zip_with(F.slice(pieces, F.lit(1), size - 1), F.slice(pieces, F.lit(2), size - 1), lambda a, b: find(self.rank_map, F.concat(a, b)))
+        def bind(value: Column, use) -> Column:
+            """`use(value)` with the value computed once."""
+            return F.element_at(F.transform(F.array(value), use), 1)
 
-            def merge(r: Column) -> Column:
-                at = F.array_position(r, F.array_min(r)).cast("int")
-                joined = F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))
-                return F.when(F.array_min(r).isNull(), pieces).otherwise(F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, F.greatest(size - at - 1, F.lit(0)))))
+        def merged(acc: Column, least: Column, at: Column) -> Column:
+            ids, ranks, size = acc["ids"], acc["ranks"], F.size(acc["ids"])
+            left = F.when(at > 1, F.array(pair(F.get(ids, at - 2), least))).otherwise(none)
+            right = F.when(at + 1 < size, F.array(pair(least, F.get(ids, at + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, size)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, size)).alias("ranks"),
+            )
 
-            # A value of its own for the ranks, so that they are looked up once a step.
-            return F.when(size < 2, pieces).otherwise(F.element_at(F.transform(F.array(ranks), merge), 1))
+        def step(acc: Column, _: Column) -> Column:
+            return bind(F.array_min(acc["ranks"]), lambda least: F.when(least.isNull(), acc).otherwise(bind(F.array_position(acc["ranks"], least).cast("int"), lambda at: merged(acc, least, at))))
 
-        merged = F.aggregate(F.sequence(F.lit(1), n - 1), bytes_, step)
-        whole = find(self.rank_map, raw)
-        ids = F.transform(F.when(n > 1, merged).otherwise(bytes_), lambda p: find(self.rank_map, p))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+        def start(ids: Column) -> Column:
+            return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), pair).alias("ranks"))
+
+        return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), bind(ids, start), step, lambda acc: acc["ids"]))
 
     def frequent(self, docs: DataFrame, text_col: str) -> Column:
         """The most frequent distinct words of all texts and their ids, a value of bounded size."""
         words = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.octet_length("w") <= LONG_WORD)
         most = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select("w").repartition(32)
-        return literal_map(self.spark, "bpe_frequent", most.select("w", self.fold(F.col("w")).alias("ids")), "w", "ids")
+        whole = self.spark.createDataFrame(self.whole, "w string, ids array<int>")
+        folded = most.join(F.broadcast(whole), "w", "left_anti").select("w", self.fold(F.col("w")).alias("ids"))
+        return literal_map(self.spark, "bpe_frequent", folded.unionByName(whole), "w", "ids")
 
     def encode(self, docs: DataFrame, *, text_col: str = "text", out: str = "ids") -> DataFrame:
         """All columns and the ids of each text."""
@@ -127,19 +145,15 @@ class Tokenizer:
         def long_ids(words: pd.Series) -> pd.Series:
             return words.map(lambda ws: [heap_fold(w.encode(), ranks) for w in ws])
 
-        words = self.words(F.col(text_col))
-        frame = docs.withColumn("__w", words)
         short = lambda w: F.coalesce(find(known, w), self.fold(w))
-        none = F.array().cast("array<int>")
-        has_long = F.exists("__w", lambda w: F.octet_length(w) > LONG_WORD)
-        plain = frame.where(~has_long).select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(F.transform("__w", short)).alias(out))
-        mixed = frame.where(has_long).withColumn("__l", long_ids(F.filter("__w", lambda w: F.octet_length(w) > LONG_WORD)))
+        is_long = lambda w: F.octet_length(w) > LONG_WORD
+        frame = docs.withColumn("__w", self.words(F.col(text_col)))
+        frame = frame.withColumn("__l", long_ids(F.filter("__w", is_long)))
         # Ids of long words are taken in their order: the number of long words so far is the index.
-        index = F.aggregate("__w", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + (F.octet_length(w) > LONG_WORD).cast("int"))))
-        mixed = mixed.withColumn("__i", F.slice(index, F.lit(2), F.size("__w")))
-        own = F.zip_with("__w", "__i", lambda w, i: F.when(F.octet_length(w) > LONG_WORD, F.get(F.col("__l"), i - 1)).otherwise(F.when(F.octet_length(w) <= LONG_WORD, short(w)).otherwise(none)))
-        mixed = mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(own).alias(out))
-        return plain.unionByName(mixed)
+        index = F.aggregate("__w", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + is_long(w).cast("int"))))
+        mixed = F.zip_with("__w", F.slice(index, F.lit(2), F.size("__w")), lambda w, i: F.when(is_long(w), F.get(F.col("__l"), i - 1)).otherwise(short(w)))
+        ids = F.when(F.size("__l") == 0, F.transform("__w", short)).otherwise(mixed)
+        return frame.select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(ids).alias(out))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids. A cast from binary to string keeps every byte, and so does the join."""
@@ -147,10 +161,10 @@ class Tokenizer:
         return F.array_join(pieces, "").cast("binary")
 
 
-def heap_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def heap_fold(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
     """The same merges in n log n: a heap of pairs over a linked list of pieces."""
     n = len(word)
-    if word in ranks:
+    if whole and word in ranks:
         return [ranks[word]]
     start, end = list(range(n)), list(range(1, n + 1))
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
