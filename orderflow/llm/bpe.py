@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FREQUENT_WORDS = 1 << 19
+FREQUENT_WORDS = 1 << 18
 BUCKETS = 1 << 17
 #: Bytes up to which a word is folded by higher-order functions.
 LONG_WORD = 96
@@ -52,11 +52,10 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def literal_map(spark: SparkSession, name: str, rows: DataFrame, key: str, value: str) -> Column:
-    """The rows (key, value) as one value in the plan: an array of BUCKETS maps, placed by the key's
-    hash. A session variable holds it; the optimizer puts its value into each expression."""
-    place = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    maps = rows.groupBy(place.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+def literal_map(spark: SparkSession, name: str, rows: DataFrame, key: str, value: str, place: Column) -> Column:
+    """The rows (key, value) as one value in the plan: an array of BUCKETS maps, the place's last bits
+    being the index. A session variable holds it; the optimizer puts its value into each expression."""
+    maps = rows.groupBy(place.bitwiseAND(BUCKETS - 1).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
     entries = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
     whole = entries.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda e: e["m"]).alias("maps"))
     return literal(spark, name, whole)
@@ -72,8 +71,13 @@ def literal(spark: SparkSession, name: str, one: DataFrame) -> Column:
     return F.expr(f"session.{name}")
 
 
-def find(maps: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key)
+def find(maps: Column, key: Column, place: Column) -> Column:
+    return F.try_element_at(F.get(maps, place.bitwiseAND(BUCKETS - 1)), key)
+
+
+def pair_place(a: Column, b: Column) -> Column:
+    """Ids stay far below 2^19, so the product stays an int."""
+    return a * 4001 + b
 
 
 class Tokenizer:
@@ -86,10 +90,12 @@ class Tokenizer:
         pairs = []
         for k, v in ranks.items():
             pieces[v] = bytearray(k)
-            pairs += [(a * self.base + b, v) for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None]
-        rows = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "rank"], dtype="int64"), "pair long, rank int")
-        self.rank_map = literal_map(spark, "bpe_ranks", rows, "pair", "rank")
-        self.pieces = literal(spark, "bpe_pieces", spark.createDataFrame([(pieces,)], "pieces array<binary>"))
+            pairs += [(a, b, v) for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None]
+        rows = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b", "rank"], dtype="int32"), "a int, b int, rank int")
+        del pairs
+        self.rank_map = literal_map(spark, "bpe_ranks", rows.withColumn("pair", F.col("a").cast("long") * self.base + F.col("b")), "pair", "rank", pair_place(F.col("a"), F.col("b")))
+        # As strings that hold any bytes: a cast from binary changes none of them.
+        self.pieces = literal(spark, "bpe_pieces", spark.createDataFrame([(pieces,)], "pieces array<binary>").select(F.transform("pieces", lambda p: p.cast("string")).alias("pieces")))
         self.bytes = literal(spark, "bpe_bytes", spark.createDataFrame([([ranks.get(bytes([i])) for i in range(256)],)], "bytes array<int>"))
         # A word that is a piece as a whole is that piece, even if merges alone would not make it.
         self.whole = [(k.decode(), [v]) for k, v in ranks.items() if len(k) > 1 and heap_fold(k, ranks, whole=False) != [v] and k.decode("utf-8", "ignore").encode() == k]
@@ -105,7 +111,7 @@ class Tokenizer:
         none = F.array().cast("array<int>")
 
         def pair(a: Column, b: Column) -> Column:
-            return find(self.rank_map, a.cast("long") * self.base + b)
+            return find(self.rank_map, a.cast("long") * self.base + b, pair_place(a, b))
 
         def bind(value: Column, use) -> Column:
             """`use(value)` with the value computed once."""
@@ -134,7 +140,7 @@ class Tokenizer:
         most = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select("w").repartition(32)
         whole = self.spark.createDataFrame(self.whole, "w string, ids array<int>")
         folded = most.join(F.broadcast(whole), "w", "left_anti").select("w", self.fold(F.col("w")).alias("ids"))
-        return literal_map(self.spark, "bpe_frequent", folded.unionByName(whole), "w", "ids")
+        return literal_map(self.spark, "bpe_frequent", folded.unionByName(whole), "w", "ids", F.hash("w"))
 
     def encode(self, docs: DataFrame, *, text_col: str = "text", out: str = "ids") -> DataFrame:
         """All columns and the ids of each text."""
@@ -145,7 +151,7 @@ class Tokenizer:
         def long_ids(words: pd.Series) -> pd.Series:
             return words.map(lambda ws: [heap_fold(w.encode(), ranks) for w in ws])
 
-        short = lambda w: F.coalesce(find(known, w), self.fold(w))
+        short = lambda w: F.coalesce(find(known, w, F.hash(w)), self.fold(w))
         is_long = lambda w: F.octet_length(w) > LONG_WORD
         frame = docs.withColumn("__w", self.words(F.col(text_col)))
         frame = frame.withColumn("__l", long_ids(F.filter("__w", is_long)))
@@ -156,8 +162,8 @@ class Tokenizer:
         return frame.select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(ids).alias(out))
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the ids. A cast from binary to string keeps every byte, and so does the join."""
-        pieces = F.transform(ids, lambda i: F.get(self.pieces, i).cast("string"))
+        """The bytes of the ids. Joining strings keeps every byte."""
+        pieces = F.transform(ids, lambda i: F.get(self.pieces, i))
         return F.array_join(pieces, "").cast("binary")
 
 
@@ -207,6 +213,6 @@ def report(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
