@@ -17,6 +17,9 @@ empty table gives an empty one; other columns stay untouched.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,11 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, held:
     rows, sizes = sample(docs, labels, "quality", per_class=per_class, held=held, id_col=id_col, text_col=text_col)
     if set(sizes) != {0, 1}:
         return None
-    got = sorted(rows.select("id", "y", as_bytes("text").alias("t")).collect())
-    y = np.array([r.y for r in got])
-    if len(set(y.tolist())) < 2:
-        return None
-    return Machine([bytes(r.t) for r in got], y, class_weights(y, sizes))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, y, t) for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        y = np.array([y for _, y, _ in got])
+        if len(set(y.tolist())) == 2:
+            model = Machine([t for *_, t in got], y, class_weights(y, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task holds it; the driver gets the fitted weights alone.
+    made = rows.select("id", "y", as_bytes("text").alias("t")).repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def score(docs: DataFrame, model: Machine | None, *, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
