@@ -38,7 +38,13 @@ LONG_WORD = 96
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+#: Alternatives of the tokenizer's pattern. No text matches both groups at one place, so the runs, which
+#: most words are, may be tried first.
+_CONTRACTIONS, _RUNS = "'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+| ?\p{N}+|"
+
+
 def java_pattern(pattern: str) -> str:
+    pattern = pattern.replace(_CONTRACTIONS + _RUNS, _RUNS + _CONTRACTIONS)
     return pattern.replace(r"[^\s\p", rf"[^{_SPACE}\p").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
 
@@ -85,7 +91,7 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, java_pattern(pattern)
-        self.base = max(ranks.values(), default=-1) + 1
+        self.base = max(ranks.values(), default=-1) + 2
         pieces = [bytearray()] * self.base
         pairs = []
         for k, v in ranks.items():
@@ -104,35 +110,43 @@ class Tokenizer:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """The word's ids by ranked merges."""
+        """The word's ids by ranked merges.
+
+        The id `base - 1`, which no piece has, stands at both ends, so every join has two neighbours."""
         n = F.octet_length(word)
         single = F.decode(word.cast("binary"), "ISO-8859-1")  # a character for each byte
-        ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.bytes, F.ascii(F.substring(single, i, F.lit(1)))))
-        none = F.array().cast("array<int>")
+        ids = F.transform(F.split(single, ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        end, no_rank = F.array(F.lit(self.base - 1)), F.array(F.lit(None).cast("int"))
+
+        def joined(*arrays: Column) -> Column:
+            return F.flatten(F.array(*arrays))
 
         def pair(a: Column, b: Column) -> Column:
             return find(self.rank_map, a.cast("long") * self.base + b, pair_place(a, b))
 
-        def bind(value: Column, use) -> Column:
-            """`use(value)` with the value computed once."""
-            return F.element_at(F.transform(F.array(value), use), 1)
+        def bind(acc: Column, value: Column, use) -> Column:
+            """`use(acc, value)` with the value computed once; unlike a transform, this copies no state."""
+            return F.aggregate(F.array(value), acc, use)
 
-        def merged(acc: Column, least: Column, at: Column) -> Column:
-            ids, ranks, size = acc["ids"], acc["ranks"], F.size(acc["ids"])
-            left = F.when(at > 1, F.array(pair(F.get(ids, at - 2), least))).otherwise(none)
-            right = F.when(at + 1 < size, F.array(pair(least, F.get(ids, at + 1)))).otherwise(none)
+        def merged(acc: Column, at: Column) -> Column:
+            ids, ranks = acc["ids"], acc["ranks"]
+            least = F.get(ranks, at - 1)
+            left, right = pair(F.get(ids, at - 2), least), pair(least, F.get(ids, at + 1))
             return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, size)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, size)).alias("ranks"),
+                joined(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.lit(LONG_WORD))).alias("ids"),
+                joined(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, F.lit(LONG_WORD))).alias("ranks"),
             )
 
         def step(acc: Column, _: Column) -> Column:
-            return bind(F.array_min(acc["ranks"]), lambda least: F.when(least.isNull(), acc).otherwise(bind(F.array_position(acc["ranks"], least).cast("int"), lambda at: merged(acc, least, at))))
+            place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
+            return bind(acc, place, lambda acc, at: F.when(at.isNull(), acc).otherwise(merged(acc, at)))
 
         def start(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), pair).alias("ranks"))
+            ranks = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), pair)
+            return F.struct(joined(end, ids, end).alias("ids"), joined(no_rank, ranks, no_rank).alias("ranks"))
 
-        return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), bind(ids, start), step, lambda acc: acc["ids"]))
+        begin = F.element_at(F.transform(F.array(ids), start), 1)
+        return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), begin, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2)))
 
     def frequent(self, docs: DataFrame, text_col: str) -> Column:
         """The most frequent distinct words of all texts and their ids, a value of bounded size."""
