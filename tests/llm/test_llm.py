@@ -130,6 +130,23 @@ def test_html(spark):
     assert got[12][0] in ("text 2", "text 2\nSubscribe now")
 
 
+def texts_of(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_html_branches_keep_what_differs(spark):
+    wraps = ["<html><body><div id=page><article><p>own %d</article></div>", "<html><body><div id=page><div class=content><p>own %d</p></div></div>"]
+    pages = [(f"http://w{k}/{i}", w % i) for k, w in enumerate(wraps) for i in range(5)]
+    assert texts_of(spark, pages) == [f"own {i}" for _ in wraps for i in range(5)]
+    same = "<body><div><p>%s</p></div><article><h1>%s</h1><p>%s</p></article>"
+    hosts = [("http://c/%d" % i, same % ("x", "copy", "text") if i < 90 else same % (i, f"t {i}", f"own {i}")) for i in range(100)]
+    plain = [("http://d/%d" % i, "<html><body><div class=a><p>%s</p></div><div class=b>Read on</div>" % (i if i > 90 else "copy")) for i in range(100)]
+    assert texts_of(spark, hosts) == ["copy\ntext"] * 90 + [f"t {i}\nown {i}" for i in range(90, 100)]
+    assert texts_of(spark, plain) == ["copy"] * 91 + [str(i) for i in range(91, 100)]
+
+
 def test_packing(spark, docs):
     path, pattern = bpe.vocabulary()
     enc = encoding()
