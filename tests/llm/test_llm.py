@@ -147,6 +147,20 @@ def test_html_branches_keep_what_differs(spark):
     assert texts_of(spark, plain) == ["copy"] * 91 + [str(i) for i in range(91, 100)]
 
 
+def test_html_names_and_attributes():
+    text = lambda page: html_text.extract(page, set())
+    whole = ['<article>a <a href="/trips/hidden-gems">b</a><p title="a hidden gem">c<p><a href="/x?id=ad">d</a> <a href=/x?id=ad>e</a><p data-id=ad>f</article>', '<article class="post has-sidebar"><div class="post-header">a b</div><p class=share-price>c<p id=social-history>d e f</article>', '<div class=widget><form><article class=promo>a b c d e f</article></form></div>', '<main><h1>a</h1><div class=social><article class=share>b c d e f</article></div></main>', "<aside><article>a b c d e f</article></aside>"]
+    assert [text(f"<html><body>{p}</body></html>").split() for p in whole] == [list("abcdef")] * len(whole)
+    gone = ["<p hidden>x", "<p class='x' hidden=''>x", "<p class='big ad'>x", "<p\nid=comment-12>x", "<div role=search>x</div>", "<div id=comments><article>x</article></div>"]
+    assert [text(f"<html><body><article>a{p}</article></body></html>") for p in gone] == ["a"] * len(gone)
+    assert text("<article>a</article><div class=related><article>x</article></div><main hidden>x</main>") == "a"
+
+
+def test_html_tree_judges_parts_of_names(spark):
+    page = "<html><body><article><p>own %d</p><div class=post-share>Share it</div><div class=share-price>%d</div></article>"
+    assert texts_of(spark, [("http://h/%d" % i, page % (i, i)) for i in range(5)]) == [f"own {i}\n{i}" for i in range(5)]
+
+
 def test_packing(spark, docs):
     path, pattern = bpe.vocabulary()
     enc = encoding()
