@@ -1,7 +1,7 @@
 """License scans with ordered signature rules.
 
-A few hundred regular expressions, made from license families and sentence forms, each gated by a
-keyword that its text must contain. A detection has a byte interval; one that lies inside the interval
+A few hundred regular expressions, made from license families and sentence forms, each gated by a word
+of its own name that every match holds. A version may be glued to the name (GPLv2). A detection has a byte interval; one that lies inside the interval
 of a detection of higher priority, or of equal priority and greater length, is suppressed. Base
 phrases (PHRASES) are places where a phrase's words stand consecutively; no rule suppresses them.
 
@@ -37,7 +37,7 @@ def _words(text: str) -> bytes:
     return out
 
 
-#: (label, keyword, names, versions). Names are written as words; a version is written as its digits.
+#: (label, keyword preferred as gate, names, versions). Names are written as words; a version is written as its digits.
 FAMILIES = [
     ("apache", "apache", ["apache software? license", "apache"], ["1 0", "1 1", "2 0"]),
     ("mit", "mit", ["mit x11? license", "mit"], []),
@@ -103,6 +103,12 @@ FORMS = [
 WEAK = {"mit", "apache", "gpl", "mpl", "lgpl", "agpl", "unlicense", "cc0", "cc by"}
 
 
+def _gate(keyword: str, name: str) -> bytes:
+    """A word that each match of the name holds: the one with the keyword, else the longest."""
+    must = [w for w in name.split() if not w.endswith("?")]
+    return next((w for w in must if keyword in w), max((w for w in must if w != "license"), key=len, default=must[0])).encode()
+
+
 class Rules:
     """The compiled rules: (keyword, regex, label, priority, confidence), built once in a process."""
 
@@ -115,11 +121,13 @@ class Rules:
                     for version in [*versions, None]:
                         if version is None and name in WEAK and not before:
                             continue
-                        tail = b"" if version is None else _SEP + b"(?:(?:version|v)" + _SEP + b"|v)?" + _words(version.removesuffix(" 0")) + (b"(?:" + _SEP + b"0)?" if version.endswith(" 0") else b"")
+                        # A bare name with a digit glued to it may be anything else (apache2), but for GPL2 and the like.
+                        glued = b"v?" if not name[-1].isdigit() and (before or name.endswith("pl")) else b"v"
+                        tail = b"" if version is None else b"(?:" + _SEP + b"(?:(?:version|v)" + _SEP + b"|v)?|" + glued + b")" + _words(version.removesuffix(" 0")) + (b"(?:" + _SEP + b"0)?" if version.endswith(" 0") else b"")
                         label = family if version is None else f"{family}-{version.removesuffix(' 0').replace(' ', '.')}"
                         body = _words(name) if not name.endswith("?") else _words(name.rsplit(" ", 1)[0]) + b"(?:" + _SEP + re.escape(name.rsplit(" ", 1)[1].rstrip("?").encode()) + b")?"
-                        self.rules.append((keyword.encode(), re.compile(_EDGE_A + lead + body + tail + _EDGE_B), label, priority + (version is not None), confidence))
-        self.keywords = [(k, re.compile(_EDGE_A + re.escape(k) + _EDGE_B)) for k in sorted({r[0] for r in self.rules})]
+                        self.rules.append((_gate(keyword, name), re.compile(_EDGE_A + lead + body + tail + _EDGE_B), label, priority + (version is not None), confidence))
+        self.keywords = [(k, re.compile(_EDGE_A + re.escape(k) + b"(?:(?=v?[0-9])|" + _EDGE_B + b")")) for k in sorted({r[0] for r in self.rules})]
         self.base = [(label, _words(phrase).split(_SEP)[-1], re.compile(_EDGE_A + _words(phrase) + _EDGE_B)) for phrase, label in PHRASES]
 
     def scan(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:

@@ -196,6 +196,23 @@ def test_licenses(spark, docs):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_license_rules_fire_through_their_gates():
+    found = lambda text: {d[2] for d in licenses.rules().scan(lower(text).encode())[1]}
+    said = {"Released under the FreeBSD license": "bsd-2-clause", "licensed under 0BSD": "0bsd", "under the PSF license": "psf", "GPLv2": "gpl-2", "GPL3+": "gpl-3", "a LGPLv2.1 b": "lgpl-2.1", "LGPLv3": "lgpl-3", "MPLv2": "mpl-2", "MPLv2.0": "mpl-2", "licensed under GNU GPLv3": "gpl-3"}
+    assert {t: found(t) for t in said} == {t: {label} for t, label in said.items()}
+    assert not found("apache2 gplv4 gplx pgpl2 mitv2")
+    for family, _, names, versions in licenses.FAMILIES:
+        for name in names:
+            for words in {name.replace("?", ""), " ".join(w for w in name.split() if not w.endswith("?"))}:
+                for before in [b for form in licenses.FORMS for b in form[0] or [""]]:
+                    for v in [*versions, None]:
+                        if v or before or name not in licenses.WEAK:
+                            label = family if v is None else f"{family}-{v.removesuffix(' 0').replace(' ', '.')}"
+                            for mark in [" ", " version ", " v", "v"] if v else [""]:
+                                text = f"so {before} {words}{mark}{(v or '').replace(' ', '.')} ok"
+                                assert label in found(text), (text, found(text))
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://NET/x", "https://a.example.net/en/x?q", "http://b.example.net/de/", "http://example.com/de/1#x", "http://x.org/fr/", "http://x.org/de/", "http://net", "http://mynet/x", "ftp://example.net?/en/"]
     rules = [(h, p, v) for h, p, v in url_rules.RULES]
