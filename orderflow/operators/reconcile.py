@@ -68,7 +68,7 @@ def add_amounts(existing: DataFrame, deltas: DataFrame, keys: list[str], amounts
     return both.groupBy(*keys).agg(*[F.sum(a).cast("bigint").alias(a) for a in amounts])
 
 
-def newest(rows: DataFrame, channel: str, order: list[Column], most: int) -> DataFrame:
+def newest(rows: DataFrame, channel: str | list[str], order: list[Column], most: int) -> DataFrame:
     """The newest `most` rows of each channel."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(channel).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
 

@@ -165,6 +165,35 @@ _simple("r6_block_gaps", "ranges", lambda r: ranges.block_gaps(r.select("feed",
 _simple("r7_open_gaps", "ranges", lambda r: (lambda g: g.join(g.where("(from_block + to_block) % 3 = 0"), ["feed", "from_block", "to_block"], "left_anti"))(ranges.gaps(r, 0, 90000)))
 _Q["r8_before_live"] = lambda s, d: (lambda first: reconcile.before_first_live(view(s, d, "bulk_a"), *first).select("content_id", "block_number", "log_index"))(view(s, d, "live").where("log_index > 300").agg(F.min_by("block_number", "log_index"), F.min("log_index")).first())
 
+# Whole ranges and all keys, with bounds from the data; the queries of the same names without `_all`
+# read the part of their tables that their SQL asks for.
+
+
+def _last_block(r: DataFrame) -> int:
+    return r.agg(F.coalesce(F.max("to_block"), F.lit(-1))).first()[0]
+
+
+@_query("s1_log_scan_all")
+def _(s, d):
+    logs = view(s, d, "raw_matched")
+    lo, hi = logs.agg(F.min("block_number"), F.max("block_number")).first()
+    return logs.where(F.col("block_number").between(lo, hi) & F.col("address").isin("ob_1", "ob_2") & (F.col("topic0") == "OrderMatched")).select("address", "block_number", "log_index", "tx_hash")
+
+
+@_query("r8_before_live_all")
+def _(s, d):
+    live = view(s, d, "live")
+    middle = live.agg(F.floor((F.min("block_number") + F.max("block_number")) / 2)).first()[0]
+    first = live.where(F.col("block_number") >= middle).agg(F.min(F.struct("block_number", "log_index"))).first()[0]
+    return reconcile.before_first_live(view(s, d, "bulk_a"), *first).select("content_id", "block_number", "log_index")
+
+
+_simple("t6_history_all", "order_events", lambda o: reconcile.newest(orders.history(o), ["pool_id", "order_id"], [F.desc("ts"), F.desc("seq")], 100).select("pool_id", "order_id", "id", "ts", "event"))
+_simple("t10_candles_range_all", "trades", lambda t: trades.candles(t, "1h").select("pool_id", "open_time", "open", "close", "volume"))
+_simple("r3_gaps_all", "ranges", lambda r: ranges.gaps(r, 500, _last_block(r)))
+_simple("r4_complete_all", "ranges", lambda r: (lambda last: ranges.complete(r.unionByName(r.where("feed = 'feed_1'").select(F.lit(0).cast("bigint").alias("from_block"), F.lit(last).cast("bigint").alias("to_block"), "feed").distinct()), 500, last))(_last_block(r)))
+_simple("r7_open_gaps_all", "ranges", lambda r: ranges.gaps(r, 0, _last_block(r)))
+
 # Reconciliation and maintenance
 
 

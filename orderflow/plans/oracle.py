@@ -72,6 +72,14 @@ miss as (select feed, b from need anti join pts using (feed, b)),
 gap as (select feed, min(b) as from_block, max(b) as to_block from (select feed, b, b - row_number() over (partition by feed order by b) as g from miss) group by feed, g)"""
 
 
+def _all_gaps(start: int) -> str:
+    """Gaps from `start` to the last block of any feed, from running maxima."""
+    return f""", last as (select max(to_block) as t from fx_ranges),
+ends as (select feed, from_block, max(to_block) over (partition by feed order by from_block, to_block rows between unbounded preceding and 1 preceding) as reach from fx_ranges
+ union all select feed, t + 1, max(to_block) from fx_ranges, last group by feed, t),
+gap as (select feed, greatest(coalesce(reach + 1, {start}), {start}) as from_block, from_block - 1 as to_block from ends where greatest(coalesce(reach + 1, {start}), {start}) < from_block)"""
+
+
 _BULK = "bulk as (select * from fx_bulk_a union all select * from fx_bulk_b where content_id not in (select content_id from fx_bulk_a)), mis as (select * from bulk where content_id not in (select content_id from fx_live))"
 _WIN = "win as (select min(block_number) as lo, min(block_number) + least(60000, max(block_number) - min(block_number) + 1) - 1 as hi from fx_bulk_a)"
 
@@ -169,6 +177,13 @@ def oracle_sql() -> dict[str, str]:
         "r6_block_gaps": f"{duck('ranges')} select * from (select feed, b as after_block, lead(b) over (partition by feed order by b) as next_block, lead(b) over (partition by feed order by b) - b - 1 as missed from (select distinct feed, from_block // 10 as b from fx_ranges)) where missed > 0",
         "r7_open_gaps": _ranges("select feed, from_block, to_block from gap where (from_block + to_block) % 3 <> 0", _gap_cte(0, 90000)),
         "r8_before_live": f"{duck('bulk_a', 'live')}, f as (select arg_min(block_number, log_index) as b, min(log_index) as i from fx_live where log_index > 300) select content_id, block_number, log_index from fx_bulk_a, f where block_number < b or (block_number = b and log_index < i)",
+        "s1_log_scan_all": f"{raw} select address, block_number, log_index, tx_hash from fx_raw_matched where address in ('ob_1', 'ob_2')",
+        "t6_history_all": _orders("select pool_id, order_id, id, ts, event from hist qualify row_number() over (partition by pool_id, order_id order by ts desc, seq desc) <= 100"),
+        "t10_candles_range_all": _candles("select pool_id, open_time, open, close, volume from bars", "interval = '1h'"),
+        "r3_gaps_all": f"{duck('ranges')}{_all_gaps(500)} select feed, from_block, to_block from gap",
+        "r4_complete_all": f"{duck('ranges')}{_all_gaps(500)} select feed, feed = 'feed_1' or feed not in (select feed from gap) as complete from (select distinct feed from fx_ranges)",
+        "r7_open_gaps_all": f"{duck('ranges')}{_all_gaps(0)} select feed, from_block, to_block from gap",
+        "r8_before_live_all": f"{duck('bulk_a', 'live')}, f as (select min((block_number, log_index)) as r from fx_live where block_number >= (select floor((min(block_number) + max(block_number)) / 2) from fx_live)) select content_id, block_number, log_index from fx_bulk_a, f where (block_number, log_index) < r",
         "g1_union_sources": _recon("select content_id, log_index, block_number, source from bulk"),
         "j6_missing": _recon("select content_id, event_type, log_index from mis"),
         "a11_missing_by_type": _recon("select event_type, count(*) as missing from mis group by 1"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.scalars import uint256
 from orderflow.operators import balances, decode, orders, ranges, trades
 from orderflow.plans import catalogue, oracle
+from orderflow.sources.fixtures import view
 
 D = "/root/testdata/sf0.001"
 EVENT = "seq bigint, user_addr string, receiver string, token_id string, amount bigint, fee_amount bigint, ts bigint, kind string"
@@ -119,3 +120,13 @@ def test_queries_against_sql(spark):
         a = sorted(tuple(text(v) for v in r) for r in frame.select(*[F.col(f"`{c}`") for c in columns]).collect())
         b = sorted(tuple(text(r[i]) for i in place) for r in want.fetchall())
         assert a == b, name
+
+
+@pytest.mark.parametrize("name", ["s1_log_scan", "t6_history", "t10_candles_range", "r3_gaps", "r7_open_gaps", "r8_before_live"])
+def test_whole_queries_reach_the_end(spark, name):
+    d = "/root/testdata/sf0.01"
+    whole, part = catalogue.queries()[f"{name}_all"](spark, d), catalogue.queries()[name](spark, d)
+    assert whole.count() > part.count()
+    if "gaps" in name:
+        last = view(spark, d, "ranges").agg(F.max("to_block")).first()[0]
+        assert whole.agg(F.max("to_block")).first()[0] == last > part.agg(F.max("to_block")).first()[0]
