@@ -93,6 +93,11 @@ def _(s, d):
     return t.join(o, "pool_id", "full_outer")
 
 
+@_query("a16_pool_stats_all")
+def _(s, d):
+    return _Q["a16_pool_stats"](s, d).join(_Q["a15_ticker"](s, d).select("pool_id", "volume_24h"), "pool_id", "left")
+
+
 @_query("g6_candle_merge")
 def _(s, d):
     t = trades.dedup(view(s, d, "trades"))
@@ -233,6 +238,35 @@ def _messages(s, d):
 _Q["g11_channels"] = lambda s, d: _messages(s, d).groupBy("channel").agg(F.count("*").alias("messages"))
 _Q["g12_envelope"] = _messages
 _Q["g13_trim"] = lambda s, d: reconcile.newest(_messages(s, d), "channel", [F.desc("timestamp"), F.desc("data")], 10)
+
+
+def _all_messages(s, d):
+    """Orders to 3 channels, trades to 2, balances and candles to 1 each."""
+    text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
+    o = view(s, d, "order_events")
+    placed = orders.lifecycle(o).select("seq", "side", "price", "quantity")
+    order = orders.history(o).join(placed, "seq").select(F.regexp_replace(F.lower("event"), "^partially", "partially_").alias("type"), "pool_id", "order_id", "side", *text("price", "quantity", "filled"), "status", F.col("user_addr").alias("user"), F.col("ts").alias("timestamp"))
+    trade = trades.dedup(view(s, d, "trades")).select("pool_id", *text("price", "quantity"), F.col("taker_side").alias("side"), F.col("ts").alias("timestamp"), "tx_hash", "log_index", "buy_order_id", "sell_order_id", F.col("taker").alias("taker_address"))
+    balance = balances.running(balances.deltas(view(s, d, "balance_events"))).select("user", F.col("token_id").alias("currency"), F.col("available").cast("string").alias("amount"), F.col("locked").cast("string").alias("locked_amount"), F.lower("change").alias("event_type"), F.col("ts").alias("timestamp"))
+    # The bars of whole prices and quantities are whole numbers, which read alike in any engine's JSON.
+    candle = _candles(s, d).select("pool_id", "interval", "open_time", "close_time", *[F.col(c).cast("bigint").alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume")], "count")
+    name = lambda *parts: F.concat_ws(":", *[F.lit(p[1:]) if p.startswith("'") else F.col(p) for p in parts])
+    channels = [
+        (order, [("'orderbook", "pool_id"), ("'user", "user", "'orders"), ("'user", "user", "'orders", "pool_id")], "timestamp"),
+        (trade, [("'trades", "pool_id"), ("'user", "taker_address", "'trades", "pool_id")], "timestamp"),
+        (balance, [("'user", "user", "'balance")], "timestamp"),
+        (candle, [("'candles", "interval", "pool_id")], "close_time"),
+    ]
+    out = None
+    for rows, to, time in channels:
+        sent = reconcile.envelope(rows, F.array(*[name(*c) for c in to]), rows.columns, "indexer", F.col(time) * 1000)
+        out = sent if out is None else out.unionByName(sent)
+    return out
+
+
+_Q["g11_channels_all"] = lambda s, d: _all_messages(s, d).groupBy("channel").agg(F.count("*").alias("messages"))
+_Q["g12_envelope_all"] = _all_messages
+_Q["g13_trim_all"] = lambda s, d: reconcile.newest(_all_messages(s, d), "channel", [F.desc("timestamp"), F.desc("data")], 10)
 _simple("x1_ids", "trades", lambda t: trades.dedup(t).select("log_index", ident("chain_id", "pool_id", "buy_order_id").alias("order_key"), ident("tx_hash", "log_index").alias("trade_key")))
 _simple("x4_try_numbers", "raw_matched", lambda r: r.select("log_index", uint64(F.col("topic2")).alias("number"), F.coalesce(F.col("topic0").try_cast("bigint"), F.lit(-1)).alias("bad")))
 _Q["x5_intervals"] = lambda s, d: trades.candles_all(view(s, d, "trades")).select("interval").distinct().join(interval_dim(s), "interval").select("interval", "seconds")

@@ -91,6 +91,25 @@ def _recon(select: str) -> str:
 _MATCHED = "select address, block_number, log_index, tx_hash, (event_id * 7) % 2500 as buy_order_id, (event_id * 11) % 2500 as sell_order_id, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, block_ts as \"timestamp\", price as execution_price, price + 5 as taker_limit_price, k as executed_quantity, false as overflow from m"
 _M = "m as (select 'ob_' || (user_id % 8) as address, cast(floor(epoch(ts)) as bigint) // 12 as block_number, event_id as log_index, event_id, 'tx_' || (event_id // 4) as tx_hash, cast(floor(epoch(ts)) as bigint) as block_ts, cast(round(value * 100) as bigint) as price, cast(json_extract_string(props, '$.k') as bigint) as k from events)"
 _MSG = """msg as (select unnest(['trades:' || pool_id, 'user_trades:' || taker]) as channel, '{"tx_hash":"' || tx_hash || '","log_index":' || log_index || ',"price_text":"' || price || '"}' as data, 'indexer' as source, ts * 1000 as "timestamp" from t)"""
+def _sent(source: str, channels: str, time: str, **payload: str) -> str:
+    fields = ", ".join(f"'{k}', {v}" for k, v in payload.items())
+    return f"select unnest([{channels}]) as channel, cast(json_object({fields}) as varchar) as data, 'indexer' as source, {time} * 1000 as \"timestamp\" from {source}"
+
+
+_WHOLE = lambda *names: {n: f"cast({n} as bigint)" for n in names}
+_TEXT = lambda *names: {n: f"cast({n} as varchar)" for n in names}
+_ALL_MSG = "msg as (" + " union all ".join([
+    _sent("hist", "'orderbook:' || pool_id, 'user:' || user_addr || ':orders', 'user:' || user_addr || ':orders:' || pool_id", "ts", type="case event when 'PartiallyFilled' then 'partially_filled' else lower(event) end", pool_id="pool_id", order_id="order_id", side="side", **_TEXT("price", "quantity", "filled"), status="status", user="user_addr", timestamp="ts"),
+    _sent("t", "'trades:' || pool_id, 'user:' || taker || ':trades:' || pool_id", "ts", pool_id="pool_id", **_TEXT("price", "quantity"), side="taker_side", timestamp="ts", tx_hash="tx_hash", log_index="log_index", buy_order_id="buy_order_id", sell_order_id="sell_order_id", taker_address="taker"),
+    _sent("(select run.*, dl.ts, dl.change from run join dl using (seq, sub, \"user\", token_id))", "'user:' || \"user\" || ':balance'", "ts", user='"user"', currency="token_id", amount="cast(available as varchar)", locked_amount="cast(locked as varchar)", event_type="lower(change)", timestamp="ts"),
+    _sent("bars", "'candles:' || interval || ':' || pool_id", "close_time", pool_id="pool_id", interval="interval", open_time="open_time", close_time="close_time", **_WHOLE("open", "high", "low", "close", "volume", "quote_volume"), count="count"),
+]) + ")"
+
+
+def _all_messages(select: str) -> str:
+    return f"{duck('trades', 'order_events', 'balance_events')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'bars')}, {_LIFE}, {_DELTAS}, {_ALL_MSG} {select}"
+
+
 _USERS = "us as (select \"user\", min(ts) as created_at from (select user_addr as \"user\", ts from fx_order_events union all select \"user\", ts from dl) group by 1)"
 
 
@@ -200,6 +219,10 @@ def oracle_sql() -> dict[str, str]:
         "g11_channels": f"{duck('trades')}, {_T}, {_MSG} select channel, count(*) as messages from msg group by 1",
         "g12_envelope": f"{duck('trades')}, {_T}, {_MSG} select * from msg",
         "g13_trim": f"{duck('trades')}, {_T}, {_MSG} select * from msg qualify row_number() over (partition by channel order by \"timestamp\" desc, data desc) <= 10",
+        "g11_channels_all": _all_messages("select channel, count(*) as messages from msg group by 1"),
+        "g12_envelope_all": _all_messages("select * from msg"),
+        "g13_trim_all": _all_messages("select * from msg qualify row_number() over (partition by channel order by \"timestamp\" desc, data desc) <= 10"),
+        "a16_pool_stats_all": f"{duck('trades', 'order_events')}, {_T}, {_LIFE} select pool_id, total_trades, last_price, total_orders, volume_24h from (select pool_id, count(*) as total_trades, arg_max(price, block_number * 1048576 + log_index) as last_price from t group by 1) full join (select pool_id, count(*) as total_orders from lat group by 1) using (pool_id) left join (select pool_id, cast(sum(quantity) as bigint) as volume_24h from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400 group by 1) using (pool_id)",
         "x1_ids": _trades("select log_index, '1_' || pool_id || '_' || buy_order_id as order_key, tx_hash || '_' || log_index as trade_key from t"),
         "x4_try_numbers": f"with {_M} select log_index, (event_id * 7) % 2500 as number, cast(-1 as bigint) as bad from m",
         "x5_intervals": f"{duck('trades')}, {_IV} select interval, cast(s as bigint) as seconds from iv where (select count(*) from fx_trades) > 0",

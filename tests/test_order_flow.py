@@ -1,6 +1,7 @@
 """Micro-fixtures, one for each quirk of the semantics, and folds against a sequential fold."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -130,3 +131,13 @@ def test_whole_queries_reach_the_end(spark, name):
     if "gaps" in name:
         last = view(spark, d, "ranges").agg(F.max("to_block")).first()[0]
         assert whole.agg(F.max("to_block")).first()[0] == last > part.agg(F.max("to_block")).first()[0]
+
+
+def test_fan_out_reaches_every_kind_of_channel(spark):
+    sent = {r.channel: r.messages for r in catalogue.queries()["g11_channels_all"](spark, D).collect()}
+    many = lambda pattern: sum(n for c, n in sent.items() if re.fullmatch(pattern, c))
+    rows = lambda name: catalogue.queries()[name](spark, D).count()
+    assert many("orderbook:.*") == many("user:[^:]*:orders") == many("user:[^:]*:orders:.*") == rows("f10_order_history") > 0
+    assert many("trades:.*") == many("user:[^:]*:trades:.*") == rows("f7_trade_dedup")
+    assert (many("user:[^:]*:balance"), many("candles:.*:.*")) == (rows("f4_balance_running"), rows("a2_candles_all"))
+    assert "volume_24h" in catalogue.queries()["a16_pool_stats_all"](spark, D).columns
