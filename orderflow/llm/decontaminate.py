@@ -11,7 +11,8 @@ carries the hits of the passes before it.
 
 Defined results: a null or empty text has no words, no hits; an item without words is never found; an
 item of fewer words than the window is one window; repeated rows are judged one by one; ties (a
-window in several items) count for every item; an empty benchmark hits nothing; other columns of
+window in several items) count for every item; an item with a null id counts for hits and removal, and
+is left out of the items found only; an empty benchmark hits nothing; other columns of
 either table are ignored, whatever their names.
 """
 
@@ -38,7 +39,7 @@ SPAN = "array<struct<start:int,end:int>>"
 class Patterns:
     """The suffixes of one block of benchmark items, as numbers of the block's own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         text = pa.array([t for _, t in items], pa.binary())
         raw, offsets = buffer_of(text)
         low, s, e, first = word_spans(raw, offsets)
@@ -156,6 +157,8 @@ def _judge(raw: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> tuple[np
                         continue  # equal hashes of different words
                     p = g - int(first[k])
                     spans[k].append((p, p + w))
+                    if patterns.ids[i] is None:
+                        continue
                     best = matches[k].get(patterns.ids[i])
                     if best is None or (-n, p) < (-best[0], best[1]):
                         matches[k][patterns.ids[i]] = (n, p)
@@ -174,12 +177,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The benchmark in blocks of bounded size: one row of counts first, then block by block."""
-    items = bench.select(F.col(item_col).cast("string").alias("i"), as_bytes(text_col).alias("t")).where("i is not null")
+    items = bench.select(F.col(item_col).cast("string").alias("i"), as_bytes(text_col).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.length("t") + 64), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield sorted((r.i, bytes(r.t)) for r in part.collect())
+        yield sorted(((r.i, bytes(r.t)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, out: tuple[str, str, str] = ("n_words", "hit_spans", "matches")) -> DataFrame:

@@ -74,6 +74,15 @@ def test_decontamination(spark, docs, block):
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [4 << 20, 70])
+def test_decontamination_without_item_ids(spark, block):
+    rows = spark.createDataFrame([(1, "so one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "One two"), (None, "two three"), (7, "four five")], "item_id long, text string")
+    found = {r.doc_id: (sum(s.end - s.start for s in r.hit_spans), [m.item_id for m in r.matches]) for r in decontaminate.find_overlaps(rows, bench, block_bytes=block).collect()}
+    assert found == {1: (3, []), 2: (2, ["7"]), 3: (0, [])}
+    assert [r.doc_id for r in decontaminate.decontaminate(rows, bench, block_bytes=block).collect()] == [3]
+
+
 def test_near_dedup(spark, docs):
     got = near_dedup.near_duplicates(docs).collect()
     fps = {r.doc_id: int(r.fingerprint, 16) for r in got}
