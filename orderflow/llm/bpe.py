@@ -1,51 +1,64 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word's bytes are an array of one-byte pieces, each written as its id. A fold joins, step by step, the
-leftmost pair of least rank. Ranks of pairs are looked up in a literal rank map: an array of small maps,
-one for each value of a hash, held in the plan as a value. A piece's rank is its id, so the map holds
-every two pieces that join to a piece of the vocabulary, and a step needs two look-ups, for the pairs
-left and right of the join. The fold ends where no pair has a rank.
-
-Words are split from the text by the tokenizer's pattern. The most frequent FREQUENT_WORDS distinct
-words of the whole corpus are folded once each and then looked up, again in a literal map; every other
-word is folded where it stands, so the result does not depend on which words are frequent, and no text
-is shuffled. Words over LONG_WORD bytes (runs without any break) would need as many steps as bytes, each
-over the whole word; these alone are folded by the same rule with a heap, in Arrow batches.
+Texts are split into words by the tokenizer's pattern, and each distinct word of all texts is folded once:
+
+1. Documents are read in chunks of at most CHUNK_BYTES of text. A chunk has a list of its distinct words
+   and, for every place of a word, the word's number in that list.
+2. The (chunk, number, word) rows are dealt by word; a word has one row a chunk at most, so none is hot.
+   The distinct words are folded by higher-order functions over the arrays of their bytes, and the ids
+   are joined back to the rows.
+3. Chunks and (chunk, number, ids) rows are cogrouped by chunk, and the ids put at the words' places.
+
+No text is shuffled, only the numbers (compressed) and the chunks' distinct words; nothing but the
+vocabulary passes through the driver.
+
+The fold's state is one array of longs, a number for each piece: the rank of the pair that it makes with
+the piece after it, its first byte's place in the word, and its id, from the high bits down. The least
+element is the leftmost pair of least rank. A step joins it: the pairs left and right of the join get
+new ranks, looked up in a literal rank map. A piece's rank is its id. The map is one array of longs in
+the plan, addressed by displacement: the pair (a, b) stands at base[a] + b if anywhere, and a cell holds
+the joined piece's rank and a, to be told from other rows' cells.
+
+Words over LONG_WORD bytes (runs without any break) would need as many steps as bytes, each over the
+whole word; these alone are folded by the same rule with a heap where they stand.
 
 Decoding looks up each id's bytes and joins the binary pieces.
 
 Defined results: a null or empty text has no ids; unpaired or invalid bytes are kept as they are;
 repeated rows are encoded one by one; a null id decodes to nothing; an empty table gives an empty one;
-the operators add one column whose name the caller gives.
+`encode` returns the columns asked for and one more, whose name the caller gives. Its input is read twice
+and must come in the same rows, order and partitions both times, as stored tables do; a frame that
+doesn't is to be checkpointed before. A chunk that changed in between is an error, not a wrong result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-
-import pandas as pd
+import random
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-FREQUENT_WORDS = 1 << 18
-BUCKETS = 1 << 17
-#: Bytes up to which a word is folded by higher-order functions.
-LONG_WORD = 96
-
-#: `\s` as the tokenizer's own regular expressions understand it, for Java's.
-_SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-
-
-#: Alternatives of the tokenizer's pattern. No text matches both groups at one place, so the runs, which
-#: most words are, may be tried first.
-_CONTRACTIONS, _RUNS = "'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+| ?\p{N}+|"
+from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, word_hashes
 
+#: Text bytes of one chunk, and those split at a time.
+CHUNK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
+#: Bytes up to which a word is folded by higher-order functions.
+LONG_WORD = 256
 
-def java_pattern(pattern: str) -> str:
-    pattern = pattern.replace(_CONTRACTIONS + _RUNS, _RUNS + _CONTRACTIONS)
-    return pattern.replace(r"[^\s\p", rf"[^{_SPACE}\p").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+#: The pattern that `split` knows how to follow with arrays; any other goes through `regex`.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -58,127 +71,376 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def literal_map(spark: SparkSession, name: str, rows: DataFrame, key: str, value: str, place: Column) -> Column:
-    """The rows (key, value) as one value in the plan: an array of BUCKETS maps, the place's last bits
-    being the index. A session variable holds it; the optimizer puts its value into each expression."""
-    maps = rows.groupBy(place.bitwiseAND(BUCKETS - 1).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
-    entries = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-    whole = entries.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda e: e["m"]).alias("maps"))
-    return literal(spark, name, whole)
-
-
-def literal(spark: SparkSession, name: str, one: DataFrame) -> Column:
-    """A frame's only value as a session variable."""
-    view = f"{name}_rows"
-    one.createOrReplaceTempView(view)
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {one.schema[0].dataType.simpleString()}")
-    spark.sql(f"SET VAR {name} = (SELECT * FROM {view})")
-    spark.catalog.dropTempView(view)
-    return F.expr(f"session.{name}")
-
-
-def find(maps: Column, key: Column, place: Column) -> Column:
-    return F.try_element_at(F.get(maps, place.bitwiseAND(BUCKETS - 1)), key)
-
-
-def pair_place(a: Column, b: Column) -> Column:
-    """Ids stay far below 2^19, so the product stays an int."""
-    return a * 4001 + b
+# Words of the texts
+
+SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """White space, letter, number or other, for each code point."""
+    if not _KINDS:
+        table = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, cls in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(cls, every):
+                table[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+        table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+        _KINDS.append(table)
+    return _KINDS[0]
+
+
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters' first bytes and code points. Bytes that are no UTF-8 belong to what is before them."""
+    first = (raw & 0xC0) != 0x80
+    first[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    at = np.flatnonzero(first)
+    lead = raw[at]
+    code = lead.astype(np.int32)
+    for least, bits, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        rows = np.flatnonzero((lead >= least) & (lead < (0xE0, 0xF0, 0x100)[more - 1]))
+        value = lead[rows].astype(np.int32) & bits
+        for k in range(1, more + 1):
+            value = value << 6 | raw[np.minimum(at[rows] + k, len(raw) - 1)] & 0x3F
+        code[rows] = np.minimum(value, 0x10FFFF)
+    return at, code
+
+
+def split(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the words that the pattern KNOWN cuts the rows into; every byte is in a word."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    at, code = code_points(raw, offsets)
+    n, kind = len(at), kinds()[code]
+    row_start = np.zeros(n + 3, bool)
+    row_start[np.searchsorted(at, offsets)] = True
+    row_start[n:] = True
+    run_start = row_start.copy()
+    run_start[1:n] |= kind[1:] != kind[:-1]
+    word = run_start[:n].copy()
+    # White space before something else: its last character is a word of its own, or, if a blank, the
+    # beginning of the next word.
+    ends = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~row_start[1:n])
+    word[ends] = True
+    word[ends[code[ends] == 32] + 1] = False
+    # Contractions: an apostrophe alone, no blank before it, and the letters after it.
+    quote = np.flatnonzero((code == 39) & run_start[:n] & run_start[1 : n + 1] & ~row_start[1 : n + 1])
+    quote = quote[row_start[quote] | (code[quote - 1] != 32)]
+    code = np.concatenate([code, np.zeros(3, np.int32)])
+    one, two = code[quote + 1], code[quote + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    pairs = np.isin(one * 256 + two, [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")]) & ~row_start[quote + 2]
+    for which, length in ((short, 2), (pairs, 3)):
+        word[quote[which] + 1] = False
+        after = quote[which] + length
+        word[after[after < n]] = True
+    return at[word].astype(np.int64)
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarray:
+    """First bytes of all words of the rows. What a pattern leaves out between its matches is an error."""
+    if pattern == KNOWN:
+        return split(raw, offsets)
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for m in regex.findall(pattern, raw[a:b].tobytes().decode(errors="surrogateescape")):
+            out.append(a)
+            a += len(m.encode(errors="surrogateescape"))
+        if a != b:
+            raise ValueError("the pattern does not match the whole text")
+    return np.array(out, np.int64)
+
+
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+    """Whether the stretches of n bytes at a and at b are equal, one by one."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    k = 0
+    while len(a):
+        x = eight[a + k] ^ eight[b + k]
+        rest = n - k
+        x <<= ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64)
+        if x.any():
+            return False
+        k += 8
+        more = n > k
+        a, b, n = a[more], b[more], n[more]
+    return True
+
+
+def distinct_words(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct words, the most frequent first, and each word's number among them."""
+    end = np.append(start[1:], len(raw))
+    hashes = word_hashes(raw, start, end)
+    _, first, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    n = end - start
+    if not (n == n[first[number]]).all() or not same_bytes(raw, start, start[first[number]], n):
+        known: dict[bytes, int] = {}  # equal hashes of different words
+        number = np.array([known.setdefault(raw[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        _, first, count = np.unique(number, return_index=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[number]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 in little room: bytes of the same weight stand together."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
+# The fold
+
+NO_RANK, ID, PLACE = 1 << 60, (1 << 20) - 1, (1 << 40) - 1
+
+
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Displacements and cells of the map from pairs of ids to the rank of what they join to."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for k, v in ranks.items():
+        for i in range(1, len(k)):
+            if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None:
+                rows.setdefault(a, []).append((b, v))
+    end = max(ranks.values(), default=0) + 1  # the id of both ends of a word, in no pair
+    room = max(64, 4 * sum(map(len, rows.values())))
+    used, cells, base, draw = bytearray(room + end + 1), [end + 1] * (room + end + 1), [0] * (end + 1), random.Random(1)
+    for a in sorted(rows, key=lambda a: -len(rows[a])):
+        while any(used[(x := draw.randrange(room) if b is rows[a][0] else x) + b[0]] for b in rows[a]):
+            pass
+        base[a] = x
+        for b, v in rows[a]:
+            used[x + b], cells[x + b] = 1, v << 40 | a
+    return base, cells
+
+
+class Fold:
+    """The fold of one vocabulary; its literals are session variables until `drop`."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        self.spark, self.names = spark, []
+        self.end = max(ranks.values(), default=0) + 1
+        base, cells = rank_map(ranks)
+        self.base, self.cells = self._literal("int", base), self._literal("bigint", cells)
+        first = []  # two neighbour bytes, 256 being the end: the state of the left one
+        for a in range(257):
+            own = self.end if a == 256 else ranks.get(bytes([a]), self.end)
+            first += [(ranks[bytes([a, b])] << 40 if a < 256 and b < 256 and bytes([a, b]) in ranks else NO_RANK) | own for b in range(257)]
+        self.first = self._literal("bigint", first)
+        #: Words that are a piece as a whole, even if merges alone would not make it.
+        self.whole = {k: v for k, v in ranks.items() if 1 < len(k) <= LONG_WORD and heap_fold(k, ranks, whole=False) != [v]}
+
+    def _literal(self, kind: str, values: list[int]) -> Column:
+        name, view = f"bpe_{uuid.uuid4().hex}", f"bpe_{uuid.uuid4().hex}"
+        self.spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(pa.int32() if kind == "int" else pa.int64()))})).createOrReplaceTempView(view)
+        self.spark.sql(f"DECLARE VARIABLE {name} array<{kind}>")
+        self.spark.sql(f"SET VAR {name} = (SELECT v FROM {view})")
+        self.spark.catalog.dropTempView(view)
+        self.names.append(name)
+        return F.expr(f"session.{name}")
+
+    def drop(self) -> None:
+        """After the frames are made: these hold the values."""
+        for name in self.names:
+            self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+
+    def pair(self, a: Column, b: Column) -> Column:
+        """The rank of the pair, in its bits of the state."""
+        cell = F.get(self.cells, (F.get(self.base, a.cast("int")) + b).cast("int"))
+        return F.when(cell.bitwiseAND(ID) == a, cell - a).otherwise(F.lit(NO_RANK))
+
+    def joined(self, state: Column, at: Column) -> Column:
+        """The state with the pair at the place `at` (from 1) joined."""
+        pair, before, after, beyond = (F.get(state, at + k) for k in (-1, -2, 0, 1))
+        piece = F.shiftright(pair, 40)
+        left = before.bitwiseAND(PLACE) + self.pair(before.bitwiseAND(ID), piece)
+        right = pair.bitwiseAND(PLACE - ID) + piece + self.pair(piece, beyond.bitwiseAND(ID))
+        rest = F.array_remove(F.array_remove(F.array_remove(state, after), pair), before)
+        return F.array_insert(F.array_insert(rest, at - 1, left), at, right)
+
+    def ids(self, codes: Column) -> Column:
+        """The ids of a word, from the array of its bytes between two ends (256)."""
+        begin = F.transform(codes, lambda x, i: F.get(self.first, x * F.lit(257) + F.coalesce(F.get(codes, i + 1), F.lit(256))) + F.shiftleft(i.cast("long"), 20))
+
+        def step(state: Column, _: Column) -> Column:
+            least = F.array_min(state)
+            # An aggregate over one element names a value, so that it is computed once.
+            join = F.aggregate(F.array(F.array_position(state, least).cast("int")), state, self.joined)
+            return F.when(least >= NO_RANK, state).otherwise(join)
+
+        done = F.aggregate(F.sequence(F.lit(1), F.size(codes) - 2), begin, step, lambda s: F.slice(s, F.lit(2), F.size(s) - 2))
+        return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
+
+    def words(self, rows: DataFrame, many: int) -> DataFrame:
+        """The (chunk, number, word) rows with the word's ids: of the rows of a word, the first one's are
+        folded and the others get them, in one pass over the sorted rows."""
+        own = Window.partitionBy("word").orderBy("chunk")
+        # A byte's code is its character's in ISO-8859-1.
+        letters = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), F.ascii)
+        codes = F.concat(F.array(F.lit(256)), letters, F.array(F.lit(256)))
+        first = rows.repartition(many, "word").withColumn("n", F.row_number().over(own)).withColumn("codes", F.when(F.col("n") == 1, codes))
+        if self.whole:
+            whole = self.spark.createDataFrame(pa.table({"word": list(self.whole), "whole": pa.array([[v] for v in self.whole.values()], pa.list_(pa.int32()))}))
+            first = first.join(F.broadcast(whole), "word", "left")
+        else:
+            first = first.withColumn("whole", F.lit(None).cast("array<int>"))
+        folded = first.withColumn("ids", F.when(F.col("codes").isNotNull(), F.coalesce(F.col("whole"), self.ids(F.col("codes")))))
+        return folded.withColumn("ids", F.last("ids", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+# Encoding and decoding
+
+CHUNK = T.StructType(
+    [T.StructField("chunk", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("n_words", T.IntegerType()), T.StructField("kept", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("long", T.ArrayType(T.IntegerType())), T.StructField("long_words", T.ArrayType(T.BinaryType()))]
+)
+
+
+def chunk_row(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, pattern: str) -> pa.RecordBatch:
+    """One chunk: a key made of its rows; its distinct words up to LONG_WORD bytes (null: longer); the kept
+    columns; each row's number of words; the words' numbers; the longer words."""
+    start = [np.zeros(0, np.int64)]
+    for i, j in batches_of_rows(offsets, SPLIT_BYTES):
+        start.append(offsets[i] + words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], pattern))
+    start = np.concatenate(start)
+    first, number = distinct_words(raw, start)
+    end = np.append(start[1:], len(raw))[first]
+    words = [raw[a:b].tobytes() for a, b in zip(start[first].tolist(), end.tolist(), strict=True)]
+    long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    kept = sink.getvalue().to_pybytes()
+    key = hashlib.blake2b(kept, digest_size=8)
+    key.update(np.ascontiguousarray(raw))
+    key.update(np.ascontiguousarray(offsets))
+    columns = [
+        [int.from_bytes(key.digest(), "little", signed=True)],
+        [[w if len(w) <= LONG_WORD else None for w in words]],
+        [len(words)],
+        [zstandard.compress(kept)],
+        [packed(np.diff(np.searchsorted(start, offsets)))],
+        [packed(number)],
+        [long],
+        [[words[k] for k in long]],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, to_arrow_schema(CHUNK).types, strict=True)], names=CHUNK.fieldNames())
+
+
+def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str) -> DataFrame:
+    """The chunks of the documents, one a row."""
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], as_bytes(docs[f"`{text_col}`"]))
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            _, offsets = buffer_of(batch.column(k))
+            for i, j in batches_of_rows(offsets, CHUNK_BYTES):
+                if held and size + offsets[j] - offsets[i] > CHUNK_BYTES:
+                    yield whole(held)
+                    held, size = [], 0
+                held.append(batch.slice(i, j - i))
+                size += offsets[j] - offsets[i] + 64 * (j - i)
+        if held:
+            yield whole(held)
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        raw, offsets = buffer_of(rows.column(k))
+        kept = pa.RecordBatch.from_arrays([*rows.columns[:k], pa.nulls(rows.num_rows)], names=[str(i) for i in range(k + 1)])
+        return chunk_row(kept, raw, offsets, pattern)
+
+    bounded_batches(docs.sparkSession)
+    return frame.mapInArrow(run, CHUNK)
+
+
+def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk (or of chunks that are equal) with their ids."""
+    if not left.num_rows:
+        raise ValueError("a chunk changed between two readings of the documents; checkpoint them before")
+    for row in left.to_pylist():
+        n, numbers, counts = row["n_words"], unpacked(row["numbers"]), unpacked(row["counts"])
+        long = [heap_fold(w, ranks) for w in row["long_words"]]
+        at = np.concatenate([right["number"].to_numpy().astype(np.int64), np.array(row["long"], np.int64)])
+        ids = right["ids"].combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat = np.concatenate([ids.flatten().to_numpy(), *[np.array(x, np.int32) for x in long]]).astype(np.int32)
+        size = np.concatenate([ids.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x) for x in long])]).astype(np.int64)
+        begin, length = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        begin[at], length[at] = np.cumsum(size) - size, size
+        if (begin < 0).any():
+            raise ValueError("a chunk changed between two readings of the documents; checkpoint them before")
+        many = length[numbers]
+        after = np.cumsum(many)
+        ids = flat[np.repeat(begin[numbers] - after + many, many) + np.arange(int(many.sum()))]
+        rows = np.concatenate([[0], np.cumsum(counts)])
+        offsets = np.concatenate([[0], after])[rows].astype(np.int32)
+        kept = next(iter(pa.ipc.open_stream(zstandard.decompress(row["kept"]))))
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], schema=schema)
 
 
 class Tokenizer:
-    """Literal maps of one vocabulary in one session."""
+    """One vocabulary in one session."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.spark, self.ranks, self.pattern = spark, ranks, java_pattern(pattern)
-        self.base = max(ranks.values(), default=-1) + 2
-        pieces = [bytearray()] * self.base
-        pairs = []
-        for k, v in ranks.items():
-            pieces[v] = bytearray(k)
-            pairs += [(a, b, v) for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None]
-        rows = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b", "rank"], dtype="int32"), "a int, b int, rank int")
-        del pairs
-        self.rank_map = literal_map(spark, "bpe_ranks", rows.withColumn("pair", F.col("a").cast("long") * self.base + F.col("b")), "pair", "rank", pair_place(F.col("a"), F.col("b")))
-        # As strings that hold any bytes: a cast from binary changes none of them.
-        self.pieces = literal(spark, "bpe_pieces", spark.createDataFrame([(pieces,)], "pieces array<binary>").select(F.transform("pieces", lambda p: p.cast("string")).alias("pieces")))
-        self.bytes = literal(spark, "bpe_bytes", spark.createDataFrame([([ranks.get(bytes([i])) for i in range(256)],)], "bytes array<int>"))
-        # A word that is a piece as a whole is that piece, even if merges alone would not make it.
-        self.whole = [(k.decode(), [v]) for k, v in ranks.items() if len(k) > 1 and heap_fold(k, ranks, whole=False) != [v] and k.decode("utf-8", "ignore").encode() == k]
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def fold(self, word: Column) -> Column:
-        """The word's ids by ranked merges.
-
-        The id `base - 1`, which no piece has, stands at both ends, so every join has two neighbours."""
-        n = F.octet_length(word)
-        single = F.decode(word.cast("binary"), "ISO-8859-1")  # a character for each byte
-        ids = F.transform(F.split(single, ""), lambda c: F.get(self.bytes, F.ascii(c)))
-        end, no_rank = F.array(F.lit(self.base - 1)), F.array(F.lit(None).cast("int"))
-
-        def joined(*arrays: Column) -> Column:
-            return F.flatten(F.array(*arrays))
-
-        def pair(a: Column, b: Column) -> Column:
-            return find(self.rank_map, a.cast("long") * self.base + b, pair_place(a, b))
-
-        def bind(acc: Column, value: Column, use) -> Column:
-            """`use(acc, value)` with the value computed once; unlike a transform, this copies no state."""
-            return F.aggregate(F.array(value), acc, use)
-
-        def merged(acc: Column, at: Column) -> Column:
-            ids, ranks = acc["ids"], acc["ranks"]
-            least = F.get(ranks, at - 1)
-            left, right = pair(F.get(ids, at - 2), least), pair(least, F.get(ids, at + 1))
-            return F.struct(
-                joined(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.lit(LONG_WORD))).alias("ids"),
-                joined(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, F.lit(LONG_WORD))).alias("ranks"),
-            )
-
-        def step(acc: Column, _: Column) -> Column:
-            place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
-            return bind(acc, place, lambda acc, at: F.when(at.isNull(), acc).otherwise(merged(acc, at)))
-
-        def start(ids: Column) -> Column:
-            ranks = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), pair)
-            return F.struct(joined(end, ids, end).alias("ids"), joined(no_rank, ranks, no_rank).alias("ranks"))
-
-        begin = F.element_at(F.transform(F.array(ids), start), 1)
-        return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), begin, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2)))
-
-    def frequent(self, docs: DataFrame, text_col: str) -> Column:
-        """The most frequent distinct words of all texts and their ids, a value of bounded size."""
-        words = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.octet_length("w") <= LONG_WORD)
-        most = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select("w").repartition(32)
-        whole = self.spark.createDataFrame(self.whole, "w string, ids array<int>")
-        folded = most.join(F.broadcast(whole), "w", "left_anti").select("w", self.fold(F.col("w")).alias("ids"))
-        return literal_map(self.spark, "bpe_frequent", folded.unionByName(whole), "w", "ids", F.hash("w"))
-
-    def encode(self, docs: DataFrame, *, text_col: str = "text", out: str = "ids") -> DataFrame:
-        """All columns and the ids of each text."""
-        known = self.frequent(docs, text_col)
-        ranks = self.ranks
-
-        @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-        def long_ids(words: pd.Series) -> pd.Series:
-            return words.map(lambda ws: [heap_fold(w.encode(), ranks) for w in ws])
-
-        short = lambda w: F.coalesce(find(known, w, F.hash(w)), self.fold(w))
-        is_long = lambda w: F.octet_length(w) > LONG_WORD
-        frame = docs.withColumn("__w", self.words(F.col(text_col)))
-        frame = frame.withColumn("__l", long_ids(F.filter("__w", is_long)))
-        # Ids of long words are taken in their order: the number of long words so far is the index.
-        index = F.aggregate("__w", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + is_long(w).cast("int"))))
-        mixed = F.zip_with("__w", F.slice(index, F.lit(2), F.size("__w")), lambda w, i: F.when(is_long(w), F.get(F.col("__l"), i - 1)).otherwise(short(w)))
-        ids = F.when(F.size("__l") == 0, F.transform("__w", short)).otherwise(mixed)
-        return frame.select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(ids).alias(out))
+        self.spark, self.ranks, self.pattern = spark, ranks, pattern
+
+    def encode(self, docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
+        """The kept columns (all) and the ids of each text."""
+        keep = docs.columns if keep is None else keep
+        if out.lower() in {c.lower() for c in keep}:
+            raise ValueError(f"the frame has a column {out}; give another name")
+        found = chunks(docs, keep, text_col, self.pattern)
+        many = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        words = found.select("chunk", F.posexplode("words").alias("number", "word")).where("word is not null")
+        fold = Fold(self.spark, self.ranks)
+        pieces = fold.words(words, many).select(F.col("chunk").alias("of"), "number", "ids")
+        fold.drop()
+        schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+        arrow, ranks = to_arrow_schema(schema), self.spark.sparkContext.broadcast(self.ranks)
+
+        def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(filled(left, right, arrow, ranks.value), arrow)
+
+        return found.drop("words").groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(fill, schema)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the ids. Joining strings keeps every byte."""
-        pieces = F.transform(ids, lambda i: F.get(self.pieces, i))
-        return F.array_join(pieces, "").cast("binary")
+        """The bytes of the ids."""
+        pieces = self.spark.sparkContext.broadcast(piece_table(self.ranks))
+
+        @F.arrow_udf(T.BinaryType())
+        def join(ids: pa.Array) -> pa.Array:
+            return decoded(ids, *pieces.value)
+
+        return join(ids)
+
+
+def piece_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces one after the other, and where each begins."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        pieces[v] = k
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)]).astype(np.int64)
+
+
+def decoded(ids: pa.Array, data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Rows of ids as rows of bytes; the array of a null row is null."""
+    flat = ids.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    number = flat.fill_null(0).to_numpy().astype(np.int64)
+    size = np.where(known, (begin[1:] - begin[:-1])[number], 0) if len(number) else np.zeros(0, np.int64)
+    rows = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])
+    total = np.concatenate([[0], np.cumsum(size)])
+    out: list[bytes | None] = []
+    valid = ids.is_valid().to_pylist()
+    for i, j in batches_of_rows(total[rows], SPLIT_BYTES):
+        a, b = rows[i], rows[j]
+        step = np.repeat(begin[number[a:b]] - total[a:b] + total[a], size[a:b]) + np.arange(total[b] - total[a])
+        part = data[step].tobytes()
+        out += [part[total[rows[r]] - total[a] : total[rows[r + 1]] - total[a]] if valid[r] else None for r in range(i, j)]
+    return pa.array(out, pa.binary())
 
 
 def heap_fold(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
@@ -223,7 +485,7 @@ def report(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     spark = docs.sparkSession
     default = vocabulary() if path is None or pattern is None else ("", "")
     tokenizer = Tokenizer(spark, read_ranks(spark, path or default[0]), pattern or default[1])
-    encoded = tokenizer.encode(docs.select("doc_id", "text"))
+    encoded = tokenizer.encode(docs, keep=["doc_id"])
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
