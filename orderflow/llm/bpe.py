@@ -4,10 +4,10 @@ Texts are split into words by the tokenizer's pattern, and each distinct word of
 
 1. Documents are read in chunks of at most CHUNK_BYTES of text. A chunk has a list of its distinct words
    and, for every place of a word, the word's number in that list.
-2. The (chunk, number, word) rows are dealt by word; a word has one row a chunk at most, so none is hot.
-   The distinct words are folded by higher-order functions over the arrays of their bytes, and the ids
-   are joined back to the rows.
-3. Chunks and (chunk, number, ids) rows are cogrouped by chunk, and the ids put at the words' places.
+2. The chunks' lists are cut into buckets by the words' hashes and dealt by bucket; a word stands once in
+   a chunk's list, so none is hot. Each distinct word is folded once, by higher-order functions over the
+   array of its bytes, and all its rows get the ids.
+3. Chunks and (chunk, place, ids) rows are cogrouped by chunk, and the ids put at the words' places.
 
 No text is shuffled, only the numbers (compressed) and the chunks' distinct words; nothing but the
 vocabulary passes through the driver.
@@ -38,7 +38,7 @@ import hashlib
 import heapq
 import random
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,9 @@ from pyspark.sql.window import Window
 from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, word_hashes
 
 #: Text bytes of one chunk, and those split at a time.
-CHUNK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, SPLIT_BYTES = 32 << 20, 1 << 20
+#: Buckets of words for each shuffle partition.
+BUCKETS = 8
 #: Bytes up to which a word is folded by higher-order functions.
 LONG_WORD = 256
 
@@ -168,20 +170,44 @@ def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
     return True
 
 
-def distinct_words(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the distinct words, the most frequent first, and each word's number among them."""
-    end = np.append(start[1:], len(raw))
-    hashes = word_hashes(raw, start, end)
-    _, first, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    n = end - start
-    if not (n == n[first[number]]).all() or not same_bytes(raw, start, start[first[number]], n):
-        known: dict[bytes, int] = {}  # equal hashes of different words
-        number = np.array([known.setdefault(raw[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        _, first, count = np.unique(number, return_index=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return first[order], place[number]
+def distinct(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the list of the first of each of the words (`start`, `size`; in the order of the bytes), and
+    each word's number among them."""
+    hashes = word_hashes(raw, start, start + size)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    if (size == size[first[number]]).all() and same_bytes(raw, start, start[first[number]], size):
+        order = np.argsort(first)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return first[order], place[number]
+    known: dict[bytes, int] = {}  # equal hashes of different words
+    number = np.array([known.setdefault(raw[a : a + n].tobytes(), len(known)) for a, n in zip(start.tolist(), size.tolist(), strict=True)], np.int32)
+    return np.unique(number, return_index=True)[1], number
+
+
+def distinct_words(raw: np.ndarray, offsets: np.ndarray, pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of the rows, the most frequent first; the words' numbers; each row's words."""
+    starts, sizes, numbers, counts = [], [], [], [np.zeros(0, np.int64)]
+    known = 0
+    for i, j in batches_of_rows(offsets, SPLIT_BYTES):
+        at = offsets[i] + words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], pattern)
+        counts.append(np.diff(np.searchsorted(at, offsets[i : j + 1])))
+        size = np.diff(np.append(at, offsets[j]))
+        first, number = distinct(raw, at, size)
+        starts.append(at[first])
+        sizes.append(size[first])
+        numbers.append(number + np.int32(known))
+        known += len(first)
+    if not known:
+        return [], np.zeros(0, np.int32), np.concatenate(counts)
+    start, size, number = np.concatenate(starts), np.concatenate(sizes), np.concatenate(numbers)
+    first, again = distinct(raw, start, size)
+    number = again[number]
+    order = np.argsort(-np.bincount(number), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    first = first[order]
+    return [raw[a : a + n].tobytes() for a, n in zip(start[first].tolist(), size[first].tolist(), strict=True)], place[number], np.concatenate(counts)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -190,7 +216,7 @@ def packed(numbers: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int32)
 
 
 # The fold
@@ -274,14 +300,14 @@ class Fold:
         done = F.aggregate(F.sequence(F.lit(1), F.size(codes) - 2), begin, step, lambda s: F.slice(s, F.lit(2), F.size(s) - 2))
         return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
 
-    def words(self, rows: DataFrame, many: int) -> DataFrame:
-        """The (chunk, number, word) rows with the word's ids: of the rows of a word, the first one's are
-        folded and the others get them, in one pass over the sorted rows."""
-        own = Window.partitionBy("word").orderBy("chunk")
+    def words(self, rows: DataFrame) -> DataFrame:
+        """The rows (chunk, bucket, word), dealt by bucket, with the word's ids: of the rows of a word, the
+        first one's are folded and the others get them, in one pass over the sorted rows."""
+        own = Window.partitionBy("bucket", "word").orderBy("chunk")
         # A byte's code is its character's in ISO-8859-1.
         letters = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), F.ascii)
         codes = F.concat(F.array(F.lit(256)), letters, F.array(F.lit(256)))
-        first = rows.repartition(many, "word").withColumn("n", F.row_number().over(own)).withColumn("codes", F.when(F.col("n") == 1, codes))
+        first = rows.withColumn("n", F.row_number().over(own)).withColumn("codes", F.when(F.col("n") == 1, codes))
         if self.whole:
             whole = self.spark.createDataFrame(pa.table({"word": list(self.whole), "whole": pa.array([[v] for v in self.whole.values()], pa.list_(pa.int32()))}))
             first = first.join(F.broadcast(whole), "word", "left")
@@ -293,44 +319,52 @@ class Fold:
 
 # Encoding and decoding
 
-CHUNK = T.StructType(
-    [T.StructField("chunk", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("n_words", T.IntegerType()), T.StructField("kept", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("long", T.ArrayType(T.IntegerType())), T.StructField("long_words", T.ArrayType(T.BinaryType()))]
-)
-
-
-def chunk_row(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, pattern: str) -> pa.RecordBatch:
-    """One chunk: a key made of its rows; its distinct words up to LONG_WORD bytes (null: longer); the kept
-    columns; each row's number of words; the words' numbers; the longer words."""
-    start = [np.zeros(0, np.int64)]
-    for i, j in batches_of_rows(offsets, SPLIT_BYTES):
-        start.append(offsets[i] + words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], pattern))
-    start = np.concatenate(start)
-    first, number = distinct_words(raw, start)
-    end = np.append(start[1:], len(raw))[first]
-    words = [raw[a:b].tobytes() for a, b in zip(start[first].tolist(), end.tolist(), strict=True)]
-    long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as out:
-        out.write_batch(rows)
-    kept = sink.getvalue().to_pybytes()
-    key = hashlib.blake2b(kept, digest_size=8)
-    key.update(np.ascontiguousarray(raw))
-    key.update(np.ascontiguousarray(offsets))
-    columns = [
-        [int.from_bytes(key.digest(), "little", signed=True)],
-        [[w if len(w) <= LONG_WORD else None for w in words]],
-        [len(words)],
-        [zstandard.compress(kept)],
-        [packed(np.diff(np.searchsorted(start, offsets)))],
-        [packed(number)],
-        [long],
-        [[words[k] for k in long]],
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, to_arrow_schema(CHUNK).types, strict=True)], names=CHUNK.fieldNames())
-
-
-def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str) -> DataFrame:
-    """The chunks of the documents, one a row."""
+WORDS = "chunk long, bucket int, first int, words array<binary>"
+BODY = "chunk long, n_words int, kept binary, counts binary, numbers binary, places binary, long array<int>, long_words array<binary>"
+
+
+class Chunk:
+    """Rows of documents with about CHUNK_BYTES of text, and their distinct words."""
+
+    def __init__(self, rows: pa.RecordBatch, pattern: str):
+        raw, offsets = buffer_of(rows.column(rows.num_columns - 1))
+        self.words, self.numbers, self.counts = distinct_words(raw, offsets, pattern)
+        kept = pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.nulls(rows.num_rows)], names=[str(i) for i in range(rows.num_columns)])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_batch(kept)
+        self.kept = sink.getvalue().to_pybytes()
+        key = hashlib.blake2b(self.kept, digest_size=8)
+        key.update(np.ascontiguousarray(raw))
+        key.update(np.ascontiguousarray(offsets))
+        self.key = int.from_bytes(key.digest(), "little", signed=True)
+        self.long = [k for k, w in enumerate(self.words) if len(w) > LONG_WORD]
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words up to LONG_WORD bytes in the order (bucket, word), and their buckets."""
+        order = np.array(sorted((k for k, w in enumerate(self.words) if len(w) <= LONG_WORD), key=self.words.__getitem__), np.int64)
+        data, offsets = buffer_of(pa.array(self.words, pa.binary()))
+        own = (word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int32)[order] if len(order) else np.zeros(0, np.int32)
+        by = np.argsort(own, kind="stable")
+        return order[by], own[by]
+
+    def word_rows(self, buckets: int) -> pa.RecordBatch:
+        order, own = self.dealt(buckets)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        words = pa.array([self.words[k] for k in order.tolist()], pa.binary())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), words)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.key)), pa.array(own[first]), pa.array(first.astype(np.int32)), lists], names=["chunk", "bucket", "first", "words"])
+
+    def body(self, buckets: int) -> pa.RecordBatch:
+        """The kept columns, each row's number of words, the words' numbers, the numbers in the words' order
+        in `word_rows`, and the longer words."""
+        columns = {"chunk": [self.key], "n_words": [len(self.words)], "kept": [zstandard.compress(self.kept)], "counts": [packed(self.counts)], "numbers": [packed(self.numbers)], "places": [packed(self.dealt(buckets)[0])], "long": [self.long], "long_words": [[self.words[k] for k in self.long]]}
+        kinds = {"chunk": pa.int64(), "n_words": pa.int32(), "long": pa.list_(pa.int32()), "long_words": pa.list_(pa.binary())}
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.binary())) for c, v in columns.items()], names=list(columns))
+
+
+def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str, part: Callable[[Chunk], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `part` makes of the chunks of the documents."""
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], as_bytes(docs[f"`{text_col}`"]))
     k = len(keep)
 
@@ -339,44 +373,45 @@ def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str) -> Dat
         for batch in batches:
             _, offsets = buffer_of(batch.column(k))
             for i, j in batches_of_rows(offsets, CHUNK_BYTES):
-                if held and size + offsets[j] - offsets[i] > CHUNK_BYTES:
-                    yield whole(held)
+                more = offsets[j] - offsets[i] + 64 * (j - i)
+                if held and size + more > CHUNK_BYTES:
+                    yield part(Chunk(pa.concat_batches(held), pattern))
                     held, size = [], 0
                 held.append(batch.slice(i, j - i))
-                size += offsets[j] - offsets[i] + 64 * (j - i)
+                size += more
         if held:
-            yield whole(held)
-
-    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.concat_batches(held)
-        raw, offsets = buffer_of(rows.column(k))
-        kept = pa.RecordBatch.from_arrays([*rows.columns[:k], pa.nulls(rows.num_rows)], names=[str(i) for i in range(k + 1)])
-        return chunk_row(kept, raw, offsets, pattern)
+            yield part(Chunk(pa.concat_batches(held), pattern))
 
     bounded_batches(docs.sparkSession)
-    return frame.mapInArrow(run, CHUNK)
+    return frame.mapInArrow(run, schema)
+
+
+CHANGED = "a chunk changed between two readings of the documents; checkpoint them before"
 
 
 def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """The rows of a chunk (or of chunks that are equal) with their ids."""
     if not left.num_rows:
-        raise ValueError("a chunk changed between two readings of the documents; checkpoint them before")
+        raise ValueError(CHANGED)
     for row in left.to_pylist():
-        n, numbers, counts = row["n_words"], unpacked(row["numbers"]), unpacked(row["counts"])
+        n, numbers, places = row["n_words"], unpacked(row["numbers"]), unpacked(row["places"])
         long = [heap_fold(w, ranks) for w in row["long_words"]]
-        at = np.concatenate([right["number"].to_numpy().astype(np.int64), np.array(row["long"], np.int64)])
+        if right.num_rows and right["place"].to_numpy().max() >= len(places):
+            raise ValueError(CHANGED)
+        own = places[right["place"].to_numpy()] if right.num_rows else np.zeros(0, np.int32)
+        at = np.concatenate([own, np.array(row["long"], np.int32)])
         ids = right["ids"].combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
         flat = np.concatenate([ids.flatten().to_numpy(), *[np.array(x, np.int32) for x in long]]).astype(np.int32)
-        size = np.concatenate([ids.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x) for x in long])]).astype(np.int64)
-        begin, length = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        size = np.concatenate([ids.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x) for x in long])]).astype(np.int32)
+        begin, length = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         begin[at], length[at] = np.cumsum(size) - size, size
         if (begin < 0).any():
-            raise ValueError("a chunk changed between two readings of the documents; checkpoint them before")
+            raise ValueError(CHANGED)
         many = length[numbers]
-        after = np.cumsum(many)
-        ids = flat[np.repeat(begin[numbers] - after + many, many) + np.arange(int(many.sum()))]
-        rows = np.concatenate([[0], np.cumsum(counts)])
-        offsets = np.concatenate([[0], after])[rows].astype(np.int32)
+        after = np.cumsum(many, dtype=np.int32)
+        ids = flat[np.repeat(begin[numbers] - after + many, many) + np.arange(int(after[-1]) if len(after) else 0, dtype=np.int32)]
+        rows = np.concatenate([[0], np.cumsum(unpacked(row["counts"]))])
+        offsets = np.concatenate([np.zeros(1, np.int32), after])[rows]
         kept = next(iter(pa.ipc.open_stream(zstandard.decompress(row["kept"]))))
         yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], schema=schema)
 
@@ -392,11 +427,13 @@ class Tokenizer:
         keep = docs.columns if keep is None else keep
         if out.lower() in {c.lower() for c in keep}:
             raise ValueError(f"the frame has a column {out}; give another name")
-        found = chunks(docs, keep, text_col, self.pattern)
         many = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        words = found.select("chunk", F.posexplode("words").alias("number", "word")).where("word is not null")
+        buckets = BUCKETS * many
+        body = chunks(docs, keep, text_col, self.pattern, lambda c: c.body(buckets), BODY)
+        words = chunks(docs, keep, text_col, self.pattern, lambda c: c.word_rows(buckets), WORDS).repartition(many, "bucket")
+        words = words.select("chunk", "bucket", "first", F.posexplode("words").alias("place", "word")).withColumn("place", F.col("place") + F.col("first"))
         fold = Fold(self.spark, self.ranks)
-        pieces = fold.words(words, many).select(F.col("chunk").alias("of"), "number", "ids")
+        pieces = fold.words(words).select(F.col("chunk").alias("of"), "place", "ids")
         fold.drop()
         schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
         arrow, ranks = to_arrow_schema(schema), self.spark.sparkContext.broadcast(self.ranks)
@@ -404,7 +441,7 @@ class Tokenizer:
         def fill(left: pa.Table, right: pa.Table) -> pa.Table:
             return pa.Table.from_batches(filled(left, right, arrow, ranks.value), arrow)
 
-        return found.drop("words").groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(fill, schema)
+        return body.groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(fill, schema)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids."""

@@ -1,6 +1,6 @@
 """URL filters as a sort-merge range join, with DataFrame operations only.
 
-A host reversed label by label ("net,example,a,") turns "this host and its subdomains" into an
+A host reversed label by label ("net/example/a/"; no host holds a slash) turns "this host and its subdomains" into an
 interval of keys that begin with the rule's key. Rules and urls are merged into one sorted sweep; for
 each depth (number of host labels) the sweep holds the last rule host met. Such a slot is on the stack
 of active nested rules as long as the current key begins with its key; a key that doesn't has left the
@@ -42,8 +42,8 @@ def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def host_key(host: F.Column) -> F.Column:
-    """"a.example.net" becomes "net,example,a,"; the empty host stays empty."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(",")))
+    """"a.example.net" becomes "net/example/a/"; the empty host stays empty."""
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/")))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -64,7 +64,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, *, key_col: str = "page_id",
         .withColumn("key", host_key(F.col("host"))).withColumn("depth", F.size(F.split("host", r"\.")))
     )
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    label = lambda c: F.substring_index(c, ",", 1)
+    label = lambda c: F.substring_index(c, "/", 1)
 
     # A label with more than half of an even partition's rows gets salts by its share.
     even = 0.5 / max(1, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
