@@ -7,7 +7,7 @@ Texts are split into words by the tokenizer's pattern, and each distinct word of
 2. The chunks' lists are cut into buckets by the words' hashes and dealt by bucket; a word stands once in
    a chunk's list, so none is hot. Each distinct word is folded once, by higher-order functions over the
    array of its bytes, and all its rows get the ids.
-3. Chunks and (chunk, place, ids) rows are cogrouped by chunk, and the ids put at the words' places.
+3. Chunks and their buckets' ids are cogrouped by chunk, and the ids put at the words' places.
 
 No text is shuffled, only the numbers (compressed) and the chunks' distinct words; nothing but the
 vocabulary passes through the driver.
@@ -50,10 +50,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, word_hashes
+from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, equal_bytes, word_hashes
 
 #: Text bytes of one chunk, and those split at a time.
-CHUNK_BYTES, SPLIT_BYTES = 32 << 20, 1 << 20
+CHUNK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
 #: Buckets of words for each shuffle partition.
 BUCKETS = 8
 #: Bytes up to which a word is folded by higher-order functions.
@@ -153,29 +153,12 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
-    """Whether the stretches of n bytes at a and at b are equal, one by one."""
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    k = 0
-    while len(a):
-        x = eight[a + k] ^ eight[b + k]
-        rest = n - k
-        x <<= ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64)
-        if x.any():
-            return False
-        k += 8
-        more = n > k
-        a, b, n = a[more], b[more], n[more]
-    return True
-
-
 def distinct(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the list of the first of each of the words (`start`, `size`; in the order of the bytes), and
     each word's number among them."""
     hashes = word_hashes(raw, start, start + size)
     _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    if (size == size[first[number]]).all() and same_bytes(raw, start, start[first[number]], size):
+    if (size == size[first[number]]).all() and equal_bytes(raw, start, start[first[number]], size).all():
         order = np.argsort(first)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
@@ -393,27 +376,35 @@ def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes
     """The rows of a chunk (or of chunks that are equal) with their ids."""
     if not left.num_rows:
         raise ValueError(CHANGED)
+    lists = {c: right[c].combine_chunks() for c in ("first", "sizes", "ids")} if right.num_rows else None
     for row in left.to_pylist():
-        n, numbers, places = row["n_words"], unpacked(row["numbers"]), unpacked(row["places"])
-        long = [heap_fold(w, ranks) for w in row["long_words"]]
-        if right.num_rows and right["place"].to_numpy().max() >= len(places):
-            raise ValueError(CHANGED)
-        own = places[right["place"].to_numpy()] if right.num_rows else np.zeros(0, np.int32)
-        at = np.concatenate([own, np.array(row["long"], np.int32)])
-        ids = right["ids"].combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = np.concatenate([ids.flatten().to_numpy(), *[np.array(x, np.int32) for x in long]]).astype(np.int32)
-        size = np.concatenate([ids.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x) for x in long])]).astype(np.int32)
-        begin, length = np.full(n, -1, np.int32), np.zeros(n, np.int32)
-        begin[at], length[at] = np.cumsum(size) - size, size
+        numbers, places = unpacked(row["numbers"]), unpacked(row["places"])
+        at, size, flat = (np.zeros(0, np.int32) for _ in range(3))
+        if lists:
+            many = lists["sizes"].value_lengths().to_numpy()
+            at = np.repeat(lists["first"].to_numpy() - np.cumsum(many) + many, many) + np.arange(many.sum())
+            if len(at) != len(places) or at.max() >= len(places):
+                raise ValueError(CHANGED)
+            at, size, flat = places[at], lists["sizes"].flatten().to_numpy().astype(np.int32), lists["ids"].flatten().to_numpy()
+        long = [np.array(heap_fold(w, ranks), np.int32) for w in row["long_words"]]
+        at = np.concatenate([at, np.array(row["long"], np.int32)])
+        size = np.concatenate([size, np.array([len(x) for x in long], np.int32)])
+        flat = np.concatenate([flat, *long])
+        begin, length = np.full(row["n_words"], -1, np.int32), np.zeros(row["n_words"], np.int32)
+        begin[at], length[at] = np.cumsum(size, dtype=np.int32) - size, size
         if (begin < 0).any():
             raise ValueError(CHANGED)
-        many = length[numbers]
-        after = np.cumsum(many, dtype=np.int32)
-        ids = flat[np.repeat(begin[numbers] - after + many, many) + np.arange(int(after[-1]) if len(after) else 0, dtype=np.int32)]
+        offsets, ids = [0], []
         rows = np.concatenate([[0], np.cumsum(unpacked(row["counts"]))])
-        offsets = np.concatenate([np.zeros(1, np.int32), after])[rows]
+        for i, j in batches_of_rows(rows, SPLIT_BYTES):
+            own = numbers[rows[i] : rows[j]]
+            many = length[own]
+            after = np.concatenate([[0], np.cumsum(many, dtype=np.int32)])
+            ids.append(flat[np.repeat(begin[own] - after[:-1], many) + np.arange(after[-1], dtype=np.int32)])
+            offsets += (offsets[-1] + after[rows[i + 1 : j + 1] - rows[i]]).tolist()
         kept = next(iter(pa.ipc.open_stream(zstandard.decompress(row["kept"]))))
-        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], schema=schema)
+        ids = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], schema=schema)
 
 
 class Tokenizer:
@@ -433,7 +424,9 @@ class Tokenizer:
         words = chunks(docs, keep, text_col, self.pattern, lambda c: c.word_rows(buckets), WORDS).repartition(many, "bucket")
         words = words.select("chunk", "bucket", "first", F.posexplode("words").alias("place", "word")).withColumn("place", F.col("place") + F.col("first"))
         fold = Fold(self.spark, self.ranks)
-        pieces = fold.words(words).select(F.col("chunk").alias("of"), "place", "ids")
+        # One row for each list that came, its words' ids one after the other: no shuffle, as the rows are dealt by bucket.
+        lists = fold.words(words).groupBy("chunk", "bucket").agg(F.min("place").alias("first"), F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("all"))
+        pieces = lists.select(F.col("chunk").alias("of"), "first", F.transform("all", lambda x: F.size(x["ids"]).cast("smallint")).alias("sizes"), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
         fold.drop()
         schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
         arrow, ranks = to_arrow_schema(schema), self.spark.sparkContext.broadcast(self.ranks)

@@ -18,16 +18,17 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = True
 IS_WORD[128:] = True
 
-#: Rows and bytes of one Arrow batch. Texts may be long: few rows keep a batch small.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Rows and bytes of one Arrow batch, the same for all operators. Texts may be long: the bytes keep a batch small.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """The settings are read when a job runs, so they cannot differ from one operator to the next."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -51,9 +52,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """Applies `fn` to each Arrow batch; `fn` returns the output columns in the schema's order."""
-    bounded_batches(df.sparkSession, rows)
+    bounded_batches(df.sparkSession)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,20 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
     return out
 
 
+def equal_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the stretches of n bytes at a and at b are equal, one by one; eight bytes at a time."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    same, going, k = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(going):
+        x = eight[a[going] + k] ^ eight[b[going] + k]
+        x <<= ((8 - np.minimum(n[going] - k, 8)) * 8).astype(np.uint64)
+        same[going[x != 0]] = False
+        k += 8
+        going = going[(x == 0) & (n[going] > k)]
+    return same
+
+
 def batches_of_rows(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows of at most `most` bytes each, or of one longer row."""
     i, n = 0, len(offsets) - 1

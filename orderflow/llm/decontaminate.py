@@ -2,8 +2,9 @@
 
 Each Arrow batch of documents is a shard. Its words become numbers of the benchmark's vocabulary (0:
 not in it), a suffix array of the stretches that can hold a window is built by prefix doubling, and
-every benchmark suffix is binary-searched in it. A hit's range gives all locations; each is extended
-word by word to the longest verbatim match. No text is shuffled: a document's result is complete in
+every distinct window at the beginning of a benchmark suffix is binary-searched in it. A hit's range gives
+all locations. Of the pairs of a location and a suffix, those that don't go on to the left are extended
+word by word to the longest verbatim match; pairs are looked at in slices of bounded size. No text is shuffled: a document's result is complete in
 its own shard, for any number of executors.
 
 The benchmark goes to the executors in blocks of at most BLOCK_BYTES; each block is one pass that
@@ -18,19 +19,23 @@ either table are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, free_name, map_arrow, word_hashes, word_spans
+from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, equal_bytes, free_name, map_arrow, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 #: Words of one suffix array; a longer stretch is cut with an overlap that no window can escape.
 SHARD_WORDS = 1 << 20
+#: (place, suffix) pairs that are looked at together.
+PAIRS = 1 << 20
 
 MATCH = "array<struct<item_id:string,longest:int,first_word:int>>"
 SPAN = "array<struct<start:int,end:int>>"
@@ -45,20 +50,29 @@ class Patterns:
         low, s, e, first = word_spans(raw, offsets)
         hashes = word_hashes(low, s, e)
         self.window = window
-        self.ids = [i for i, _ in items]
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        #: Each item's number among the names, -1 for null.
+        self.name = np.array([-1 if i is None else number[i] for i, _ in items], np.int64)
         self.vocab, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        self.words = [low[s[i] : e[i]].tobytes() for i in at]
+        #: The vocabulary's words: all bytes, begin and size.
+        self.low, self.begin, self.size = low, s[at], e[at] - s[at]
         n = np.diff(first)
         self.longest = int(n.max(initial=0))
-        self.groups = []  # (words to match, item of each suffix, place in it, matrix of its first words)
+        #: Distinct windows of one length: (length, matrix, where each one's suffixes begin in the lists of items,
+        #: places in the block and words to the item's end).
+        self.groups = []
         self.shortest = min((int(min(window, x)) for x in n if x), default=0)
-        self.padded = np.concatenate([inverse.astype(np.int32) + 1, np.full(self.longest + window, -1, np.int32)])
-        self.first, self.n = first[:-1], n
+        self.padded = np.concatenate([[0], inverse.astype(np.int32) + 1, np.full(self.longest + window, -1, np.int32)])
+        self.first = first[:-1] + 1
         for w in sorted({int(min(window, x)) for x in n if x}):
             own = [(i, p) for i in range(len(items)) if n[i] and min(window, n[i]) == w for p in range(n[i] - w + 1)]
             item, place = np.array(own, dtype=np.int64).T
             start = self.first[item] + place
-            self.groups.append((w, item, start, self.n[item] - place, self.padded[start[:, None] + np.arange(w)]))
+            matrix, which = np.unique(self.padded[start[:, None] + np.arange(w)], axis=0, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(which.ravel()))])
+            self.groups.append((w, matrix, ends, item[order], start[order], (n[item] - place)[order]))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -94,74 +108,105 @@ def _bound(text: np.ndarray, order: np.ndarray, patterns: np.ndarray, upper: boo
         hi = np.where(open_ & ~right, mid, hi)
 
 
-def _search(numbers: np.ndarray, patterns: Patterns) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Hits in one stretch of words: (item, word, longest match from there, window)."""
+def _expanded(begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of `many` numbers from `begin`: the range of each number, and the number."""
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + begin[of]
+
+
+def _search(numbers: np.ndarray, patterns: Patterns) -> Iterator[tuple[int, np.ndarray, Iterator]]:
+    """Hits in one stretch of words: for each window length the hit places, and in slices
+    (item, place, longest match from there) of the matches that begin before no longer one."""
     w0 = patterns.shortest
     edge = np.flatnonzero(np.diff(np.concatenate([[0], (numbers > 0).astype(np.int8), [0]])))
     a, b = edge[::2], edge[1::2]
     keep = (b - a) >= w0
     a, b = a[keep], b[keep]
     if not len(a):
-        return []
+        return
     lengths = b - a + 1  # and a separator
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     origin = np.arange(int(lengths.sum())) - np.repeat(starts - a, lengths)
     text = np.where(origin < np.repeat(b, lengths), numbers[np.minimum(origin, len(numbers) - 1)], 0).astype(np.int32)
     order = suffix_array(text, min(patterns.longest, 1 << 20))
     padded = np.concatenate([text, np.zeros(patterns.longest + patterns.window + 1, np.int32)])
-    found = []
-    for w, item, start, left, matrix in patterns.groups:
+    for w, matrix, ends, item, start, left in patterns.groups:
         lo, hi = _bound(padded, order, matrix, False), _bound(padded, order, matrix, True)
-        many = hi - lo
-        hit = np.flatnonzero(many)
-        if not len(hit):
-            continue
-        rep = np.repeat(hit, many[hit])
-        inside = np.arange(len(rep)) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit])
-        place = order[lo[rep] + inside]
-        length = np.full(len(rep), w)
-        going = np.arange(len(rep))
-        while len(going):
-            more = length[going] < left[rep[going]]
-            going = going[more]
-            same = padded[place[going] + length[going]] == patterns.padded[start[rep[going]] + length[going]]
-            going = going[same]
-            length[going] += 1
-        found.append((item[rep], origin[place], length, w))
-    return found
-
-
-def _judge(raw: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, list, list]:
-    """Number of words, merged hit spans and matches of each row."""
+        hit = np.flatnonzero(hi > lo)
+        if len(hit):
+            window, place = _expanded(lo[hit], (hi - lo)[hit])
+            place, window = order[place], hit[window]
+
+            def matches(window=window, place=place, ends=ends, item=item, start=start, left=left, w=w) -> Iterator:
+                many = np.diff(ends)[window]
+                total = np.cumsum(many)
+                i = 0
+                while i < len(place):
+                    j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, side="right")))
+                    of, suffix = _expanded(ends[window[i:j]], many[i:j])
+                    at = place[i:j][of]
+                    # A match that goes on to the left is not its item's longest.
+                    before = np.where(at > 0, padded[at - 1], 0)
+                    new = (before == 0) | (before != patterns.padded[start[suffix] - 1]) | (start[suffix] == patterns.first[item[suffix]])
+                    at, suffix = at[new], suffix[new]
+                    length = np.full(len(at), w)
+                    going = np.arange(len(at))
+                    while len(going):
+                        going = going[length[going] < left[suffix[going]]]
+                        going = going[padded[at[going] + length[going]] == patterns.padded[start[suffix[going]] + length[going]]]
+                        length[going] += 1
+                    yield item[suffix], origin[at], length
+                    i = j
+
+            yield w, origin[place], matches()
+
+
+def _best(row: np.ndarray, name: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each (row, name) the longest match, ties to the first place."""
+    order = np.lexsort((place, -length, name, row))
+    row, name, place, length = row[order], name[order], place[order], length[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+    return row[new], name[new], place[new], length[new]
+
+
+def _judge(raw: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, dict[int, list], dict[int, dict]]:
+    """Number of words of each row; the merged hit spans and the matches of the rows that have any."""
     low, s, e, first = word_spans(raw, offsets)
     rows = len(offsets) - 1
-    spans: list[list] = [[] for _ in range(rows)]
-    matches: list[dict] = [{} for _ in range(rows)]
-    if len(s) and patterns.shortest:
-        hashes = word_hashes(low, s, e)
-        near = np.minimum(np.searchsorted(patterns.vocab, hashes), len(patterns.vocab) - 1)
-        number = np.where(patterns.vocab[near] == hashes, near + 1, 0).astype(np.int32)
-        # A zero between rows, so that no match crosses from one document to the next.
-        row = np.repeat(np.arange(rows), np.diff(first))
-        text = np.zeros(len(number) + rows, np.int32)
-        text[np.arange(len(number)) + row] = number
-        step, over = SHARD_WORDS, patterns.longest + patterns.window
-        for at in range(0, len(text), step):
-            for item, place, length, w in _search(text[at : at + step + over], patterns):
-                place = place + at
-                # place = word + row: the row whose padded start is at or before it
-                r = np.searchsorted(first[:-1] + np.arange(rows), place, side="right") - 1
-                word = place - r
-                for i, g, n, k in zip(item.tolist(), word.tolist(), length.tolist(), r.tolist(), strict=True):
-                    if any(low[s[g + j] : e[g + j]].tobytes() != patterns.words[number[g + j] - 1] for j in range(w)):
-                        continue  # equal hashes of different words
-                    p = g - int(first[k])
-                    spans[k].append((p, p + w))
-                    if patterns.ids[i] is None:
-                        continue
-                    best = matches[k].get(patterns.ids[i])
-                    if best is None or (-n, p) < (-best[0], best[1]):
-                        matches[k][patterns.ids[i]] = (n, p)
+    spans: dict[int, list] = {}
+    matches: dict[int, dict] = {}
+    if not len(s) or not patterns.shortest:
+        return np.diff(first), spans, matches
+    hashes = word_hashes(low, s, e)
+    near = np.minimum(np.searchsorted(patterns.vocab, hashes), len(patterns.vocab) - 1)
+    known = np.flatnonzero((patterns.vocab[near] == hashes) & (patterns.size[near] == e - s))
+    # Equal hashes of different words are no match.
+    known = known[equal_bytes(np.concatenate([low, patterns.low]), s[known], patterns.begin[near[known]] + len(low), (e - s)[known])]
+    # A zero between rows, so that no match crosses from one document to the next.
+    row = np.repeat(np.arange(rows), np.diff(first))
+    text = np.zeros(len(s) + rows, np.int32)
+    text[known + row[known]] = near[known] + 1
+    cover = np.zeros(len(text) + 1, np.int32)
+    best = tuple(np.zeros(0, np.int64) for _ in range(4))
+    begin = first[:-1] + np.arange(rows)
+    step, over = SHARD_WORDS, patterns.longest + patterns.window
+    for at in range(0, len(text), step):
+        for w, places, found in _search(text[at : at + step + over], patterns):
+            np.add.at(cover, places + at, 1)
+            np.add.at(cover, places + at + w, -1)
+            for item, place, length in found:
+                name = patterns.name[item]
+                place, length, name = place[name >= 0] + at, length[name >= 0], name[name >= 0]
+                r = np.searchsorted(begin, place, side="right") - 1
+                best = _best(*(np.concatenate(x) for x in zip(best, (r, name, place - begin[r], length), strict=True)))
+    hit = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)])
+    edge = np.flatnonzero(np.diff(hit))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        k = int(np.searchsorted(begin, a, side="right")) - 1
+        spans.setdefault(k, []).append((a - int(begin[k]), b - int(begin[k])))
+    for k, name, p, n in zip(*(x.tolist() for x in best), strict=True):
+        matches.setdefault(k, {})[patterns.names[name]] = (n, p)
     return np.diff(first), spans, matches
 
 
@@ -203,20 +248,19 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, *, text_col: str = "text",
             patterns, k = shared.value, len(keep)
             raw, offsets = buffer_of(batch.column(k))
             old_spans, old_matches = batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist()
-            n_words, spans, matches = [], [], []
+            n_words = []
             for i, j in batches_of_rows(offsets, SHARD_BYTES):
-                n, s, m = _judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], patterns)
+                n, new_spans, new_matches = _judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], patterns)
                 n_words += n.tolist()
-                spans += s
-                matches += m
-            for r in range(batch.num_rows):
-                spans[r] = [{"start": a, "end": b} for a, b in _merged(spans[r] + [(x["start"], x["end"]) for x in old_spans[r]])]
-                best = {x["item_id"]: (x["longest"], x["first_word"]) for x in old_matches[r]}
-                for key, new in matches[r].items():
-                    if key not in best or (-new[0], new[1]) < (-best[key][0], best[key][1]):
-                        best[key] = new
-                matches[r] = [{"item_id": key, "longest": n, "first_word": p} for key, (n, p) in sorted(best.items())]
-            columns = [*batch.columns[: k + 1], pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(matches, match_type)]
+                for r, own in new_spans.items():
+                    old_spans[i + r] = [{"start": a, "end": b} for a, b in _merged(own + [(x["start"], x["end"]) for x in old_spans[i + r]])]
+                for r, own in new_matches.items():
+                    best = {x["item_id"]: (x["longest"], x["first_word"]) for x in old_matches[i + r]}
+                    for key, new in own.items():
+                        if key not in best or (-new[0], new[1]) < (-best[key][0], best[key][1]):
+                            best[key] = new
+                    old_matches[i + r] = [{"item_id": key, "longest": n, "first_word": p} for key, (n, p) in sorted(best.items())]
+            columns = [*batch.columns[: k + 1], pa.array(n_words, pa.int64()), pa.array(old_spans, span_type), pa.array(old_matches, match_type)]
             return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
         frame = map_arrow(frame, judge, schema)

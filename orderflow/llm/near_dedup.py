@@ -173,7 +173,7 @@ def links(fps: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
         return {"key": pa.array(key[home].astype(np.int32))}
 
     # Keys at home to many fingerprints: at most 3 n / HOT_HOMES, each dealt over several salts.
-    at_home = map_arrow(only, homes, T.StructType([key_type["key"]]), rows=20_000)
+    at_home = map_arrow(only, homes, T.StructType([key_type["key"]]))
     hot = {r.key: -(-r["count"] // HOT_HOMES) for r in at_home.groupBy("key").count().where(F.col("count") > HOT_HOMES).collect()}
     hot_key = np.array(sorted(hot), dtype=np.int64)
     hot_salts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
@@ -230,8 +230,8 @@ def links(fps: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
             for at in range(0, len(x), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000]), pa.array(y[at : at + 10_000])], names=["a", "b"])
 
-    buckets = map_arrow(only, keyed, key_type, rows=2_000).repartition("key", "salt").sortWithinPartitions("key", "salt")
-    bounded_batches(fps.sparkSession, 2_000)
+    buckets = map_arrow(only, keyed, key_type).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    bounded_batches(fps.sparkSession)
     return buckets.mapInArrow(verified, "a long, b long").distinct()
 
 
@@ -242,10 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's larger neighbours go to the smallest of the neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Each side of a join is a stored table, so a node with very many neighbours can be split.
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = checkpointed(large)
         # Small star: each node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct()
         edges = checkpointed(small)
         # Stars alone are left when no node is both a member and a root; the sums then stand still.
