@@ -9,7 +9,7 @@ Texts are split into words by the tokenizer's pattern, and each distinct word of
    array of its bytes, and all its rows get the ids.
 3. Chunks and their buckets' ids are cogrouped by chunk, and the ids put at the words' places.
 
-No text is shuffled, only the numbers (compressed) and the chunks' distinct words; nothing but the
+No text is shuffled, only the numbers (compressed) and the chunks' distinct words, by size, without separators; nothing but the
 vocabulary passes through the driver.
 
 The fold's state is one array of longs, a number for each piece: the rank of the pair that it makes with
@@ -26,7 +26,7 @@ Decoding looks up each id's bytes and joins the binary pieces.
 
 Defined results: a null or empty text has no ids; unpaired or invalid bytes are kept as they are;
 repeated rows are encoded one by one; a null id decodes to nothing; an empty table gives an empty one;
-`encode` returns the columns asked for and one more, whose name the caller gives. Its input is read twice
+`encode` returns the columns asked for and one more. Its input is read twice
 and must come in the same rows, order and partitions both times, as stored tables do; a frame that
 doesn't is to be checkpointed before. A chunk that changed in between is an error, not a wrong result.
 """
@@ -50,12 +50,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, equal_bytes, word_hashes
+from orderflow.llm.common import as_bytes, batches_of_rows, bounded_batches, buffer_of, equal_bytes, new_name, word_hashes
 
 #: Text bytes of one chunk, and those split at a time.
-CHUNK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, SPLIT_BYTES = 12 << 20, 1 << 20
 #: Buckets of words for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 2
 #: Bytes up to which a word is folded by higher-order functions.
 LONG_WORD = 256
 
@@ -83,10 +83,11 @@ def kinds() -> np.ndarray:
     """White space, letter, number or other, for each code point."""
     if not _KINDS:
         table = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, cls in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-            for m in regex.finditer(cls, every):
-                table[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+        for begin in [*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)]:
+            block = "".join(map(chr, range(begin, begin + 0x800)))
+            for kind, cls in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+                for m in regex.finditer(cls, block):
+                    table[begin + m.start() : begin + m.end()] = kind
         table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
         _KINDS.append(table)
     return _KINDS[0]
@@ -226,35 +227,50 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return base, cells
 
 
-class Fold:
-    """The fold of one vocabulary; its literals are session variables until `drop`."""
+def joined_bytes(parts: Column) -> Column:
+    """An array of binaries as one. Joined as strings, which keep any bytes."""
+    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
+
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+class Literals:
+    """Arrays that are values in the plan: session variables until `drop`, then held by the frames alone."""
+
+    def __init__(self, spark: SparkSession):
         self.spark, self.names = spark, []
-        self.end = max(ranks.values(), default=0) + 1
-        base, cells = rank_map(ranks)
-        self.base, self.cells = self._literal("int", base), self._literal("bigint", cells)
-        first = []  # two neighbour bytes, 256 being the end: the state of the left one
-        for a in range(257):
-            own = self.end if a == 256 else ranks.get(bytes([a]), self.end)
-            first += [(ranks[bytes([a, b])] << 40 if a < 256 and b < 256 and bytes([a, b]) in ranks else NO_RANK) | own for b in range(257)]
-        self.first = self._literal("bigint", first)
-        #: Words that are a piece as a whole, even if merges alone would not make it.
-        self.whole = {k: v for k, v in ranks.items() if 1 < len(k) <= LONG_WORD and heap_fold(k, ranks, whole=False) != [v]}
 
-    def _literal(self, kind: str, values: list[int]) -> Column:
+    def array(self, values: pa.Array, kind: str) -> Column:
         name, view = f"bpe_{uuid.uuid4().hex}", f"bpe_{uuid.uuid4().hex}"
-        self.spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(pa.int32() if kind == "int" else pa.int64()))})).createOrReplaceTempView(view)
+        rows = pa.table({"v": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)})
+        self.spark.createDataFrame(rows).createOrReplaceTempView(view)
         self.spark.sql(f"DECLARE VARIABLE {name} array<{kind}>")
-        self.spark.sql(f"SET VAR {name} = (SELECT v FROM {view})")
+        self.spark.sql(f"SET VAR {name} = (SELECT transform(v, x -> cast(x as {kind})) FROM {view})")
         self.spark.catalog.dropTempView(view)
         self.names.append(name)
         return F.expr(f"session.{name}")
 
     def drop(self) -> None:
-        """After the frames are made: these hold the values."""
         for name in self.names:
             self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+        self.names.clear()
+
+
+class Fold:
+    """The fold of one vocabulary."""
+
+    def __init__(self, literals: Literals, ranks: dict[bytes, int]):
+        self.spark = literals.spark
+        #: Bytes that an id is written in.
+        self.width = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
+        self.end = max(ranks.values(), default=0) + 1
+        base, cells = rank_map(ranks)
+        self.base, self.cells = literals.array(pa.array(base, pa.int32()), "int"), literals.array(pa.array(cells, pa.int64()), "bigint")
+        first = []  # two neighbour bytes, 256 being the end: the state of the left one
+        for a in range(257):
+            own = self.end if a == 256 else ranks.get(bytes([a]), self.end)
+            first += [(ranks[bytes([a, b])] << 40 if a < 256 and b < 256 and bytes([a, b]) in ranks else NO_RANK) | own for b in range(257)]
+        self.first = literals.array(pa.array(first, pa.int64()), "bigint")
+        #: Words that are a piece as a whole, even if merges alone would not make it.
+        self.whole = {k: v for k, v in ranks.items() if 1 < len(k) <= LONG_WORD and heap_fold(k, ranks, whole=False) != [v]}
 
     def pair(self, a: Column, b: Column) -> Column:
         """The rank of the pair, in its bits of the state."""
@@ -271,7 +287,7 @@ class Fold:
         return F.array_insert(F.array_insert(rest, at - 1, left), at, right)
 
     def ids(self, codes: Column) -> Column:
-        """The ids of a word, from the array of its bytes between two ends (256)."""
+        """The ids of a word, `width` bytes each, from the array of its bytes between two ends (256)."""
         begin = F.transform(codes, lambda x, i: F.get(self.first, x * F.lit(257) + F.coalesce(F.get(codes, i + 1), F.lit(256))) + F.shiftleft(i.cast("long"), 20))
 
         def step(state: Column, _: Column) -> Column:
@@ -281,7 +297,7 @@ class Fold:
             return F.when(least >= NO_RANK, state).otherwise(join)
 
         done = F.aggregate(F.sequence(F.lit(1), F.size(codes) - 2), begin, step, lambda s: F.slice(s, F.lit(2), F.size(s) - 2))
-        return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
+        return joined_bytes(F.transform(done, lambda x: F.unhex(F.lpad(F.hex(x.bitwiseAND(ID)), 2 * self.width, "0"))))
 
     def words(self, rows: DataFrame) -> DataFrame:
         """The rows (chunk, bucket, word), dealt by bucket, with the word's ids: of the rows of a word, the
@@ -292,17 +308,17 @@ class Fold:
         codes = F.concat(F.array(F.lit(256)), letters, F.array(F.lit(256)))
         first = rows.withColumn("n", F.row_number().over(own)).withColumn("codes", F.when(F.col("n") == 1, codes))
         if self.whole:
-            whole = self.spark.createDataFrame(pa.table({"word": list(self.whole), "whole": pa.array([[v] for v in self.whole.values()], pa.list_(pa.int32()))}))
+            whole = self.spark.createDataFrame(pa.table({"word": list(self.whole), "whole": [v.to_bytes(self.width, "big") for v in self.whole.values()]}))
             first = first.join(F.broadcast(whole), "word", "left")
         else:
-            first = first.withColumn("whole", F.lit(None).cast("array<int>"))
+            first = first.withColumn("whole", F.lit(None).cast("binary"))
         folded = first.withColumn("ids", F.when(F.col("codes").isNotNull(), F.coalesce(F.col("whole"), self.ids(F.col("codes")))))
         return folded.withColumn("ids", F.last("ids", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 # Encoding and decoding
 
-WORDS = "chunk long, bucket int, first int, words array<binary>"
+WORDS = "chunk long, bucket int, first int, size int, n int, words binary"
 BODY = "chunk long, n_words int, kept binary, counts binary, numbers binary, places binary, long array<int>, long_words array<binary>"
 
 
@@ -323,20 +339,23 @@ class Chunk:
         self.key = int.from_bytes(key.digest(), "little", signed=True)
         self.long = [k for k, w in enumerate(self.words) if len(w) > LONG_WORD]
 
-    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the words up to LONG_WORD bytes in the order (bucket, word), and their buckets."""
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the words up to LONG_WORD bytes in the order (bucket, size, word), their buckets and sizes."""
         order = np.array(sorted((k for k, w in enumerate(self.words) if len(w) <= LONG_WORD), key=self.words.__getitem__), np.int64)
         data, offsets = buffer_of(pa.array(self.words, pa.binary()))
-        own = (word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int32)[order] if len(order) else np.zeros(0, np.int32)
-        by = np.argsort(own, kind="stable")
-        return order[by], own[by]
+        size = np.diff(offsets)[order]
+        own = (word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)[order] if len(order) else size
+        by = np.argsort(own * (LONG_WORD + 1) + size, kind="stable")
+        return order[by], own[by], size[by]
 
     def word_rows(self, buckets: int) -> pa.RecordBatch:
-        order, own = self.dealt(buckets)
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        words = pa.array([self.words[k] for k in order.tolist()], pa.binary())
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), words)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.key)), pa.array(own[first]), pa.array(first.astype(np.int32)), lists], names=["chunk", "bucket", "first", "words"])
+        """A row for each bucket and size: the words' bytes one after the other."""
+        order, own, size = self.dealt(buckets)
+        first = np.flatnonzero(np.diff(own * (LONG_WORD + 1) + size, prepend=-1))
+        ends = np.append(first[1:], len(order))
+        words = [b"".join(map(self.words.__getitem__, order[a:b].tolist())) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        numbers = [pa.array(x.astype(np.int32)) for x in (own[first], first, size[first], ends - first)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.key)), *numbers, pa.array(words, pa.binary())], names=["chunk", "bucket", "first", "size", "n", "words"])
 
     def body(self, buckets: int) -> pa.RecordBatch:
         """The kept columns, each row's number of words, the words' numbers, the numbers in the words' order
@@ -377,6 +396,7 @@ def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes
     if not left.num_rows:
         raise ValueError(CHANGED)
     lists = {c: right[c].combine_chunks() for c in ("first", "sizes", "ids")} if right.num_rows else None
+    width = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
     for row in left.to_pylist():
         numbers, places = unpacked(row["numbers"]), unpacked(row["places"])
         at, size, flat = (np.zeros(0, np.int32) for _ in range(3))
@@ -385,7 +405,7 @@ def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes
             at = np.repeat(lists["first"].to_numpy() - np.cumsum(many) + many, many) + np.arange(many.sum())
             if len(at) != len(places) or at.max() >= len(places):
                 raise ValueError(CHANGED)
-            at, size, flat = places[at], lists["sizes"].flatten().to_numpy().astype(np.int32), lists["ids"].flatten().to_numpy()
+            at, size, flat = places[at], lists["sizes"].flatten().to_numpy().astype(np.int32), buffer_of(lists["ids"])[0].view(f">u{width}").astype(np.int32)
         long = [np.array(heap_fold(w, ranks), np.int32) for w in row["long_words"]]
         at = np.concatenate([at, np.array(row["long"], np.int32)])
         size = np.concatenate([size, np.array([len(x) for x in long], np.int32)])
@@ -412,22 +432,25 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, pattern
+        self.literals, self.pieces = Literals(spark), None
 
     def encode(self, docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
-        """The kept columns (all) and the ids of each text."""
+        """The kept columns (all) and the ids of each text; a name that one of them has is underscored."""
         keep = docs.columns if keep is None else keep
-        if out.lower() in {c.lower() for c in keep}:
-            raise ValueError(f"the frame has a column {out}; give another name")
+        out = new_name(keep, out)
         many = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = BUCKETS * many
         body = chunks(docs, keep, text_col, self.pattern, lambda c: c.body(buckets), BODY)
-        words = chunks(docs, keep, text_col, self.pattern, lambda c: c.word_rows(buckets), WORDS).repartition(many, "bucket")
-        words = words.select("chunk", "bucket", "first", F.posexplode("words").alias("place", "word")).withColumn("place", F.col("place") + F.col("first"))
-        fold = Fold(self.spark, self.ranks)
+        rows = chunks(docs, keep, text_col, self.pattern, lambda c: c.word_rows(buckets), WORDS).repartition(many, "bucket")
+        cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("words", i * F.col("size") + 1, F.col("size")))
+        words = rows.select("chunk", "bucket", "first", F.posexplode(cut).alias("place", "word")).withColumn("place", F.col("place") + F.col("first"))
+        literals = Literals(self.spark)
+        fold = Fold(literals, self.ranks)
         # One row for each list that came, its words' ids one after the other: no shuffle, as the rows are dealt by bucket.
-        lists = fold.words(words).groupBy("chunk", "bucket").agg(F.min("place").alias("first"), F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("all"))
-        pieces = lists.select(F.col("chunk").alias("of"), "first", F.transform("all", lambda x: F.size(x["ids"]).cast("smallint")).alias("sizes"), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
-        fold.drop()
+        lists = fold.words(words).groupBy("chunk", "bucket", "first").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("all"))
+        sizes = F.transform("all", lambda x: (F.octet_length(x["ids"]) / fold.width).cast("smallint"))
+        pieces = lists.select(F.col("chunk").alias("of"), "first", sizes.alias("sizes"), joined_bytes(F.transform("all", lambda x: x["ids"])).alias("ids"))
+        literals.drop()
         schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
         arrow, ranks = to_arrow_schema(schema), self.spark.sparkContext.broadcast(self.ranks)
 
@@ -437,40 +460,18 @@ class Tokenizer:
         return body.groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(fill, schema)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the ids."""
-        pieces = self.spark.sparkContext.broadcast(piece_table(self.ranks))
-
-        @F.arrow_udf(T.BinaryType())
-        def join(ids: pa.Array) -> pa.Array:
-            return decoded(ids, *pieces.value)
+        """The bytes of the ids. The column is to be used before `close`."""
+        if self.pieces is None:
+            pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
+            for k, v in self.ranks.items():
+                pieces[v] = k
+            self.pieces = self.literals.array(pa.array(pieces, pa.binary()), "string")
+        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").cast("binary")
 
-        return join(ids)
-
-
-def piece_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all pieces one after the other, and where each begins."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for k, v in ranks.items():
-        pieces[v] = k
-    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)]).astype(np.int64)
-
-
-def decoded(ids: pa.Array, data: np.ndarray, begin: np.ndarray) -> pa.Array:
-    """Rows of ids as rows of bytes; the array of a null row is null."""
-    flat = ids.flatten()
-    known = flat.is_valid().to_numpy(zero_copy_only=False)
-    number = flat.fill_null(0).to_numpy().astype(np.int64)
-    size = np.where(known, (begin[1:] - begin[:-1])[number], 0) if len(number) else np.zeros(0, np.int64)
-    rows = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])
-    total = np.concatenate([[0], np.cumsum(size)])
-    out: list[bytes | None] = []
-    valid = ids.is_valid().to_pylist()
-    for i, j in batches_of_rows(total[rows], SPLIT_BYTES):
-        a, b = rows[i], rows[j]
-        step = np.repeat(begin[number[a:b]] - total[a:b] + total[a], size[a:b]) + np.arange(total[b] - total[a])
-        part = data[step].tobytes()
-        out += [part[total[rows[r]] - total[a] : total[rows[r + 1]] - total[a]] if valid[r] else None for r in range(i, j)]
-    return pa.array(out, pa.binary())
+    def close(self) -> None:
+        """Drops what the session holds; frames made before keep their values."""
+        self.literals.drop()
+        self.pieces = None
 
 
 def heap_fold(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
@@ -516,9 +517,11 @@ def report(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     default = vocabulary() if path is None or pattern is None else ("", "")
     tokenizer = Tokenizer(spark, read_ranks(spark, path or default[0]), pattern or default[1])
     encoded = tokenizer.encode(docs, keep=["doc_id"])
-    return encoded.select(
+    out = encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
+    tokenizer.close()
+    return out

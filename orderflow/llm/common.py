@@ -46,7 +46,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, underscored until the frame has no such column (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
+    return new_name(df.columns, name)
+
+
+def new_name(keep: list[str], name: str) -> str:
+    """The name of an output column: underscored where a kept column has it."""
+    taken = {c.lower() for c in keep}
     while name.lower() in taken:
         name = f"_{name}"
     return name

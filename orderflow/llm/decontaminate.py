@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, equal_bytes, free_name, map_arrow, word_hashes, word_spans
+from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, equal_bytes, free_name, map_arrow, new_name, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -59,8 +59,8 @@ class Patterns:
         self.low, self.begin, self.size = low, s[at], e[at] - s[at]
         n = np.diff(first)
         self.longest = int(n.max(initial=0))
-        #: Distinct windows of one length: (length, matrix, where each one's suffixes begin in the lists of items,
-        #: places in the block and words to the item's end).
+        #: Distinct windows of one length: (length, matrix, where each one's suffixes begin in the lists of keys,
+        #: items, places in the block and words to the item's end).
         self.groups = []
         self.shortest = min((int(min(window, x)) for x in n if x), default=0)
         self.padded = np.concatenate([[0], inverse.astype(np.int32) + 1, np.full(self.longest + window, -1, np.int32)])
@@ -70,9 +70,15 @@ class Patterns:
             item, place = np.array(own, dtype=np.int64).T
             start = self.first[item] + place
             matrix, which = np.unique(self.padded[start[:, None] + np.arange(w)], axis=0, return_inverse=True)
-            order = np.argsort(which.ravel(), kind="stable")
+            # Suffixes by window and the word before (-1 where the item begins).
+            before = np.where(place > 0, self.padded[start - 1], -1)
+            key = self.keys(which.ravel(), before)
+            order = np.argsort(key, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(which.ravel()))])
-            self.groups.append((w, matrix, ends, item[order], start[order], (n[item] - place)[order]))
+            self.groups.append((w, matrix, ends, key[order], item[order], start[order], (n[item] - place)[order]))
+
+    def keys(self, window: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return window.astype(np.int64) * (len(self.vocab) + 3) + before + 1
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -130,25 +136,26 @@ def _search(numbers: np.ndarray, patterns: Patterns) -> Iterator[tuple[int, np.n
     text = np.where(origin < np.repeat(b, lengths), numbers[np.minimum(origin, len(numbers) - 1)], 0).astype(np.int32)
     order = suffix_array(text, min(patterns.longest, 1 << 20))
     padded = np.concatenate([text, np.zeros(patterns.longest + patterns.window + 1, np.int32)])
-    for w, matrix, ends, item, start, left in patterns.groups:
+    for w, matrix, ends, keys, item, start, left in patterns.groups:
         lo, hi = _bound(padded, order, matrix, False), _bound(padded, order, matrix, True)
         hit = np.flatnonzero(hi > lo)
         if len(hit):
             window, place = _expanded(lo[hit], (hi - lo)[hit])
             place, window = order[place], hit[window]
 
-            def matches(window=window, place=place, ends=ends, item=item, start=start, left=left, w=w) -> Iterator:
-                many = np.diff(ends)[window]
+            def matches(window=window, place=place, ends=ends, keys=keys, item=item, start=start, left=left, w=w) -> Iterator:
+                # A match that goes on to the left is not its item's longest, so of a window's suffixes those with
+                # the same word before are left out: what stands before and after them is looked at.
+                own = patterns.keys(window, np.where(place > 0, padded[place - 1], 0))
+                a, b = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+                places, begin = np.concatenate([place, place]), np.concatenate([ends[window], b])
+                many = np.concatenate([a - ends[window], ends[window + 1] - b])
                 total = np.cumsum(many)
                 i = 0
-                while i < len(place):
+                while i < len(places):
                     j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, side="right")))
-                    of, suffix = _expanded(ends[window[i:j]], many[i:j])
-                    at = place[i:j][of]
-                    # A match that goes on to the left is not its item's longest.
-                    before = np.where(at > 0, padded[at - 1], 0)
-                    new = (before == 0) | (before != patterns.padded[start[suffix] - 1]) | (start[suffix] == patterns.first[item[suffix]])
-                    at, suffix = at[new], suffix[new]
+                    of, suffix = _expanded(begin[i:j], many[i:j])
+                    at = places[i:j][of]
                     length = np.full(len(at), w)
                     going = np.arange(len(at))
                     while len(going):
@@ -232,11 +239,12 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, out: tuple[str, str, str] = ("n_words", "hit_spans", "matches")) -> DataFrame:
     """The kept columns of `docs` and three more: its number of words, the merged spans of hit words,
-    and for each item found the longest verbatim match and its first word."""
+    and for each item found the longest verbatim match and its first word. A name that a kept column has is
+    underscored."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     hidden = free_name(docs, "__text")
-    n_name, span_name, match_name = out
+    n_name, span_name, match_name = (new_name(keep, n) for n in out)
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], as_bytes(docs[f"`{text_col}`"]).alias(hidden), F.lit(0).cast("long").alias(n_name), F.expr(f"cast(array() as {SPAN})").alias(span_name), F.expr(f"cast(array() as {MATCH})").alias(match_name))
     schema = frame.schema
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -31,9 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from orderflow.llm.common import as_bytes, bounded_batches, checkpointed, free_name, map_arrow
+from orderflow.llm.common import as_bytes, bounded_batches, checkpointed, map_arrow
 
 SHINGLE = 3
 DISTANCE = 3
@@ -62,14 +61,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """doc_id, a hash of the text and the fingerprint as a signed long."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("same", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        values = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1)], dtype=np.uint64)
-        return {"doc_id": batch.column(0), "fp": pa.array(values.view(np.int64))}
+        values = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(2)], dtype=np.uint64)
+        return {"doc_id": batch.column(0), "same": batch.column(1), "fp": pa.array(values.view(np.int64))}
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("t")), run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("same"), as_bytes(text_col).alias("t")), run, schema)
+
+
+def text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 # The Golay code
@@ -275,20 +278,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, that with the smallest id; of rows that share that id, and of
-    components without any id, the one with the smallest hash of its text. The columns stay."""
+    """One document of each component, that with the smallest id, any id before none; of rows that share
+    it, the one whose text, then whole row, has the smallest hash. The columns stay."""
     fps, classes = _classes(docs, id_col, text_col, distance)
-    ids = fps.join(classes, "fp").where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    key, rank = free_name(docs, "__key"), free_name(docs, "__n")
-    once = docs.join(ids.where("count = 1").select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_semi")
-
-    def first_of(rows: DataFrame) -> DataFrame:
-        least = Window.partitionBy(id_col, key).orderBy(F.xxhash64(*docs.columns))
-        return rows.withColumn(rank, F.row_number().over(least)).where(F.col(rank) == 1).select(docs.columns)
-
-    texts = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    again = docs.join(ids.where("count > 1").select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_semi")
-    twice = first_of(again.withColumn(key, F.lit(0)))
-    nameless = docs.where(F.col(id_col).isNull()).withColumn(key, texts)
-    chosen = fingerprints(nameless, id_col=key, text_col=text_col).join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min("doc_id").alias(key)).select(key)
-    return once.unionByName(twice).unionByName(first_of(nameless.join(chosen, key, "left_semi")))
+    rows = fps.join(classes, "fp").groupBy("root", "doc_id", "same").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "n")).alias("c"))
+    chosen = checkpointed(first.select(F.col("c.doc_id").alias("doc_id"), F.col("c.same").alias("same"), F.col("c.n").alias("n")))
+    mine = lambda rows: docs.join(rows, (text_hash(text_col) == rows["same"]) & docs[id_col].eqNullSafe(rows["doc_id"]), "left_semi")
+    once = mine(chosen.where("n = 1").alias("a"))
+    # Repeated rows of one id and text: partial aggregation keeps one of each partition.
+    again = mine(chosen.where("n > 1").alias("b"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = again.groupBy(F.col(id_col).alias("k0"), text_hash(text_col).alias("k1")).agg(F.min_by(whole, F.xxhash64(whole)).alias("r"))
+    return once.unionByName(least.select("r.*"))

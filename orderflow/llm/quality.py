@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, free_name, map_arrow, word_hashes, word_spans
+from orderflow.llm.common import as_bytes, batches_of_rows, buffer_of, free_name, map_arrow, new_name, word_hashes, word_spans
 from orderflow.llm.labelled import class_weights, remainder, sample, sigmoid
 
 PER_CLASS = 3000
@@ -170,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, held:
 
 
 def score(docs: DataFrame, model: Machine | None, *, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The kept columns and the score."""
+    """The kept columns and the score; a name that one of them has is underscored."""
     keep = docs.columns if keep is None else keep
+    name = new_name(keep, name)
     hidden = free_name(docs, "__text")
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], as_bytes(docs[f"`{text_col}`"]).alias(hidden))
     schema = T.StructType([*frame.schema.fields[: len(keep)], T.StructField(name, T.DoubleType())])
