@@ -75,3 +75,16 @@ def uint256(w: Column) -> Column:
 
 def address(w: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.substring(w, 25, 40)))
+
+
+def hex_of(value: Column) -> Column:
+    """Bytes as 0x and lower-case hex digits."""
+    return F.concat(F.lit("0x"), F.lower(F.hex(value.cast("binary"))))
+
+
+def now_millis() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
+def now_micros() -> Column:
+    return F.unix_micros(F.current_timestamp())

@@ -54,6 +54,12 @@ def decode(logs: DataFrame, event: str) -> DataFrame:
     return logs.select("address", "block_number", "log_index", "tx_hash", "data", *fields, lost.alias("overflow"))
 
 
+def decode_all(logs: DataFrame, signatures: dict[str, str]) -> dict[str, DataFrame]:
+    """A frame for each event type, from logs whose topic0 is its signature; logs without a topic or with
+    another one are in none of them."""
+    return {event: decode(logs.where(F.col("topic0") == h), event) for event, h in signatures.items() if event in EVENTS}
+
+
 def quarantine(decoded: DataFrame) -> DataFrame:
     return decoded.where("overflow").select("address", "block_number", "log_index", "tx_hash", "data")
 
@@ -80,6 +86,18 @@ def event_counts(logs: DataFrame, batch: Column, kinds: list[str]) -> DataFrame:
     return rows.withColumn("summary", F.when(parts == "", "none").otherwise(parts))
 
 
+MINIBLOCK = "block_number bigint, index int, transactions array<string>, receipts array<struct<logs: array<struct<address: string, log_index: bigint>>>>"
+
+
+def miniblocks(lines: DataFrame, schema: str = MINIBLOCK) -> DataFrame:
+    """JSON lines (`value`) as miniblocks with their numbers of transactions and logs. A line that is no
+    such object is kept in `_corrupt_record`, the fields being null."""
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = lines.select(row.alias("b")).select("b.*")
+    logs = F.aggregate(F.transform("receipts", lambda r: F.coalesce(F.size(r["logs"]), F.lit(0))), F.lit(0), lambda a, n: a + n)
+    return parsed.withColumn("tx_count", F.when(F.col("_corrupt_record").isNull(), F.coalesce(F.size("transactions"), F.lit(0)))).withColumn("log_count", F.when(F.col("_corrupt_record").isNull(), F.coalesce(logs, F.lit(0))))
+
+
 def miniblock_logs(blocks: DataFrame) -> DataFrame:
     """Nested miniblocks (block_number, receipts array<struct<logs>>) to one row for each log."""
     return blocks.select("block_number", F.posexplode("receipts").alias("tx", "r")).select("block_number", "tx", F.posexplode("r.logs").alias("i", "log")).select("block_number", "tx", "i", "log.*")

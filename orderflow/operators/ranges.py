@@ -48,8 +48,11 @@ def contiguous_end(ranges: DataFrame, start: int) -> DataFrame:
     return merge(ranges).groupBy("feed").agg(F.coalesce(F.max(F.when((F.col("from_block") <= start) & (F.col("to_block") >= start), F.col("to_block"))), F.lit(start - 1)).cast("bigint").alias("contiguous_end"))
 
 
-def block_gaps(blocks: DataFrame) -> DataFrame:
-    """Missing blocks between consecutive blocks of a feed: (feed, after_block, next_block, missed)."""
-    order = Window.partitionBy("feed").orderBy("block")
-    rows = blocks.select("feed", "block").distinct().withColumn("next_block", F.lead("block").over(order))
-    return rows.where("next_block - block > 1").select("feed", F.col("block").alias("after_block"), "next_block", (F.col("next_block") - F.col("block") - 1).alias("missed"))
+def block_gaps(blocks: DataFrame, bucket_blocks: int = 1 << 16) -> DataFrame:
+    """Missing blocks between consecutive blocks of a feed: (feed, after_block, next_block, missed). The
+    next block is sought within buckets of the axis, then between the edges of a feed's buckets alone."""
+    rows = blocks.select("feed", "block", F.floor(F.col("block") / bucket_blocks).alias("bucket")).distinct()
+    inside = rows.select("feed", F.col("block").alias("after_block"), F.lead("block").over(Window.partitionBy("feed", "bucket").orderBy("block")).alias("next_block"))
+    edges = rows.groupBy("feed", "bucket").agg(F.min("block").alias("first"), F.max("block").alias("after_block"))
+    between = edges.select("feed", "after_block", F.lead("first").over(Window.partitionBy("feed").orderBy("bucket")).alias("next_block"))
+    return inside.unionByName(between).where("next_block - after_block > 1").withColumn("missed", F.col("next_block") - F.col("after_block") - 1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +23,16 @@ def candle_input(trades: DataFrame) -> DataFrame:
 _SUMS = ("volume", "quote_volume", "count", "taker_buy_base_volume", "taker_buy_quote_volume")
 
 
-def _base(trades: DataFrame, seconds: int) -> DataFrame:
+def _base(trades: DataFrame, **opens: Column) -> DataFrame:
     taker = lambda c: F.sum(F.when(F.col("is_taker_buy"), F.col(c)).otherwise(0))
-    return trades.groupBy("chain_id", "pool_id", bucket_open(F.col("ts"), seconds).alias("open_time")).agg(
+    return trades.groupBy("chain_id", "pool_id", *[v.alias(k) for k, v in opens.items()]).agg(
         F.min("seq").alias("k0"), F.max("seq").alias("k1"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
         F.sum("base_quantity").alias("volume"), F.sum("quote_value").alias("quote_volume"), F.count("*").alias("count"), taker("base_quantity").alias("taker_buy_base_volume"), taker("quote_value").alias("taker_buy_quote_volume"),
     )
 
 
-def _rolled(finer: DataFrame, seconds: int) -> DataFrame:
-    return finer.groupBy("chain_id", "pool_id", bucket_open(F.col("open_time"), seconds).alias("open_time")).agg(
+def _rolled(finer: DataFrame) -> DataFrame:
+    return finer.groupBy("chain_id", "pool_id", "interval", "open_time").agg(
         F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min_by("open", "k0").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "k1").alias("close"), *[F.sum(c).alias(c) for c in _SUMS]
     )
 
@@ -43,28 +41,23 @@ def vwap(quote: Column, volume: Column) -> Column:
     return F.when(volume > 0, quote.cast("double") / volume.cast("double")).otherwise(F.lit(0.0))
 
 
-def _finished(bars: DataFrame, interval: str) -> DataFrame:
+def _finished(bars: DataFrame) -> DataFrame:
     number = lambda c: F.col(c).cast("double").alias(c)
-    return bars.select(ident("chain_id", "pool_id", "open_time").alias("id"), "chain_id", "pool_id", F.lit(interval).alias("interval"), "open_time", (F.col("open_time") + INTERVALS[interval]).alias("close_time"), *map(number, ("open", "high", "low", "close", "volume", "quote_volume")), F.lit(0.0).alias("volume_usd"), F.col("count").cast("bigint").alias("count"), number("taker_buy_base_volume"), number("taker_buy_quote_volume"), vwap(F.col("quote_volume"), F.col("volume")).alias("average"))
+    seconds = F.element_at(F.create_map(*[F.lit(x) for pair in INTERVALS.items() for x in pair]), F.col("interval"))
+    return bars.select(ident("chain_id", "pool_id", "open_time").alias("id"), "chain_id", "pool_id", "interval", "open_time", (F.col("open_time") + seconds).alias("close_time"), *map(number, ("open", "high", "low", "close", "volume", "quote_volume")), F.lit(0.0).alias("volume_usd"), F.col("count").cast("bigint").alias("count"), number("taker_buy_base_volume"), number("taker_buy_quote_volume"), vwap(F.col("quote_volume"), F.col("volume")).alias("average"))
 
 
 def candles(trades: DataFrame, interval: str) -> DataFrame:
     """Bars of one interval straight from raw trades."""
-    return _finished(_base(candle_input(dedup(trades)), INTERVALS[interval]), interval)
+    return _finished(_base(candle_input(dedup(trades)), open_time=bucket_open(F.col("ts"), INTERVALS[interval])).withColumn("interval", F.lit(interval)))
 
 
 def candles_all(trades: DataFrame) -> DataFrame:
-    """All nine intervals: minutes from trades, each longer interval from the one before it, the month
-    (not a multiple of a minute) from trades. The sums are exact, so the levels compose."""
-    clean = candle_input(dedup(trades))
-    out, level = [], None
-    for name, seconds in INTERVALS.items():
-        if name == "1M":
-            bars = _base(clean, seconds)
-        else:
-            bars = level = _base(clean, seconds) if level is None else _rolled(level, seconds)
-        out.append(_finished(bars, name))
-    return reduce(DataFrame.unionByName, out)
+    """All nine intervals from one pass: minute bars, cut where a month begins (it is not a multiple of a
+    minute), then each of them once for every interval. The sums are exact, so the levels compose."""
+    minutes = _base(candle_input(dedup(trades)), minute=bucket_open(F.col("ts"), INTERVALS["1m"]), month=bucket_open(F.col("ts"), INTERVALS["1M"]))
+    opens = [F.struct(F.lit(name).alias("interval"), (F.col("month") if name == "1M" else bucket_open(F.col("minute"), seconds)).alias("open_time")) for name, seconds in INTERVALS.items()]
+    return _finished(_rolled(minutes.withColumn("o", F.explode(F.array(*opens))).withColumns({"interval": F.col("o.interval"), "open_time": F.col("o.open_time")})))
 
 
 def merge_candles(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import INTERVALS, bucket_open, ident, interval_dim, is_active, seq_of, status, uint64
-from orderflow.operators import balances, decode, orders, ranges, reconcile, trades
+from orderflow.functions.scalars import INTERVALS, bucket_open, ident, hex_of, interval_dim, is_active, seq_of, status, uint64
+from orderflow.operators import balances, decode, orders, ranges, reconcile, sinks, trades
 from orderflow.sources.fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def _simple(name: str, source: str, f: Callable[[DataFrame], DataFrame]) -> None
 _simple("s1_log_scan", "raw_matched", lambda r: r.where("block_number % 7 < 3 and address in ('ob_1', 'ob_2') and topic0 = 'OrderMatched'").select("address", "block_number", "log_index", "tx_hash"))
 _Q["s2_new_pool_logs"] = lambda s, d: view(s, d, "raw_matched").join(view(s, d, "pools").where("ts >= 1700000004").select(F.col("order_book").alias("address")), "address", "left_semi").select("address", "block_number", "log_index")
 _simple("s6_pool_restore", "pools", lambda p: p.where("chain_id = 1 and order_book rlike '^ob_[0-9a-f]+$'").select("pool_id", "order_book"))
-_simple("s8_trades_in_range", "trades", lambda t: trades.dedup(t).where("pool_id = 'pool_3' and quantity >= 10 and quantity < 50").select("tx_hash", "log_index", "ts", "price", "quantity"))
+_simple("s8_trades_in_range", "trades", lambda t: trades.dedup(t.where("pool_id = 'pool_3' and quantity >= 10 and quantity < 50")).select("tx_hash", "log_index", "ts", "price", "quantity"))
 
 
 # Decoding and joins
@@ -109,11 +109,11 @@ def _candles(s, d):
 
 
 _Q["g9_candles_by_interval"] = lambda s, d: _candles(s, d).groupBy("interval").agg(F.count("*").alias("rows"))
-_Q["t10_candles_range"] = lambda s, d: trades.candles(view(s, d, "trades"), "1h").where("pool_id = 'pool_2' and open_time % 7 < 3").orderBy("open_time").limit(100).select("open_time", "open", "close", "volume")
-_Q["t11_candles_recent"] = lambda s, d: trades.candles(view(s, d, "trades"), "1m").where("pool_id = 'pool_1'").orderBy(F.desc("open_time")).limit(100).select("open_time", "open", "high", "low", "close", "volume")
+_Q["t10_candles_range"] = lambda s, d: trades.candles(view(s, d, "trades").where("pool_id = 'pool_2'"), "1h").where("open_time % 7 < 3").orderBy("open_time").limit(100).select("open_time", "open", "close", "volume")
+_Q["t11_candles_recent"] = lambda s, d: trades.candles(view(s, d, "trades").where("pool_id = 'pool_1'"), "1m").orderBy(F.desc("open_time")).limit(100).select("open_time", "open", "high", "low", "close", "volume")
 _Q["t12_candle_latest"] = lambda s, d: trades.candles(view(s, d, "trades"), "1d").groupBy("pool_id").agg(F.max("open_time").alias("open_time"), F.max_by("close", "open_time").alias("close"))
 _simple("t7_recent_trades", "trades", lambda t: reconcile.newest(trades.dedup(t), "pool_id", [F.desc("ts"), F.desc("log_index")], 20).select("pool_id", "tx_hash", "log_index", "ts", "price"))
-_simple("t8_recent_fills", "trades", lambda t: trades.fills(t).where("pool_id = 'pool_4'").orderBy(F.desc("ts"), "id").limit(100).select("id", "order_id", "side", "price"))
+_simple("t8_recent_fills", "trades", lambda t: trades.fills(t.where("pool_id = 'pool_4'")).orderBy(F.desc("ts"), "id").limit(100).select("id", "order_id", "side", "price"))
 _simple("t9_taker_trades", "trades", lambda t: reconcile.newest(trades.dedup(t), "taker", [F.desc("ts"), F.desc("log_index")], 5).select("taker", "log_index", "ts", "price"))
 
 # Orders
@@ -272,5 +272,80 @@ _simple("x4_try_numbers", "raw_matched", lambda r: r.select("log_index", uint64(
 _Q["x5_intervals"] = lambda s, d: trades.candles_all(view(s, d, "trades")).select("interval").distinct().join(interval_dim(s), "interval").select("interval", "seconds")
 
 
+# Every event type, miniblocks, progress and single reads
+
+_SIGNATURES = {name: name for name in decode.EVENTS}
+_simple("d1_routed", "raw_all", lambda r: r.select("address", "log_index", decode.label(F.col("topic0"), _SIGNATURES).alias("event_type")).where("event_type <> 'Unknown'"))
+_simple("d13_unknown", "raw_all", lambda r: r.where(decode.label(F.col("topic0"), _SIGNATURES) == "Unknown").select("address", "log_index", "topic0"))
+
+
+def _decoded(event: str) -> Callable[[DataFrame], DataFrame]:
+    numbers = [c for c, (_, kind) in decode.EVENTS[event].items() if kind == "u256"]
+    rest = [c for c in decode.EVENTS[event] if c not in numbers]
+    return lambda r: decode.decode_all(r, _SIGNATURES)[event].select("address", "block_number", "log_index", "tx_hash", *rest, *[F.col(c).cast("bigint").alias(c) for c in numbers], "overflow")
+
+
+for _number, _event in zip((2, 3, 5, 6, 7, 8, 9, 10, 11, 12), ("PoolCreated", "OrderPlaced", "UpdateOrder", "OrderCancelled", "Deposit", "Withdrawal", "Lock", "Unlock", "TransferFrom", "TransferLockedFrom"), strict=True):
+    _simple(f"d{_number}_" + "".join(f"_{c.lower()}" if c.isupper() else c for c in _event).lstrip("_"), "raw_all", _decoded(_event))
+
+_simple("d16_event_labels", "raw_all", lambda r: r.select("log_index", decode.label(F.col("topic0"), _SIGNATURES).alias("event_type")))
+_Q["d15_all_classes"] = lambda s, d: decode.relevant(view(s, d, "raw_all"), view(s, d, "pools"), manager="pm", balances="bm", signatures=_SIGNATURES).select("address", "event_type", "log_index")
+_simple("s3_book_logs", "raw_all", lambda r: (lambda last: r.where(F.col("block_number").between(last[0], last[1]) & F.col("topic0").isin(*decode.BOOK_EVENTS)))(r.agg(F.min("block_number"), F.floor((F.min("block_number") + F.max("block_number")) / 2)).first()).select("address", "topic0", "block_number", "log_index"))
+_simple("s5_miniblocks", "miniblocks", lambda m: decode.miniblocks(m).groupBy("block_number").agg(F.count("*").alias("miniblocks"), F.sum("tx_count").alias("tx_count"), F.sum("log_count").alias("log_count"), F.count("_corrupt_record").alias("corrupt")))
+_simple("s5_miniblock_logs", "miniblocks", lambda m: decode.miniblock_logs(decode.miniblocks(m)).select("block_number", "tx", "i", "address", "log_index"))
+
+
+def _progress(s, d):
+    """What a first run over the bulk source leaves, then what the live feed adds."""
+    half = view(s, d, "bulk_a").groupBy().agg(F.floor((F.min("block_number") + F.max("block_number")) / 2).alias("block")).select(F.lit("bulk").alias("name"), "block")
+    return sinks.advanced(half, view(s, d, "live").groupBy("event_type").agg(F.max("block_number").alias("block")).select(F.col("event_type").alias("name"), "block"))
+
+
+_Q["s7_resume"] = lambda s, d: sinks.resume(view(s, d, "bulk_a"), _progress(s, d), "bulk").select("content_id", "block_number", "log_index")
+_Q["g14_only_forward"] = lambda s, d: sinks.advanced(_progress(s, d), _progress(s, d).select("name", (F.col("block") - 1000).alias("block")))
+_Q["v4_verified"] = lambda s, d: sinks.verified(_progress(s, d), _bulk(s, d).groupBy("source").agg(F.max("block_number").alias("block")).select("source", "block", F.lit(True).alias("ok")), "verified")
+_Q["v6_alerts_all"] = lambda s, d: reconcile.missing_by_type(_bulk(s, d), view(s, d, "live")).where("missing > 0")
+
+
+@_query("a17_rows_written")
+def _(s, d):
+    """Rows that one flush of the whole log writes to each table."""
+    made = {
+        "orders": reconcile.keep_last(view(s, d, "order_events").select("pool_id", "order_id", "seq"), ["pool_id", "order_id"], "seq"),
+        "trades": view(s, d, "trades").dropDuplicates(["tx_hash", "log_index"]).select("log_index"),
+        "balances": reconcile.keep_last(balances.deltas(view(s, d, "balance_events")).select("user", "token_id", "seq"), ["user", "token_id"], "seq"),
+        "pools": view(s, d, "pools").select("pool_id"),
+        "candles": _candles(s, d).select("id"),
+    }
+    out = None
+    for name, rows in made.items():
+        one = rows.groupBy().agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_simple("p1_pool", "pools", lambda p: p.where("pool_id = 'pool_3'").select("pool_id", "order_book", "base_currency", "quote_currency", "base_decimals", "quote_decimals"))
+
+
+@_query("p12_stats")
+def _(s, d):
+    """One row of totals, the last block and whether the live feed lags behind the bulk source."""
+    t = trades.dedup(view(s, d, "trades")).agg(F.count("*").alias("total_trades"))
+    o = orders.latest(view(s, d, "order_events")).agg(F.count("*").alias("total_orders"), F.count_if(is_active(F.col("status"))).alias("active_orders"))
+    p = view(s, d, "pools").agg(F.count("*").alias("total_pools"))
+    b = view(s, d, "live").agg(F.max("block_number").alias("last_block"))
+    bulk = view(s, d, "bulk_a").agg(F.max("block_number").alias("bulk_block"))
+    one = lambda a, b: a.join(F.broadcast(b), F.lit(True))
+    return one(one(one(one(t, o), p), b), bulk).select("total_trades", "total_orders", "active_orders", "total_pools", "last_block", (F.col("last_block") < F.col("bulk_block")).alias("is_syncing"))
+
+
+_simple("p13_balance", "balance_events", lambda b: balances.final(balances.deltas(b).where("user = 'u_5' and token_id = 'tok_1'")))
+_simple("p13_trade", "trades", lambda t: trades.dedup(t.where("tx_hash = 'tx_40'")).select(ident("tx_hash", "log_index").alias("id"), "pool_id", "ts", "price", "quantity"))
+_simple("p13_candles_of_pool", "trades", lambda t: trades.candles(t.where("pool_id = 'pool_6'"), "4h").select("id", "open_time", "open", "high", "low", "close", "volume", "count"))
+_simple("p13_currencies", "pools", lambda p: p.select(F.explode(F.array("base_currency", "quote_currency")).alias("currency")).groupBy("currency").agg(F.count("*").alias("pools")))
+_simple("x2_hex", "raw_matched", lambda r: r.select("log_index", hex_of(F.col("tx_hash")).alias("tx_hex")))
+_simple("x6_amount_text", "balance_events", lambda b: balances.final(balances.deltas(b)).select("user", "token_id", *[F.col(c).cast("string").alias(c) for c in ("available", "locked", "total")]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)

@@ -113,6 +113,57 @@ def _all_messages(select: str) -> str:
 _USERS = "us as (select \"user\", min(ts) as created_at from (select user_addr as \"user\", ts from fx_order_events union all select \"user\", ts from dl) group by 1)"
 
 
+_EV = "ev as (select event_id as log_index, 'tx_' || (event_id // 4) as tx_hash, cast(floor(epoch(ts)) as bigint) as sec, cast(floor(epoch(ts)) as bigint) // 12 as block_number, user_id as w1, (event_id * 7) % 2500 as w2, (event_id * 11) % 2500 as w3, event_id % 2 as w4, cast(round(value * 100) as bigint) as w6, cast(json_extract_string(props, '$.k') as bigint) as k, event_id % 12 as t, case when event_id % 12 in (0, 11) then 'pm' when event_id % 12 >= 5 then 'bm' else 'ob_' || (user_id % 8) end as address from events)"
+_TYPES = ["PoolCreated", "OrderPlaced", "OrderMatched", "UpdateOrder", "OrderCancelled", "Deposit", "Withdrawal", "Lock", "Unlock", "TransferFrom", "TransferLockedFrom"]
+
+
+def _event_types() -> dict[str, str]:
+    """What each event type's fields are, from the numbers that the logs' words were made of."""
+    addr, word = (lambda c: f"'0x' || lpad(lower(hex({c})), 40, '0')"), (lambda c: f"'0x' || lpad(lower(hex({c})), 64, '0')")
+    status = lambda c: f"coalesce(list_extract(['NONE', 'OPEN', 'PARTIALLY_FILLED', 'FILLED', 'CANCELLED', 'EXPIRED'], cast({c} % 7 + 1 as int)), 'NONE')"
+    amount = f"{addr('w1')} as \"user\", {word('w2')} as id, w6 as amount"
+    moved = f"{addr('w1')} as operator, {addr('w2')} as sender, {addr('w3')} as receiver, {word('w2')} as id, w6 as amount, k as fee_amount"
+    fields = {
+        "d2_pool_created": (0, f"{word('w1')} as pool_id, {addr('w1')} as order_book, {addr('w2')} as base_currency, {addr('w3')} as quote_currency"),
+        "d3_order_placed": (1, f"w1 as order_id, {addr('w2')} as \"user\", case w4 when 1 then 'SELL' else 'BUY' end as side, w6 as price, k as quantity, sec as expiry, w4 <> 0 as is_market_order, {status('k')} as status"),
+        "d5_update_order": (3, f"w1 as order_id, sec as \"timestamp\", k as filled, {status('k')} as status"),
+        "d6_order_cancelled": (4, f"w1 as order_id, {addr('w2')} as \"user\", sec as \"timestamp\", 'CANCELLED' as status"),
+        "d7_deposit": (5, amount), "d8_withdrawal": (6, amount), "d9_lock": (7, amount), "d10_unlock": (8, amount),
+        "d11_transfer_from": (9, moved), "d12_transfer_locked_from": (10, moved),
+    }
+    named = "list_extract([" + ", ".join(f"'{t}'" for t in _TYPES) + "], cast(t + 1 as int))"
+    known = "address in (select order_book from fx_pools)"
+    mini = f"{duck('miniblocks')}, ok as (select cast(floor(epoch(ts)) as bigint) // 12 as block_number, event_id, user_id, event_id % 50 = 7 as bad from events)"
+    return {name: f"with {_EV} select address, block_number, log_index, tx_hash, {f}, false as overflow from ev where t = {t}" for name, (t, f) in fields.items()} | {
+        "d1_routed": f"with {_EV} select address, log_index, {named} as event_type from ev where t < 11",
+        "d13_unknown": f"with {_EV} select address, log_index, 'CurrencyAdded' as topic0 from ev where t = 11",
+        "d16_event_labels": f"with {_EV} select log_index, coalesce({named}, 'Unknown') as event_type from ev",
+        "d15_all_classes": f"{duck('pools')}, {_EV} select address, {named} as event_type, log_index from ev where t in (0, 5, 6, 7, 8, 9, 10) or (t in (1, 2, 3, 4) and {known})",
+        "s3_book_logs": f"with {_EV} select address, {named} as topic0, block_number, log_index from ev where t in (1, 2, 3, 4) and block_number <= (select (min(block_number) + max(block_number)) // 2 from ev)",
+        "s5_miniblocks": f"{mini} select case when bad then null else block_number end as block_number, count(*) as miniblocks, cast(sum(case when bad then null else 1 end) as bigint) as tx_count, cast(sum(case when bad then null else 2 end) as bigint) as log_count, count(*) filter (bad) as corrupt from ok group by 1",
+        "s5_miniblock_logs": f"{mini} select block_number, 0 as tx, i, case i when 0 then 'ob_' || (user_id % 8) else 'bm' end as address, event_id + i as log_index from ok, (values (0), (1)) v(i) where not bad",
+    }
+
+
+def _reads() -> dict[str, str]:
+    progress = "half as (select (min(block_number) + max(block_number)) // 2 as b from fx_bulk_a), pr as (select 'bulk' as name, b as block from half union all select event_type, max(block_number) from fx_live group by 1)"
+    return {
+        "s7_resume": f"{duck('bulk_a', 'live')}, {progress} select content_id, block_number, log_index from fx_bulk_a, half where block_number > b",
+        "g14_only_forward": f"{duck('bulk_a', 'live')}, {progress} select * from pr",
+        "v4_verified": f"{duck('bulk_a', 'bulk_b', 'live')}, {progress} select * from pr union all select 'verified', least((select max(block_number) from fx_bulk_a), (select max(block_number) from bulk_rest)) from (select 1)".replace(" select * from pr", ", bulk_rest as (select * from fx_bulk_b where content_id not in (select content_id from fx_bulk_a)) select * from pr"),
+        "v6_alerts_all": _recon("select event_type, count(*) as missing from mis group by 1"),
+        "a17_rows_written": f"{duck('trades', 'order_events', 'balance_events', 'pools')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'bars')}, {_DELTAS} select 'orders' as \"table\", count(distinct pool_id || '~' || order_id) as rows from fx_order_events union all select 'trades', count(*) from t union all select 'balances', count(distinct \"user\" || '~' || token_id) from dl union all select 'pools', count(*) from fx_pools union all select 'candles', count(*) from bars",
+        "p1_pool": f"{duck('pools')} select pool_id, order_book, base_currency, quote_currency, base_decimals, quote_decimals from fx_pools where pool_id = 'pool_3'",
+        "p12_stats": f"{duck('trades', 'order_events', 'pools', 'live', 'bulk_a')}, {_T}, {_LIFE} select (select count(*) from t) as total_trades, (select count(*) from lat) as total_orders, (select count(*) from lat where status in ('OPEN', 'PARTIALLY_FILLED')) as active_orders, (select count(*) from fx_pools) as total_pools, (select max(block_number) from fx_live) as last_block, (select max(block_number) from fx_live) < (select max(block_number) from fx_bulk_a) as is_syncing",
+        "p13_balance": _balances("select *, available + locked as total from fin where \"user\" = 'u_5' and token_id = 'tok_1'"),
+        "p13_trade": _trades("select tx_hash || '_' || log_index as id, pool_id, ts, price, quantity from t where tx_hash = 'tx_40'"),
+        "p13_candles_of_pool": _candles("select id, open_time, open, high, low, close, volume, count from bars where pool_id = 'pool_6'", "interval = '4h'"),
+        "p13_currencies": f"{duck('pools')} select currency, count(*) as pools from (select unnest([base_currency, quote_currency]) as currency from fx_pools) group by 1",
+        "x2_hex": f"{duck('raw_matched')} select log_index, '0x' || lower(hex(tx_hash)) as tx_hex from fx_raw_matched",
+        "x6_amount_text": _balances("select \"user\", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked, cast(available + locked as varchar) as total from fin"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     raw, pools = duck("raw_matched"), duck("pools")
     both = duck("raw_matched", "pools")
@@ -225,5 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "a16_pool_stats_all": f"{duck('trades', 'order_events')}, {_T}, {_LIFE} select pool_id, total_trades, last_price, total_orders, volume_24h from (select pool_id, count(*) as total_trades, arg_max(price, block_number * 1048576 + log_index) as last_price from t group by 1) full join (select pool_id, count(*) as total_orders from lat group by 1) using (pool_id) left join (select pool_id, cast(sum(quantity) as bigint) as volume_24h from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400 group by 1) using (pool_id)",
         "x1_ids": _trades("select log_index, '1_' || pool_id || '_' || buy_order_id as order_key, tx_hash || '_' || log_index as trade_key from t"),
         "x4_try_numbers": f"with {_M} select log_index, (event_id * 7) % 2500 as number, cast(-1 as bigint) as bad from m",
+        **_event_types(),
+        **_reads(),
         "x5_intervals": f"{duck('trades')}, {_IV} select interval, cast(s as bigint) as seconds from iv where (select count(*) from fx_trades) > 0",
     }

@@ -19,8 +19,11 @@ VIEWS = {
     "bulk_b": "select {SHA} as content_id, event_id + 1000000 as log_index, {SEC} {DIV} 12 as block_number, event_type, 'b' as source from events where event_id % 7 <> 0",
     "live": "select {SHA} as content_id, event_id as log_index, {SEC} {DIV} 12 as block_number, event_type from events where event_id % 11 <> 3",
     "raw_matched": "select 'ob_' || (user_id % 8) as address, 'OrderMatched' as topic0, {W1} as topic1, {W2} as topic2, {W3} as topic3, '0x' || {W4} || {W5} || {W6} || {W7} || {W8} as data, {SEC} {DIV} 12 as block_number, event_id as log_index, 'tx_' || (event_id {DIV} 4) as tx_hash from events",
+    # Logs of every event type in turn, one type that has no decoder, and JSON miniblocks with one receipt of one log each.
+    "raw_all": "select case when event_id % 12 in (0, 11) then 'pm' when event_id % 12 >= 5 then 'bm' else 'ob_' || (user_id % 8) end as address, case event_id % 12 when 0 then 'PoolCreated' when 1 then 'OrderPlaced' when 2 then 'OrderMatched' when 3 then 'UpdateOrder' when 4 then 'OrderCancelled' when 5 then 'Deposit' when 6 then 'Withdrawal' when 7 then 'Lock' when 8 then 'Unlock' when 9 then 'TransferFrom' when 10 then 'TransferLockedFrom' else 'CurrencyAdded' end as topic0, {W1} as topic1, {W2} as topic2, case when event_id % 12 = 1 then {W4} else {W3} end as topic3, '0x' || case event_id % 12 when 0 then {W1} || {W2} || {W3} when 1 then {W6} || {W8} || {W5} || {W4} || {W9} when 2 then {W4} || {W5} || {W6} || {W7} || {W8} when 3 then {W5} || {W8} || {W9} when 4 then {W5} || {W9} when 9 then {W2} || {W6} || {W8} when 10 then {W2} || {W6} || {W8} else {W6} end as data, {SEC} {DIV} 12 as block_number, event_id as log_index, 'tx_' || (event_id {DIV} 4) as tx_hash from events",
+    "miniblocks": "select chr(123) || '\"block_number\":' || ({SEC} {DIV} 12) || ',\"index\":' || (event_id % 5) || case when event_id % 50 = 7 then ',\"receipts\":[' else ',\"transactions\":[\"tx_' || event_id || '\"],\"receipts\":[' || chr(123) || '\"logs\":[' || chr(123) || '\"address\":\"ob_' || (user_id % 8) || '\",\"log_index\":' || event_id || chr(125) || ',' || chr(123) || '\"address\":\"bm\",\"log_index\":' || (event_id + 1) || chr(125) || ']' || chr(125) || ',' || chr(123) || '\"logs\":[]' || chr(125) || ']' || chr(125) end as value from events",
 }
-_WORDS = {"W1": "user_id", "W2": "(event_id * 7) % 2500", "W3": "(event_id * 11) % 2500", "W4": "event_id % 2", "W5": "{SEC}", "W6": "cast(round(value * 100) as bigint)", "W7": "cast(round(value * 100) as bigint) + 5", "W8": "{K}"}
+_WORDS = {"W1": "user_id", "W2": "(event_id * 7) % 2500", "W3": "(event_id * 11) % 2500", "W4": "event_id % 2", "W5": "{SEC}", "W6": "cast(round(value * 100) as bigint)", "W7": "cast(round(value * 100) as bigint) + 5", "W8": "{K}", "W9": "{K} % 7"}
 
 
 def _expand(name: str, engine: dict[str, str]) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from orderflow.functions.scalars import seq_of
+from orderflow.operators.trades import vwap
 
 GRACE = "1 hour"
 
@@ -26,12 +27,19 @@ def dedup(trades: DataFrame, grace: str = GRACE) -> DataFrame:
     return timed(trades).withWatermark("event_time", grace).dropDuplicatesWithinWatermark(["tx_hash", "log_index"])
 
 
-def candles(trades: DataFrame, seconds: int, grace: str = GRACE) -> DataFrame:
-    """Bars of one interval; update mode shows live bars, append mode closed ones."""
-    rows = timed(trades).where("price <> 0 and quantity <> 0").withWatermark("event_time", grace).withColumn("seq", seq_of(F.col("block_number"), F.col("log_index")))
+def candles(trades: DataFrame, seconds: int, grace: str = GRACE, *, repeated: bool = False) -> DataFrame:
+    """Bars of one interval; update mode shows live bars, append mode closed ones. Replays would count
+    twice: `repeated` drops them first, which needs append mode; live bars are to be made from a stream
+    that has been through `dedup`."""
+    rows = dedup(trades, grace) if repeated else timed(trades).withWatermark("event_time", grace)
+    rows = rows.where("price <> 0 and quantity <> 0").withColumn("seq", seq_of(F.col("block_number"), F.col("log_index")))
     quote = F.col("price") * F.col("quantity")
-    bars = rows.groupBy("pool_id", F.window("event_time", f"{seconds} seconds").alias("w")).agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("quantity").alias("volume"), F.sum(quote).alias("quote_volume"), F.count("*").alias("count"))
-    return bars.select("pool_id", F.unix_seconds("w.start").alias("open_time"), F.unix_seconds("w.end").alias("close_time"), "open", "high", "low", "close", "volume", "quote_volume", "count")
+    taker = lambda c: F.sum(F.when(F.col("taker_side") == "BUY", c).otherwise(0))
+    bars = rows.groupBy("pool_id", F.window("event_time", f"{seconds} seconds").alias("w")).agg(
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("quantity").alias("volume"), F.sum(quote).alias("quote_volume"), F.count("*").alias("count"),
+        taker(F.col("quantity")).alias("taker_buy_base_volume"), taker(quote).alias("taker_buy_quote_volume"), F.lit(0.0).alias("volume_usd"), vwap(F.sum(quote), F.sum("quantity")).alias("average"),
+    )
+    return bars.select("pool_id", F.unix_seconds("w.start").alias("open_time"), F.unix_seconds("w.end").alias("close_time"), *[c for c in bars.columns if c not in ("pool_id", "w")])
 
 
 def debounced(events: DataFrame, quiet: str = "1 second", grace: str = GRACE) -> DataFrame:
