@@ -17,7 +17,7 @@ the piece after it, its first byte's place in the word, and its id, from the hig
 element is the leftmost pair of least rank. A step joins it: the pairs left and right of the join get
 new ranks, looked up in a literal rank map. A piece's rank is its id. The map is one array of longs in
 the plan, addressed by displacement: the pair (a, b) stands at base[a] + b if anywhere, and a cell holds
-the joined piece's rank and a, to be told from other rows' cells.
+a, to be told from other rows' cells, and the joined piece's rank.
 
 Words over LONG_WORD bytes (runs without any break) would need as many steps as bytes, each over the
 whole word; these alone are folded by the same rule with a heap where they stand.
@@ -41,6 +41,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -158,12 +159,11 @@ def distinct(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     """Places in the list of the first of each of the words (`start`, `size`; in the order of the bytes), and
     each word's number among them."""
     hashes = word_hashes(raw, start, start + size)
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    number, kinds = pd.factorize(hashes)
+    first = np.empty(len(kinds), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
     if (size == size[first[number]]).all() and equal_bytes(raw, start, start[first[number]], size).all():
-        order = np.argsort(first)
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        return first[order], place[number]
+        return first, number.astype(np.int32)
     known: dict[bytes, int] = {}  # equal hashes of different words
     number = np.array([known.setdefault(raw[a : a + n].tobytes(), len(known)) for a, n in zip(start.tolist(), size.tolist(), strict=True)], np.int32)
     return np.unique(number, return_index=True)[1], number
@@ -217,13 +217,13 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
                 rows.setdefault(a, []).append((b, v))
     end = max(ranks.values(), default=0) + 1  # the id of both ends of a word, in no pair
     room = max(64, 4 * sum(map(len, rows.values())))
-    used, cells, base, draw = bytearray(room + end + 1), [end + 1] * (room + end + 1), [0] * (end + 1), random.Random(1)
+    used, cells, base, draw = bytearray(room + end + 1), [end + 1 << 40] * (room + end + 1), [0] * (end + 1), random.Random(1)
     for a in sorted(rows, key=lambda a: -len(rows[a])):
         while any(used[(x := draw.randrange(room) if b is rows[a][0] else x) + b[0]] for b in rows[a]):
             pass
         base[a] = x
         for b, v in rows[a]:
-            used[x + b], cells[x + b] = 1, v << 40 | a
+            used[x + b], cells[x + b] = 1, a << 40 | v
     return base, cells
 
 
@@ -263,7 +263,7 @@ class Fold:
         self.width = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
         self.end = max(ranks.values(), default=0) + 1
         base, cells = rank_map(ranks)
-        self.base, self.cells = literals.array(pa.array(base, pa.int32()), "int"), literals.array(pa.array(cells, pa.int64()), "bigint")
+        self.base, self.cells = literals.array(pa.array(base, pa.int64()), "bigint"), literals.array(pa.array(cells, pa.int64()), "bigint")
         first = []  # two neighbour bytes, 256 being the end: the state of the left one
         for a in range(257):
             own = self.end if a == 256 else ranks.get(bytes([a]), self.end)
@@ -274,8 +274,9 @@ class Fold:
 
     def pair(self, a: Column, b: Column) -> Column:
         """The rank of the pair, in its bits of the state."""
-        cell = F.get(self.cells, (F.get(self.base, a.cast("int")) + b).cast("int"))
-        return F.when(cell.bitwiseAND(ID) == a, cell - a).otherwise(F.lit(NO_RANK))
+        cell = F.get(self.cells, F.get(self.base, a) + b)
+        # Another row's cell, or an empty one, stays above any rank.
+        return F.shiftleft(F.least(cell.bitwiseXOR(F.shiftleft(a, 40)), F.lit(NO_RANK >> 40)), 40)
 
     def joined(self, state: Column, at: Column) -> Column:
         """The state with the pair at the place `at` (from 1) joined."""
@@ -352,7 +353,7 @@ class Chunk:
         """A row for each bucket and size: the words' bytes one after the other."""
         order, own, size = self.dealt(buckets)
         first = np.flatnonzero(np.diff(own * (LONG_WORD + 1) + size, prepend=-1))
-        ends = np.append(first[1:], len(order))
+        ends = np.append(first, len(order))[1:]
         words = [b"".join(map(self.words.__getitem__, order[a:b].tolist())) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
         numbers = [pa.array(x.astype(np.int32)) for x in (own[first], first, size[first], ends - first)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.key)), *numbers, pa.array(words, pa.binary())], names=["chunk", "bucket", "first", "size", "n", "words"])

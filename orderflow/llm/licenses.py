@@ -1,7 +1,7 @@
 """License scans with ordered signature rules.
 
-A few hundred regular expressions, made from license families and sentence forms, each gated by a word
-of its own name that every match holds. A version may be glued to the name (GPLv2). A detection has a byte interval; one that lies inside the interval
+Hundreds of regular expressions: names of license families in sentence forms, and sentences of license texts
+and notices written by hand (SIGNATURES), each gated by a word of its own that every match holds. A version may be glued to the name (GPLv2). A detection has a byte interval; one that lies inside the interval
 of a detection of higher priority, or of equal priority and greater length, is suppressed. Base
 phrases (PHRASES) are places where a phrase's words stand consecutively; no rule suppresses them.
 
@@ -103,6 +103,93 @@ FORMS = [
 WEAK = {"mit", "apache", "gpl", "mpl", "lgpl", "agpl", "unlicense", "cc0", "cc by"}
 
 
+#: Sentences of license texts and notices: (label, keyword that every match holds, words, priority,
+#: confidence). `*` stands for up to four words, `a|b` for either.
+SIGNATURES = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 6, 0.99),
+    ("mit-0", "hereby", "permission is hereby granted free of charge to any person obtaining a copy * to deal in the software without restriction", 7, 0.95),
+    ("mit", "noninfringement", "merchantability fitness for a particular purpose and noninfringement in no event shall the authors", 4, 0.8),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 5, 0.95),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission", 6, 0.95),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 7, 0.98),
+    ("bsd-2-clause", "conclusions", "views and conclusions contained in the software and documentation are those of the authors", 5, 0.85),
+    ("isc", "purpose", "permission to use copy modify and|or distribute this software for any purpose with or without fee is hereby granted", 6, 0.97),
+    ("0bsd", "purpose", "permission to use copy modify and|or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 7, 0.9),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 5, 0.95),
+    ("apache-2", "apache", "licensed to the apache software foundation asf under one or more contributor license agreements", 6, 0.98),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 5, 0.85),
+    ("apache", "apache", "apache software foundation", 1, 0.4),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 6, 0.98),
+    ("gpl-2", "version", "gnu general public license as published by the free software foundation either version 2 of the license", 8, 0.98),
+    ("gpl-2", "version", "gnu general public license as published by the free software foundation version 2", 7, 0.97),
+    ("gpl-3", "version", "gnu general public license as published by the free software foundation either version 3 of the license", 8, 0.98),
+    ("gpl-3", "version", "gnu general public license as published by the free software foundation version 3", 7, 0.97),
+    ("gpl-2", "gpl", "gpl 2 0 only|or later?", 6, 0.97),
+    ("gpl-3", "gpl", "gpl 3 0 only|or later?", 6, 0.97),
+    ("gpl-with-classpath-exception", "classpath", "gnu|gpl * with|and classpath exception", 9, 0.97),
+    ("gpl-with-classpath-exception", "independent", "permission to link this library with independent modules to produce an executable", 8, 0.95),
+    ("gpl-with-gcc-exception", "gcc", "gcc runtime library exception", 9, 0.97),
+    ("gpl-with-font-exception", "exception", "gpl * with font|fonts exception", 9, 0.95),
+    ("gpl-with-autoconf-exception", "autoconf", "configuration script generated by autoconf you may include it under the same distribution terms", 9, 0.97),
+    ("lgpl", "lesser", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", 7, 0.98),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 8, 0.98),
+    ("lgpl-2.1", "lgpl", "lgpl 2 1 only|or later?", 6, 0.97),
+    ("lgpl-3", "lgpl", "lgpl 3 0 only|or later?", 6, 0.97),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation either version 3", 8, 0.98),
+    ("agpl-3", "agpl", "agpl 3 0 only|or later?", 6, 0.97),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 7, 0.99),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 7, 0.98),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license", 6, 0.97),
+    ("cddl", "common", "the contents of this file are subject to the terms of the common development and distribution license", 6, 0.97),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 6, 0.98),
+    ("libpng", "libpng", "this copy of the libpng notices is provided for your convenience", 6, 0.97),
+    ("boost-1", "boost", "distributed under the boost software license version 1 0", 6, 0.98),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 7, 0.99),
+    ("wtfpl", "fuck", "do what the fuck you want to public license", 6, 0.98),
+    ("beerware", "beer", "you can buy me a beer in return", 5, 0.9),
+    ("beerware", "beer", "beer ware license", 5, 0.95),
+    ("json", "evil", "the software shall be used for good not evil", 6, 0.97),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 5, 0.9),
+    ("openssl", "openssl", "openssl license", 3, 0.85),
+    ("python-2", "python", "psf license agreement for python", 5, 0.95),
+    ("php-3", "php", "php license version 3 0|01", 5, 0.97),
+    ("ruby", "ruby", "under the terms of the ruby license", 4, 0.85),
+    ("x11", "consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising", 6, 0.97),
+    ("ncsa", "illinois", "university of illinois ncsa open source license", 6, 0.97),
+    ("postgresql", "postgresql", "postgresql license", 4, 0.9),
+    ("artistic-2", "artistic", "under the terms of the artistic license 2 0", 5, 0.95),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1", 6, 0.99),
+    ("cc0-1", "cc0", "cc0 1 0 universal", 5, 0.98),
+    ("cc0-1", "neighboring", "has waived all copyright and related or neighboring rights to this work", 6, 0.95),
+    ("cc-by", "creative", "this work is licensed under a|the creative commons attribution", 3, 0.9),
+    ("cc-by-nc", "noncommercial", "licensed under a|the creative commons attribution noncommercial", 4, 0.92),
+    ("cc-by-nc", "commercial", "licensed under a|the creative commons attribution non commercial", 4, 0.92),
+    ("non-commercial", "commercial", "for non commercial use only", 4, 0.85),
+    ("non-commercial", "noncommercial", "for noncommercial use only", 4, 0.85),
+    ("research-only", "research", "for research purposes only", 4, 0.7),
+    ("no-derivatives", "derivative", "no derivative works are permitted|allowed", 4, 0.8),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", 6, 0.97),
+    ("proprietary", "reproduced", "no part of this * may be reproduced", 5, 0.8),
+    ("proprietary", "trade", "contains confidential and trade secret information", 5, 0.85),
+    ("all-rights-reserved", "reserved", "all rights are reserved", 3, 0.7),
+    ("public-domain", "domain", "has been placed in|into the public domain", 4, 0.9),
+    ("public-domain", "domain", "this work is in the public domain", 4, 0.9),
+]
+
+
+def _signature(words: str) -> bytes:
+    out = b""
+    for i, w in enumerate(words.split()):
+        gap = _SEP if i else b""
+        if w == "*":
+            out += b"(?:" + _SEP + rb"[0-9a-z\x80-\xff]+){0,4}?"
+        elif w.endswith("?"):
+            out += b"(?:" + gap + re.escape(w[:-1].encode()) + b")?"
+        else:
+            out += gap + b"(?:" + b"|".join(re.escape(a.encode()) for a in w.split("|")) + b")"
+    return out
+
+
 def _gate(keyword: str, name: str) -> bytes:
     """A word that each match of the name holds: the one with the keyword, else the longest."""
     must = [w for w in name.split() if not w.endswith("?")]
@@ -127,6 +214,9 @@ class Rules:
                         label = family if version is None else f"{family}-{version.removesuffix(' 0').replace(' ', '.')}"
                         body = _words(name) if not name.endswith("?") else _words(name.rsplit(" ", 1)[0]) + b"(?:" + _SEP + re.escape(name.rsplit(" ", 1)[1].rstrip("?").encode()) + b")?"
                         self.rules.append((_gate(keyword, name), re.compile(_EDGE_A + lead + body + tail + _EDGE_B), label, priority + (version is not None), confidence))
+        for label, keyword, words, priority, confidence in SIGNATURES:
+            gate = next(w for w in words.split() if keyword in w and not w.endswith("?") and "|" not in w)
+            self.rules.append((gate.encode(), re.compile(_EDGE_A + _signature(words) + _EDGE_B), label, priority, confidence))
         self.keywords = [(k, re.compile(_EDGE_A + re.escape(k) + b"(?:(?=v?[0-9])|" + _EDGE_B + b")")) for k in sorted({r[0] for r in self.rules})]
         self.base = [(label, _words(phrase).split(_SEP)[-1], re.compile(_EDGE_A + _words(phrase) + _EDGE_B)) for phrase, label in PHRASES]
 

@@ -70,10 +70,10 @@ def test_bpe_rank_map_and_chunks(spark, docs, monkeypatch):
         for i in range(1, len(k)):
             a, b = ranks.get(k[:i]), ranks.get(k[i:])
             if a is not None and b is not None:
-                assert cells[base[a] + b] == v << 40 | a
+                assert cells[base[a] + b] == a << 40 | v
     some = random.Random(2).sample(sorted(ranks.values()), 60)
     for a, b in itertools.product(some, some):
-        known = cells[base[a] + b] & bpe.ID == a
+        known = cells[base[a] + b] >> 40 == a
         assert known == (next(k for k, v in ranks.items() if v == a) + next(k for k, v in ranks.items() if v == b) in ranks)
     # Chunks of a few rows, extra columns, a kept column named like the result.
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
@@ -361,6 +361,17 @@ def test_license_rules_fire_through_their_gates():
                                 assert label in found(text), (text, found(text))
 
 
+def test_license_signatures_fire_through_their_gates():
+    for label, _, words, _, _ in licenses.SIGNATURES:
+        for pick in (0, -1):
+            text = " ".join("one two" if w == "*" else w.rstrip("?").split("|")[pick] for w in words.split())
+            found = licenses.rules().scan(lower(f"So: {text.replace(' ', ', ', 1)}.").encode())[1]
+            assert label in {d[2] for d in found}, (text, found)
+    found = lambda text: {d[2] for d in licenses.rules().scan(lower(text).encode())[1]}
+    assert found("licensed under the GNU GPL, with Classpath exception") >= {"gpl-with-classpath-exception"}
+    assert found("GPL-2.0-or-later") == {"gpl-2"}
+
+
 def test_license_priority_and_containment():
     scanner = licenses.rules()
     texts = ["licensed under the apache license version 2.0 and under the mit license", "GNU Lesser General Public License v2.1, or the BSD 3-clause license; in the public domain", "cc-by-nc-sa 4.0 and cc by 3.0", "all rights reserved. proprietary license"]
