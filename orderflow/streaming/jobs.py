@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from orderflow.functions.scalars import seq_of
@@ -48,15 +49,20 @@ def debounced(events: DataFrame, quiet: str = "1 second", grace: str = GRACE) ->
     return rows.groupBy("channel", F.session_window("event_time", quiet).alias("w")).agg(F.max_by("data", "seq").alias("data"), F.count("*").alias("events")).select("channel", F.unix_seconds("w.start").alias("first"), "data", "events")
 
 
-def refolding(events: DataFrame, keys: list[str], log_path: str, fold: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+def refolding(events: DataFrame, keys: list[str], log_path: str, fold: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], buckets: int = 256) -> DataStreamWriter:
     """A writer that appends each batch to the log and hands `write` the folded rows of touched keys.
 
-    A batch's rows go to a folder of its own number, so a repeated batch replaces itself."""
+    A batch's rows go to a folder of its own number, so a repeated batch replaces itself. The log is kept by
+    buckets of the keys' hash, and only the buckets that a batch touches are read again."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def batch(frame: DataFrame, number: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        whole = frame.sparkSession.read.parquet(log_path).drop("batch")
-        touched = frame.select(*keys).distinct()
-        write(fold(whole.join(touched, keys, "left_semi")), number)
+        frame.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
+        touched = frame.select(*keys).distinct().persist()
+        here = [r.bucket for r in touched.select(bucket.alias("bucket")).distinct().collect()]
+        if here:
+            whole = frame.sparkSession.read.schema(T.StructType([*frame.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(log_path)
+            write(fold(whole.where(F.col("bucket").isin(here)).drop("batch", "bucket").join(touched, keys, "left_semi")), number)
+        touched.unpersist()
 
     return events.writeStream.foreachBatch(batch)
