@@ -265,8 +265,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, distance: int) -> tupl
     fps = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, distance=distance))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = checkpointed(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # As in `components`: two stored tables, so a root with very many members can be split.
+    smallest = checkpointed(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     return fps, classes.join(smallest, "root").select("fp", "root", "component_id")
 
 
