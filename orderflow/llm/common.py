@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -160,3 +161,25 @@ def batches_of_rows(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir (in tests: the warehouse)."""
+    conf = spark.conf
+    return f"{(conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame written as a table to the shared folder and read again, and the table's path. Its size is
+    known to the planner, so that a join broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, *paths: str) -> None:
+    """Removes what a run has written, on whatever store it is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import bpe, decontaminate, html_text, licenses, near_dedup, packing, quality, topk, toxicity, url_rules
+from orderflow.llm import bpe, decontaminate, divergence, html_text, licenses, near_dedup, packing, quality, topk, toxicity, url_rules, warc, whitening
 from orderflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_toxicity, op4_top_k, op5_html_text, op6_near_dedup, op7_packing, op8_quality, op9_url_rules, op10_licenses)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_toxicity, op4_top_k, op5_html_text, op6_near_dedup, op7_packing, op8_quality, op9_url_rules, op10_licenses, op11_warc, op12_whitening, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE, "op4_top_k": topk.ORACLE, "op9_url_rules": url_rules.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op4_top_k": topk.ORACLE, "op9_url_rules": url_rules.ORACLE, "op11_warc": warc.ORACLE, "op13_divergence": divergence.ORACLE}
