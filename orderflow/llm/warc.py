@@ -242,7 +242,7 @@ def owners(records: DataFrame) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: capture_id, target_uri, date, response, requests, metadata (structs of the
-    records' other columns)."""
+    records' other columns). The records are read more than once, so they had better be a stored table."""
     whole = records.where("error is null and record_type in ('response', 'revisit', 'resource', 'request', 'metadata')")
     rest = [c for c in records.columns if c not in ("error",)]
     is_head = F.col("record_type").isin(*HEADS)
@@ -276,8 +276,12 @@ def report(pages: DataFrame) -> DataFrame:
     spark, path = pages.sparkSession, shared_path(pages.sparkSession, "warc")
     write(pages, path)
     keys = f"page_id {pages.schema['page_id'].dataType.simpleString()}"
-    out = checkpointed(resolved(assemble(read(spark, path, payloads=False)), "page_id", keys).withColumnRenamed("key", "page_id").drop("url"))
+    # The archives are read once; what is put together are their records without the payloads.
+    columns = ["record_id", "record_type", "target_uri", "date", "concurrent_to", "declared_digest", "payload_bytes", "payload_digest", "block", "error"]
+    records, records_at = stored(read(spark, path, payloads=False).select(columns), "warc-records")
     drop_path(spark, path)
+    out = checkpointed(resolved(assemble(records), "page_id", keys).withColumnRenamed("key", "page_id").drop("url"))
+    drop_path(spark, records_at)
     return out
 
 
