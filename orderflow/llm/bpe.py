@@ -45,6 +45,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -326,7 +327,7 @@ BODY = "chunk long, n_words int, kept binary, counts binary, numbers binary, pla
 class Chunk:
     """Rows of documents with about CHUNK_BYTES of text, and their distinct words."""
 
-    def __init__(self, rows: pa.RecordBatch, pattern: str):
+    def __init__(self, rows: pa.RecordBatch, pattern: str, place: tuple[int, int]):
         raw, offsets = buffer_of(rows.column(rows.num_columns - 1))
         self.words, self.numbers, self.counts = distinct_words(raw, offsets, pattern)
         kept = pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.nulls(rows.num_rows)], names=[str(i) for i in range(rows.num_columns)])
@@ -334,7 +335,8 @@ class Chunk:
         with pa.ipc.new_stream(sink, kept.schema) as out:
             out.write_batch(kept)
         self.kept = sink.getvalue().to_pybytes()
-        key = hashlib.blake2b(self.kept, digest_size=8)
+        # Equal chunks differ by their place: the number of the partition, and of the chunk in it.
+        key = hashlib.blake2b(self.kept, digest_size=8, person=place[0].to_bytes(8, "little") + place[1].to_bytes(8, "little"))
         key.update(np.ascontiguousarray(raw))
         key.update(np.ascontiguousarray(offsets))
         self.key = int.from_bytes(key.digest(), "little", signed=True)
@@ -372,18 +374,18 @@ def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str, part:
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, own, number = [], 0, TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = buffer_of(batch.column(k))
             for i, j in batches_of_rows(offsets, CHUNK_BYTES):
                 more = offsets[j] - offsets[i] + 64 * (j - i)
                 if held and size + more > CHUNK_BYTES:
-                    yield part(Chunk(pa.concat_batches(held), pattern))
-                    held, size = [], 0
+                    yield part(Chunk(pa.concat_batches(held), pattern, (own, number)))
+                    held, size, number = [], 0, number + 1
                 held.append(batch.slice(i, j - i))
                 size += more
         if held:
-            yield part(Chunk(pa.concat_batches(held), pattern))
+            yield part(Chunk(pa.concat_batches(held), pattern, (own, number)))
 
     bounded_batches(docs.sparkSession)
     return frame.mapInArrow(run, schema)
@@ -393,7 +395,7 @@ CHANGED = "a chunk changed between two readings of the documents; checkpoint the
 
 
 def filled(left: pa.Table, right: pa.Table, schema: pa.Schema, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """The rows of a chunk (or of chunks that are equal) with their ids."""
+    """The rows of a chunk with their ids."""
     if not left.num_rows:
         raise ValueError(CHANGED)
     lists = {c: right[c].combine_chunks() for c in ("first", "sizes", "ids")} if right.num_rows else None
