@@ -198,7 +198,8 @@ def _distances(terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     i, j = np.triu_indices(many, 1)
     names = groups["source"].to_numpy(object)
     lang = groups["lang"].iloc[0] if many else ""
-    return pd.DataFrame({"lang": [lang] * len(i), "a": names[i], "b": names[j], "value": total[i, j]})
+    text = lambda values: pd.Series(values, dtype=object)
+    return pd.DataFrame({"lang": text([lang] * len(i)), "a": text(names[i]), "b": text(names[j]), "value": total[i, j]})
 
 
 def divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, most_terms: int = TERMS) -> DataFrame:
