@@ -34,8 +34,25 @@ def bucket_open(ts: Column, seconds: int) -> Column:
     return ts - F.pmod(ts, F.lit(seconds))
 
 
+#: The type of amounts, prices and quantities. What needs more than 38 digits is null there, and its row
+#: goes to a quarantine.
+AMOUNT = "decimal(38,0)"
+MOST = 10**MAX_DECIMAL - 1
+
+
+def amount_of(column: Column | str) -> Column:
+    """A number of any type, or its decimal text, as an amount; null where it does not fit."""
+    return (F.col(column) if isinstance(column, str) else column).try_cast(AMOUNT)
+
+
 def sat_sub(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0).cast("bigint"), a - b)
+    """a - b, but not below 0."""
+    return F.greatest(F.lit(0).cast("bigint"), F.try_subtract(a, b))
+
+
+def sat_add(a: Column, b: Column) -> Column:
+    """a + b of two amounts, but not above the largest one."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_add(amount_of(a), amount_of(b)), F.lit(str(MOST)).cast(AMOUNT)))
 
 
 def ident(*parts: Column | str) -> Column:
@@ -59,18 +76,29 @@ def word(data: Column, i: int) -> Column:
     return F.substring(data, 3 + 64 * i, 64)
 
 
+#: The digits of 10^38 - 1 in the lower half of a word.
+_MOST_HEX = f"{MOST:032x}"
+
+
+def fits_uint64(w: Column) -> Column:
+    """Whether a word is a whole one and below 2^63: told from its digits alone."""
+    return (F.length(w) == 64) & (F.substring(w, 1, 48) == "0" * 48) & (F.substring(w, 49, 1) < "8")
+
+
+def fits_uint256(w: Column) -> Column:
+    """Whether a word is a whole one and an amount of 38 digits."""
+    return (F.length(w) == 64) & (F.substring(w, 1, 32) == "0" * 32) & (F.lower(F.substring(w, 33, 32)) <= _MOST_HEX)
+
+
 def uint64(w: Column) -> Column:
     """A word as a long; null beyond 2^63 - 1."""
-    low = F.conv(F.substring(w, 49, 16), 16, 10).try_cast("bigint")
-    return F.when(F.ltrim(F.substring(w, 1, 48), F.lit("0")) == "", low)
+    return F.when(fits_uint64(w), F.conv(F.substring(w, 49, 16), 16, 10).try_cast("bigint"))
 
 
 def uint256(w: Column) -> Column:
     """A word as decimal(38,0); null beyond 10^38 - 1 (the row then goes to quarantine)."""
-    part = lambda at: F.conv(F.substring(w, at, 16), 16, 10).cast("decimal(20,0)")
-    value = F.try_add(F.try_multiply(part(33), F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(38,0)"), part(49).cast("decimal(38,0)"))
-    small = F.substring(w, 33, 32) <= F.lit("4b3b4ca85a86c47a098a223fffffffff")
-    return F.when((F.ltrim(F.substring(w, 1, 32), F.lit("0")) == "") & small, value.try_cast("decimal(38,0)"))
+    part = lambda at: F.conv(F.substring(w, at, 16), 16, 10).try_cast("decimal(20,0)")
+    return F.when(fits_uint256(w), F.try_add(F.try_multiply(part(33), F.lit(str(1 << 64)).cast("decimal(20,0)")), part(49)).try_cast(AMOUNT))
 
 
 def address(w: Column) -> Column:

@@ -1,28 +1,33 @@
 """Balances clamped at zero: signed deltas, the running fold, and final balances in chunks.
 
 A sum clamped at 0 after each step is the plain running sum minus its running minimum where that is
-negative (reflection), so the fold is a window. Clamps also compose: a chunk of events is described by
-its sum and its least prefix sum, so the final balances of a hot account come from many chunks.
+negative (reflection), so the fold is a window. Clamps also compose: a chunk of an account's events is
+described by its sum and its least prefix sum. So both the final and the running balances are made in two
+levels: windows within (account, chunk), then over the few summaries of an account, whose result is the
+balance that each of its chunks starts from. No task holds more of a hot account than a chunk.
+
+Amounts are DECIMAL(38,0). Sums that would leave 38 digits are null (`overflowed` finds them), not errors.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from orderflow.functions.scalars import sat_sub
+from orderflow.functions.scalars import AMOUNT, amount_of, sat_sub
 
 
 def deltas(events: DataFrame) -> DataFrame:
     """One row for each signed change, in the order (seq, sub). A transfer moves the amount out of the
-    sender and the amount less the fee (not below 0) into the receiver; a locked one unlocks first."""
-    amount, zero = F.col("amount"), F.lit(0).cast("bigint")
+    sender and the amount less the fee (not below 0) into the receiver; a locked one unlocks first. Events
+    whose amounts don't fit are left out whole; `unfit` has them."""
+    amount, zero = amount_of("amount"), F.lit(0).cast(AMOUNT)
 
     def row(sub: int, user: str, kind: str, available: Column, locked: Column) -> Column:
         return F.struct(F.lit(sub).alias("sub"), F.col(user).alias("user"), F.lit(kind).alias("change"), available.alias("d_available"), locked.alias("d_locked"))
 
-    net = sat_sub(amount, F.col("fee_amount"))
+    net = sat_sub(amount, amount_of("fee_amount"))
     out, into = lambda sub: row(sub, "user_addr", "TRANSFER_OUT", -amount, zero), lambda sub: row(sub, "receiver", "TRANSFER_IN", net, zero)
     unlock = row(0, "user_addr", "UNLOCK", amount, -amount)
     kinds = {
@@ -33,33 +38,78 @@ def deltas(events: DataFrame) -> DataFrame:
     chosen = None
     for kind, rows in kinds.items():
         chosen = F.when(F.col("kind") == kind, F.array(*rows)) if chosen is None else chosen.when(F.col("kind") == kind, F.array(*rows))
-    return events.select("seq", "token_id", "ts", F.explode(chosen).alias("d")).select("seq", "d.sub", "d.user", "token_id", "ts", "d.change", "d.d_available", "d.d_locked")
-
-
-def running(changes: DataFrame) -> DataFrame:
-    """Available and locked after each change."""
-    w = Window.partitionBy("user", "token_id").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = changes.withColumn("sa", F.sum("d_available").over(w)).withColumn("sl", F.sum("d_locked").over(w))
-    fold = lambda s: (F.col(s) - F.least(F.lit(0), F.min(s).over(w))).cast("bigint")
-    return sums.withColumn("available", fold("sa")).withColumn("locked", fold("sl")).drop("sa", "sl").withColumn("total", F.col("available") + F.col("locked"))
-
-
-def changed(changes: DataFrame) -> DataFrame:
-    """The balance after each event and affected user: of an event's changes the last. The next change's
-    event is read in the same order as the running sums, without another shuffle."""
-    after = F.lead("seq").over(Window.partitionBy("user", "token_id").orderBy("seq", "sub"))
-    rows = running(changes).withColumn("after", after)
-    return rows.where("after is null or after <> seq").select("seq", "user", "token_id", "ts", "available", "locked", "total")
-
-
-def final(changes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """Each account's balance. Windows are by (account, chunk of seq), so a hot account is split."""
-    rows = changes.withColumn("chunk", F.floor(F.col("seq") / chunk))
-    w = Window.partitionBy("user", "token_id", "chunk").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("sa", F.sum("d_available").over(w)).withColumn("sl", F.sum("d_locked").over(w))
-    chunks = rows.groupBy("user", "token_id", "chunk").agg(F.sum("d_available").alias("a"), F.sum("d_locked").alias("l"), F.min("sa").alias("ma"), F.min("sl").alias("ml"))
-    before = Window.partitionBy("user", "token_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    placed = chunks.withColumn("pa", F.coalesce(F.sum("a").over(before), zero)).withColumn("pl", F.coalesce(F.sum("l").over(before), zero))
-    fold = lambda s, p, m: (F.sum(s) - F.least(zero, F.min(F.col(p) + F.col(m)))).cast("bigint")
-    return placed.groupBy("user", "token_id").agg(fold("a", "pa", "ma").alias("available"), fold("l", "pl", "ml").alias("locked")).withColumn("total", F.col("available") + F.col("locked"))
+    return events.where(~_is_unfit()).select("seq", "token_id", "ts", F.explode(chosen).alias("d")).select("seq", "d.sub", "d.user", "token_id", "ts", "d.change", "d.d_available", "d.d_locked")
+
+
+def _is_unfit() -> Column:
+    return amount_of("amount").isNull() | (F.col("kind").like("TRANSFER%") & amount_of("fee_amount").isNull())
+
+
+def unfit(events: DataFrame) -> DataFrame:
+    """Events whose amounts are missing or do not fit 38 digits."""
+    return events.where(_is_unfit())
+
+
+_ACCOUNT = ("user", "token_id")
+_PAIRS = (("a", "available"), ("l", "locked"))
+#: Changes of all accounts in the stretch of the log that a chunk covers, on average.
+CHUNK_ROWS = 1 << 18
+
+
+def chunk_width(changes: DataFrame, rows: int = CHUNK_ROWS) -> int:
+    """How much of `seq` a chunk covers so that it has about `rows` changes, whatever `seq` counts."""
+    low, high, many = changes.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    return 1 if not many else max(1, -(-(int(high) - int(low) + 1) * rows // many))
+
+
+def _up_to_here(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _chunked(changes: DataFrame, chunk: int | None) -> DataFrame:
+    """Running sums sa and sl within (account, chunk), and their running minima ma and ml."""
+    w = _up_to_here(*_ACCOUNT, "chunk")
+    rows = changes.withColumn("chunk", F.floor(F.col("seq") / (chunk or chunk_width(changes))))
+    rows = rows.withColumns({f"s{k}": F.try_sum(f"d_{name}").over(w) for k, name in _PAIRS})
+    return rows.withColumns({f"m{k}": F.min(f"s{k}").over(w) for k, _ in _PAIRS})
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """Of each chunk its sums and least prefix sums, and those of all that is before it in its account."""
+    chunks = rows.groupBy(*_ACCOUNT, "chunk").agg(*[F.try_sum(f"d_{name}").alias(k) for k, name in _PAIRS], *[F.min(f"s{k}").alias(f"m{k}") for k, _ in _PAIRS])
+    before = Window.partitionBy(*_ACCOUNT).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*_ACCOUNT).orderBy("chunk")) == 1
+    zero = F.lit(0).cast(AMOUNT)
+    lost = lambda k: F.count_if(F.col(k).isNull()).over(before) > 0  # noqa: E731  what left 38 digits stays null
+    placed = chunks.withColumns({f"p{k}": F.when(first, zero).when(~lost(k), F.try_sum(k).over(before)) for k, _ in _PAIRS})
+    return placed.withColumns({f"b{k}": F.try_add(f"p{k}", f"m{k}") for k, _ in _PAIRS}).withColumns({f"low_{k}": F.least(zero, F.coalesce(F.min(f"b{k}").over(before), zero)) for k, _ in _PAIRS})
+
+
+def running(changes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Available and locked after each change; `last` says whether it is the event's last of its account.
+    `chunk` is the stretch of `seq` of a chunk (from the data)."""
+    rows = _chunked(changes, chunk)
+    after = F.lead("seq").over(Window.partitionBy(*_ACCOUNT, "chunk").orderBy("seq", "sub"))
+    rows = rows.withColumn("last", F.coalesce(after != F.col("seq"), F.lit(True)))
+    starts = _summaries(rows).select(*_ACCOUNT, "chunk", *[F.try_subtract(f"p{k}", f"low_{k}").alias(f"start_{k}") for k, _ in _PAIRS])
+    both = rows.join(starts, [*_ACCOUNT, "chunk"])
+    # From the balance at the chunk's start: start + sum - least(0, start + least sum so far).
+    fold = {name: F.try_subtract(F.try_add(f"start_{k}", f"s{k}"), F.least(F.lit(0).cast(AMOUNT), F.try_add(f"start_{k}", f"m{k}"))).cast(AMOUNT) for k, name in _PAIRS}
+    return both.withColumns(fold).select(*changes.columns, *fold, F.try_add("available", "locked").alias("total"), "last")
+
+
+def changed(changes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """The balance after each event and affected user: of an event's changes the last."""
+    return running(changes, chunk).where("last").select("seq", "user", "token_id", "ts", "available", "locked", "total")
+
+
+def final(changes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Each account's balance, from the summaries of its chunks alone."""
+    zero = F.lit(0).cast(AMOUNT)
+    folded = _summaries(_chunked(changes, chunk)).groupBy(*_ACCOUNT).agg(*[F.when(F.count_if(F.col(k).isNull()) == 0, F.try_subtract(F.try_sum(k), F.least(zero, F.min(f"b{k}")))).cast(AMOUNT).alias(name) for k, name in _PAIRS])
+    return folded.withColumn("total", F.try_add("available", "locked"))
+
+
+def overflowed(rows: DataFrame) -> DataFrame:
+    """The running or final balances that left 38 digits, for the quarantine."""
+    return rows.where("available is null or locked is null or total is null")

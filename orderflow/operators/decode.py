@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import address, side, status, uint64, uint256, word
+from orderflow.functions.scalars import address, fits_uint64, fits_uint256, seq_of, side, status, uint64, uint256, word
 
 #: Fields of each event. "topic1" to "topic3" are indexed, numbers are words of the data.
 EVENTS: dict[str, dict[str, tuple[str | int, str]]] = {
@@ -21,6 +21,20 @@ EVENTS: dict[str, dict[str, tuple[str | int, str]]] = {
     "TransferFrom": {"operator": ("topic1", "address"), "sender": ("topic2", "address"), "receiver": ("topic3", "address"), "id": (0, "hex"), "amount": (1, "u256"), "fee_amount": (2, "u256")},
     "TransferLockedFrom": {"operator": ("topic1", "address"), "sender": ("topic2", "address"), "receiver": ("topic3", "address"), "id": (0, "hex"), "amount": (1, "u256"), "fee_amount": (2, "u256")},
 }
+#: The signature hashes (topic0) of the event types, Keccak-256 of the name and its types.
+SIGNATURES = {
+    "PoolCreated": "0x16354016da33c4b63f03b12074e60a0dba0444a0d8747d270e457e24948fbf48",  # (bytes32,address,address,address)
+    "OrderPlaced": "0x02aaa47b12d5a781ede380495aa581865620e47a9f66f4a0994c6851d10d8cd8",  # (uint48,address,uint8,uint128,uint128,uint48,bool,uint8)
+    "OrderMatched": "0x696ae023f8379481f3fa1bcccfdf43e7b011cc653c41740cfcc3a88399c6a988",  # (address,uint48,uint48,uint8,uint48,uint128,uint128,uint128)
+    "UpdateOrder": "0x6132ef723352ead2794cfeb3d6fd77f28406351ca9105824620bfa20a293311c",  # (uint48,uint48,uint128,uint8)
+    "OrderCancelled": "0xde2f01881fb16526ccd6699288e88797f971c7eb5bd62a58366211f13974e873",  # (uint48,address,uint48,uint8)
+    "Deposit": "0x90890809c654f11d6e72a28fa60149770a0d11ec6c92319d6ceb2bb0a4ea1a15",  # (address,uint256,uint256)
+    "Withdrawal": "0xdf273cb619d95419a9cd0ec88123a0538c85064229baa6363788f743fff90deb",  # (address,uint256,uint256)
+    "Lock": "0x49eaf4942f1237055eb4cfa5f31c9dfe50d5b4ade01e021f7de8be2fbbde557b",  # (address,uint256,uint256)
+    "Unlock": "0xf7870c5b224cbc19873599e46ccfc7103934650509b1af0c3ce90138377c2004",  # (address,uint256,uint256)
+    "TransferFrom": "0x1fdea0eeac8b19cdb663673f0c9dc339b9dbfb548cb208ba918336d1c2781be1",  # (address,address,address,uint256,uint256,uint256)
+    "TransferLockedFrom": "0x37661204feb3d240437202c38d4bc90dd9a7717367f4733cc755f0c0f13d939c",  # (address,address,address,uint256,uint256,uint256)
+}
 POOL_EVENTS = ("PoolCreated",)
 BALANCE_EVENTS = ("Deposit", "Withdrawal", "Lock", "Unlock", "TransferFrom", "TransferLockedFrom")
 BOOK_EVENTS = ("OrderPlaced", "OrderMatched", "UpdateOrder", "OrderCancelled")
@@ -42,16 +56,19 @@ def relevant(logs: DataFrame, pools: DataFrame, *, manager: str, balances: str,
 
 def decode(logs: DataFrame, event: str) -> DataFrame:
     """The event's fields beside the log's keys. A number that does not fit stays null, and `overflow`
-    says so (the raw data is kept for the quarantine)."""
-    fields, lost = [], F.lit(False)
-    for name, (at, kind) in EVENTS[event].items():
-        # Topics are bare words; data words follow "0x".
-        w = F.lpad(F.regexp_replace(F.col(at), "^0x", ""), 64, "0") if isinstance(at, str) else word(F.col("data"), at)
-        value = {"u64": uint64, "u256": uint256, "address": address, "hex": lambda x: F.concat(F.lit("0x"), x), "side": lambda x: side(uint64(x)), "status": lambda x: status(uint64(x)), "bool": lambda x: uint64(x) != 0, "cancelled": lambda x: F.lit("CANCELLED")}[kind](w)
-        if kind in ("u64", "u256"):
-            lost = lost | (value.isNull() & (w != ""))
-        fields.append(value.alias(name))
-    return logs.select("address", "block_number", "log_index", "tx_hash", "data", *fields, lost.alias("overflow"))
+    says so (the raw data is kept for the quarantine). Words are cut first; `overflow` is told from their
+    digits, so that a filter by it does not make the numbers."""
+    keys, fields = ["address", "block_number", "log_index", "tx_hash", "data"], EVENTS[event]
+    # Topics are bare words; data words follow "0x".
+    words = {f"__{name}": F.lpad(F.regexp_replace(F.col(at), "^0x", ""), 64, "0") if isinstance(at, str) else word(F.col("data"), at) for name, (at, _) in fields.items()}
+    make = {"u64": uint64, "u256": uint256, "address": address, "hex": lambda x: F.concat(F.lit("0x"), x), "side": lambda x: side(uint64(x)), "status": lambda x: status(uint64(x)), "bool": lambda x: uint64(x) != 0, "cancelled": lambda x: F.lit("CANCELLED")}
+    fits = {"u64": fits_uint64, "u256": fits_uint256}
+    cut = logs.select(*keys, *[w.alias(k) for k, w in words.items()])
+    lost = F.lit(False)
+    for name, (_, kind) in fields.items():
+        if kind in fits:
+            lost = lost | (~fits[kind](F.col(f"__{name}")) & (F.col(f"__{name}") != ""))
+    return cut.select(*keys, *[make[kind](F.col(f"__{name}")).alias(name) for name, (_, kind) in fields.items()], lost.alias("overflow"))
 
 
 def decode_all(logs: DataFrame, signatures: dict[str, str]) -> dict[str, DataFrame]:
@@ -60,6 +77,32 @@ def decode_all(logs: DataFrame, signatures: dict[str, str]) -> dict[str, DataFra
     return {event: decode(logs.where(F.col("topic0") == h), event) for event, h in signatures.items() if event in EVENTS}
 
 
+def balance_events(logs: DataFrame, signatures: dict[str, str] = SIGNATURES) -> DataFrame:
+    """The balance events of the logs as `balances.deltas` takes them, in log order; what does not fit is
+    left out (`lost` has it)."""
+    kind = {e: "".join(f"_{c}" if c.isupper() else c.upper() for c in e).lstrip("_") for e in BALANCE_EVENTS}
+    out = None
+    for event in BALANCE_EVENTS:
+        rows = decode(logs.where(F.col("topic0") == signatures[event]), event).where("not overflow")
+        moved = "sender" in EVENTS[event]
+        none = F.lit(None)
+        rows = rows.select(
+            seq_of(F.col("block_number"), F.col("log_index")).alias("seq"), F.col("sender" if moved else "user").alias("user_addr"), (F.col("receiver") if moved else none.cast("string")).alias("receiver"), F.col("id").alias("token_id"),
+            "amount", (F.col("fee_amount") if moved else none.cast("decimal(38,0)")).alias("fee_amount"), F.col("block_number").alias("ts"), F.lit(kind[event]).alias("kind"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def lost(logs: DataFrame, signatures: dict[str, str] = SIGNATURES) -> DataFrame:
+    """The logs of all event types with a number that does not fit, with their raw data."""
+    out = None
+    for event, signature in signatures.items():
+        rows = quarantine(decode(logs.where(F.col("topic0") == signature), event)).withColumn("event_type", F.lit(event))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def quarantine(decoded: DataFrame) -> DataFrame:
     return decoded.where("overflow").select("address", "block_number", "log_index", "tx_hash", "data")
 

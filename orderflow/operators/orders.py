@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orderflow.functions.scalars import ident, is_active, sat_sub, status
+from orderflow.functions.scalars import amount_of, ident, is_active, sat_sub, status
 
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -42,7 +42,7 @@ def book(orders: DataFrame, depth: int | None = None, as_of: int | None = None)
     rows = orders.where(is_active(F.col("status")))
     if as_of is not None:
         rows = rows.where(F.col("expiry") > as_of)
-    levels = rows.groupBy("pool_id", "side", "price").agg(F.sum("remaining").cast("bigint").alias("quantity"), F.count("*").alias("orders"))
+    levels = rows.groupBy("pool_id", "side", "price").agg(F.try_sum(amount_of("remaining")).alias("quantity"), F.count("*").alias("orders"))
     best_first = F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
     ranked = levels.withColumn("level", F.row_number().over(Window.partitionBy("pool_id", "side").orderBy(best_first)))
     return ranked if depth is None else ranked.where(F.col("level") <= depth)

@@ -38,14 +38,25 @@ def gaps(ranges: DataFrame, start: int, target: int) -> DataFrame:
     return rows.where("gap_from < from_block").select("feed", F.col("gap_from").alias("from_block"), (F.col("from_block") - 1).alias("to_block"))
 
 
+def subtract(ranges: DataFrame, taken: DataFrame, start: int, target: int) -> DataFrame:
+    """What `ranges` hold in [start, target] and `taken` do not: the gaps that are left when the gaps of
+    `ranges` are covered too. Feeds of `taken` alone have nothing left."""
+    feeds = ranges.select("feed").distinct()
+    outside = gaps(ranges, start, target).unionByName(taken.select("feed", "from_block", "to_block").join(feeds, "feed", "left_semi"))
+    # A feed whose ranges cover everything has no row of its own there.
+    edges = feeds.select("feed", F.lit(start - 1).cast("bigint").alias("from_block"), F.lit(start - 1).cast("bigint").alias("to_block"))
+    return gaps(outside.unionByName(edges), start, target)
+
+
 def complete(ranges: DataFrame, start: int, target: int) -> DataFrame:
-    left = gaps(ranges, start, target).groupBy("feed").agg(F.count("*").alias("gaps"))
-    return ranges.select("feed").distinct().join(left, "feed", "left").select("feed", F.col("gaps").isNull().alias("complete"))
+    """Whether a feed's ranges are one island, and that covers [start, target]."""
+    return merge(ranges).groupBy("feed").agg(((F.count("*") == 1) & (F.min("from_block") <= start) & (F.max("to_block") >= target)).alias("complete"))
 
 
 def contiguous_end(ranges: DataFrame, start: int) -> DataFrame:
-    """The end of the island that holds `start`, else start - 1."""
-    return merge(ranges).groupBy("feed").agg(F.coalesce(F.max(F.when((F.col("from_block") <= start) & (F.col("to_block") >= start), F.col("to_block"))), F.lit(start - 1)).cast("bigint").alias("contiguous_end"))
+    """The end of a feed's first island if that begins at `start` or before, else start - 1 (not below 0)."""
+    first = merge(ranges).groupBy("feed").agg(F.min(F.struct("from_block", "to_block")).alias("i"))
+    return first.select("feed", F.when(F.col("i.from_block") <= start, F.col("i.to_block")).otherwise(F.lit(max(0, start - 1))).cast("bigint").alias("contiguous_end"))
 
 
 def block_gaps(blocks: DataFrame, bucket_blocks: int = 1 << 16) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orderflow.functions.scalars import amount_of
+
 
 def union_sources(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Both sources by content id, the primary's row preferred. The choice is an aggregate that merges
@@ -37,8 +39,8 @@ def report(primary: DataFrame, secondary: DataFrame, live: DataFrame, start: int
 
 
 def window_bounds(start: int, latest: int, batch: int) -> tuple[int, int] | None:
-    """The next stretch to verify; none before a start is known or without new blocks."""
-    return None if start == 0 or latest < start else (start, start + min(batch, latest - start + 1) - 1)
+    """The next stretch to verify, the head left out; none before a start is known or without new blocks."""
+    return None if start == 0 or latest <= start else (start, start + min(batch, latest - start) - 1)
 
 
 def before_first_live(bulk: DataFrame, first_block: int, first_index: int) -> DataFrame:
@@ -65,7 +67,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_column
 
 def add_amounts(existing: DataFrame, deltas: DataFrame, keys: list[str], amounts: list[str]) -> DataFrame:
     both = existing.select(*keys, *amounts).unionByName(deltas.select(*keys, *amounts))
-    return both.groupBy(*keys).agg(*[F.sum(a).cast("bigint").alias(a) for a in amounts])
+    return both.groupBy(*keys).agg(*[F.try_sum(amount_of(a)).alias(a) for a in amounts])
 
 
 def newest(rows: DataFrame, channel: str | list[str], order: list[Column], most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import INTERVALS, bucket_open, ident, seq_of
+from orderflow.functions.scalars import INTERVALS, amount_of, bucket_open, ident, seq_of
 
 
 def dedup(trades: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def candle_input(trades: DataFrame) -> DataFrame:
 _SUMS = ("volume", "quote_volume", "count", "taker_buy_base_volume", "taker_buy_quote_volume")
 
 
-def _base(trades: DataFrame, **opens: Column) -> DataFrame:
+def partial_bars(trades: DataFrame, **opens: Column) -> DataFrame:
+    """Bars of some trades, with what is needed to compose them: the keys of first and last trade, exact sums."""
     taker = lambda c: F.sum(F.when(F.col("is_taker_buy"), F.col(c)).otherwise(0))
     return trades.groupBy("chain_id", "pool_id", *[v.alias(k) for k, v in opens.items()]).agg(
         F.min("seq").alias("k0"), F.max("seq").alias("k1"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
@@ -31,7 +32,8 @@ def _base(trades: DataFrame, **opens: Column) -> DataFrame:
     )
 
 
-def _rolled(finer: DataFrame) -> DataFrame:
+def rolled(finer: DataFrame) -> DataFrame:
+    """Partial bars of the same bucket as one."""
     return finer.groupBy("chain_id", "pool_id", "interval", "open_time").agg(
         F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min_by("open", "k0").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "k1").alias("close"), *[F.sum(c).alias(c) for c in _SUMS]
     )
@@ -41,7 +43,7 @@ def vwap(quote: Column, volume: Column) -> Column:
     return F.when(volume > 0, quote.cast("double") / volume.cast("double")).otherwise(F.lit(0.0))
 
 
-def _finished(bars: DataFrame) -> DataFrame:
+def finished(bars: DataFrame) -> DataFrame:
     number = lambda c: F.col(c).cast("double").alias(c)
     seconds = F.element_at(F.create_map(*[F.lit(x) for pair in INTERVALS.items() for x in pair]), F.col("interval"))
     return bars.select(ident("chain_id", "pool_id", "open_time").alias("id"), "chain_id", "pool_id", "interval", "open_time", (F.col("open_time") + seconds).alias("close_time"), *map(number, ("open", "high", "low", "close", "volume", "quote_volume")), F.lit(0.0).alias("volume_usd"), F.col("count").cast("bigint").alias("count"), number("taker_buy_base_volume"), number("taker_buy_quote_volume"), vwap(F.col("quote_volume"), F.col("volume")).alias("average"))
@@ -49,15 +51,15 @@ def _finished(bars: DataFrame) -> DataFrame:
 
 def candles(trades: DataFrame, interval: str) -> DataFrame:
     """Bars of one interval straight from raw trades."""
-    return _finished(_base(candle_input(dedup(trades)), open_time=bucket_open(F.col("ts"), INTERVALS[interval])).withColumn("interval", F.lit(interval)))
+    return finished(partial_bars(candle_input(dedup(trades)), open_time=bucket_open(F.col("ts"), INTERVALS[interval])).withColumn("interval", F.lit(interval)))
 
 
 def candles_all(trades: DataFrame) -> DataFrame:
     """All nine intervals from one pass: minute bars, cut where a month begins (it is not a multiple of a
     minute), then each of them once for every interval. The sums are exact, so the levels compose."""
-    minutes = _base(candle_input(dedup(trades)), minute=bucket_open(F.col("ts"), INTERVALS["1m"]), month=bucket_open(F.col("ts"), INTERVALS["1M"]))
+    minutes = partial_bars(candle_input(dedup(trades)), minute=bucket_open(F.col("ts"), INTERVALS["1m"]), month=bucket_open(F.col("ts"), INTERVALS["1M"]))
     opens = [F.struct(F.lit(name).alias("interval"), (F.col("month") if name == "1M" else bucket_open(F.col("minute"), seconds)).alias("open_time")) for name, seconds in INTERVALS.items()]
-    return _finished(_rolled(minutes.withColumn("o", F.explode(F.array(*opens))).withColumns({"interval": F.col("o.interval"), "open_time": F.col("o.open_time")})))
+    return finished(rolled(minutes.withColumn("o", F.explode(F.array(*opens))).withColumns({"interval": F.col("o.interval"), "open_time": F.col("o.open_time")})))
 
 
 def merge_candles(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -76,4 +78,7 @@ def fills(trades: DataFrame) -> DataFrame:
 
 
 def filled_value(trades: DataFrame) -> DataFrame:
-    return fills(trades).groupBy("pool_id", "order_id").agg(F.sum(F.col("price") * F.col("quantity")).cast("bigint").alias("total_filled_value"), F.count("*").alias("fills"))
+    """The quote value of an order's fills; null, for the quarantine, where it leaves 38 digits."""
+    value = F.try_multiply(amount_of("price"), amount_of("quantity"))
+    total = F.when(F.count_if(value.isNull()) == 0, F.try_sum(value))
+    return fills(trades).groupBy("pool_id", "order_id").agg(total.alias("total_filled_value"), F.count("*").alias("fills"))

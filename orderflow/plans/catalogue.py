@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import INTERVALS, bucket_open, ident, hex_of, interval_dim, is_active, seq_of, status, uint64
+from orderflow.functions.scalars import INTERVALS, amount_of, bucket_open, ident, hex_of, interval_dim, is_active, seq_of, status, uint64
 from orderflow.operators import balances, decode, orders, ranges, reconcile, sinks, trades
 from orderflow.sources.fixtures import view
 
@@ -23,13 +23,17 @@ def _query(name: str) -> Callable[[Query], Query]:
     return put
 
 
+def _text(df: DataFrame, *amounts: str) -> DataFrame:
+    """Amounts as decimal text, as results give numbers of any width."""
+    return df.withColumns({a: F.col(a).cast("string") for a in amounts})
+
+
 def _simple(name: str, source: str, f: Callable[[DataFrame], DataFrame]) -> None:
     _Q[name] = lambda spark, d: f(view(spark, d, source))
 
 
 # Scans
 
-_simple("s1_log_scan", "raw_matched", lambda r: r.where("block_number % 7 < 3 and address in ('ob_1', 'ob_2') and topic0 = 'OrderMatched'").select("address", "block_number", "log_index", "tx_hash"))
 _Q["s2_new_pool_logs"] = lambda s, d: view(s, d, "raw_matched").join(view(s, d, "pools").where("ts >= 1700000004").select(F.col("order_book").alias("address")), "address", "left_semi").select("address", "block_number", "log_index")
 _simple("s6_pool_restore", "pools", lambda p: p.where("chain_id = 1 and order_book rlike '^ob_[0-9a-f]+$'").select("pool_id", "order_book"))
 _simple("s8_trades_in_range", "trades", lambda t: trades.dedup(t.where("pool_id = 'pool_3' and quantity >= 10 and quantity < 50")).select("tx_hash", "log_index", "ts", "price", "quantity"))
@@ -44,7 +48,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("d4_order_matched")
 def _(s, d):
-    return _matched(s, d).select("address", "block_number", "log_index", "tx_hash", "buy_order_id", "sell_order_id", "side", "timestamp", *[F.col(c).cast("bigint").alias(c) for c in ("execution_price", "taker_limit_price", "executed_quantity")], "overflow")
+    return _matched(s, d).select("address", "block_number", "log_index", "tx_hash", "buy_order_id", "sell_order_id", "side", "timestamp", *[F.col(c).cast("string").alias(c) for c in ("execution_price", "taker_limit_price", "executed_quantity")], "overflow")
 
 
 _simple("d14_relevant", "raw_matched", lambda r: r.where(F.col("address").isin("ob_0", "ob_7")).select("address", "log_index"))
@@ -72,7 +76,7 @@ _simple("a3_buckets", "trades", lambda t: trades.dedup(t).select("log_index", *[
 _simple("a4_vwap", "trades", lambda t: trades.candle_input(trades.dedup(t)).groupBy("pool_id").agg(trades.vwap(F.sum("quote_value"), F.sum("base_quantity")).alias("vwap")))
 _simple("a7_pool_trades", "trades", lambda t: trades.dedup(t).groupBy("pool_id").agg(F.count("*").alias("trades")))
 _simple("a12_fills", "trades", trades.fills)
-_simple("a13_filled_value", "trades", trades.filled_value)
+_simple("a13_filled_value", "trades", lambda t: _text(trades.filled_value(t), "total_filled_value"))
 
 
 @_query("a15_ticker")
@@ -80,7 +84,7 @@ def _(s, d):
     t = trades.dedup(view(s, d, "trades"))
     last = t.groupBy("pool_id").agg(F.max("ts").alias("last_ts"))
     day = t.join(last, "pool_id").where("ts > last_ts - 86400").withColumn("seq", seq_of(F.col("block_number"), F.col("log_index")))
-    stats = day.groupBy("pool_id").agg(F.max_by("price", "seq").alias("last_price"), F.min_by("price", "seq").alias("first_price"), F.sum("quantity").cast("bigint").alias("volume_24h"))
+    stats = day.groupBy("pool_id").agg(F.max_by("price", "seq").alias("last_price"), F.min_by("price", "seq").alias("first_price"), F.try_sum(amount_of("quantity")).cast("string").alias("volume_24h"))
     active = orders.latest(view(s, d, "order_events")).where(is_active(F.col("status")))
     best = active.groupBy("pool_id").agg(F.max(F.when(F.col("side") == "BUY", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "SELL", F.col("price"))).alias("best_ask"))
     return stats.join(best, "pool_id", "left").select("pool_id", "best_bid", "best_ask", "last_price", "volume_24h", (F.col("last_price") - F.col("first_price")).alias("change_24h"))
@@ -90,12 +94,7 @@ def _(s, d):
 def _(s, d):
     t = trades.dedup(view(s, d, "trades")).groupBy("pool_id").agg(F.count("*").alias("total_trades"), F.max_by("price", seq_of(F.col("block_number"), F.col("log_index"))).alias("last_price"))
     o = orders.latest(view(s, d, "order_events")).groupBy("pool_id").agg(F.count("*").alias("total_orders"))
-    return t.join(o, "pool_id", "full_outer")
-
-
-@_query("a16_pool_stats_all")
-def _(s, d):
-    return _Q["a16_pool_stats"](s, d).join(_Q["a15_ticker"](s, d).select("pool_id", "volume_24h"), "pool_id", "left")
+    return t.join(o, "pool_id", "full_outer").join(_Q["a15_ticker"](s, d).select("pool_id", "volume_24h"), "pool_id", "left")
 
 
 @_query("g6_candle_merge")
@@ -108,8 +107,6 @@ def _candles(s, d):
     return trades.candles_all(view(s, d, "trades"))
 
 
-_Q["g9_candles_by_interval"] = lambda s, d: _candles(s, d).groupBy("interval").agg(F.count("*").alias("rows"))
-_Q["t10_candles_range"] = lambda s, d: trades.candles(view(s, d, "trades").where("pool_id = 'pool_2'"), "1h").where("open_time % 7 < 3").orderBy("open_time").limit(100).select("open_time", "open", "close", "volume")
 _Q["t11_candles_recent"] = lambda s, d: trades.candles(view(s, d, "trades").where("pool_id = 'pool_1'"), "1m").orderBy(F.desc("open_time")).limit(100).select("open_time", "open", "high", "low", "close", "volume")
 _Q["t12_candle_latest"] = lambda s, d: trades.candles(view(s, d, "trades"), "1d").groupBy("pool_id").agg(F.max("open_time").alias("open_time"), F.max_by("close", "open_time").alias("close"))
 _simple("t7_recent_trades", "trades", lambda t: reconcile.newest(trades.dedup(t), "pool_id", [F.desc("ts"), F.desc("log_index")], 20).select("pool_id", "tx_hash", "log_index", "ts", "price"))
@@ -125,27 +122,28 @@ _simple("f9_event_typing", "order_events", lambda o: orders.history(o).groupBy("
 _simple("f10_order_history", "order_events", lambda o: orders.history(o).select("id", "seq", "user_addr", "event", "filled", "status"))
 _simple("j4_update_with_state", "order_events", lambda o: orders.lifecycle(o).where("kind <> 'PLACED'").select("seq", "kind", "user_addr", "side", "price", "quantity", "expiry"))
 _simple("d20_active", "order_events", lambda o: orders.latest(o).select("pool_id", "order_id", is_active(F.col("status")).alias("active")))
-_simple("a5_book_depth", "order_events", lambda o: orders.book(orders.latest(o)))
-_simple("t1_top_levels", "order_events", lambda o: orders.book(orders.latest(o), depth=5))
+_simple("a5_book_depth", "order_events", lambda o: _text(orders.book(orders.latest(o)), "quantity"))
+_simple("t1_top_levels", "order_events", lambda o: _text(orders.book(orders.latest(o), depth=5), "quantity"))
 _simple("a6_active_orders", "order_events", lambda o: orders.active_count(orders.latest(o)))
 _simple("t2_open_side", "order_events", lambda o: orders.latest(o).where("pool_id = 'pool_1' and side = 'SELL' and status = 'OPEN'").orderBy("price", "order_id").limit(50).select("order_id", "price", "remaining"))
 _simple("t3_pool_orders", "order_events", lambda o: orders.latest(o).where("pool_id = 'pool_2'").orderBy(F.desc("ts"), "order_id").limit(100).select("order_id", "ts", "status"))
 _simple("t4_user_orders", "order_events", lambda o: orders.latest(o).where("user_addr = 'u_7' and status = 'CANCELLED'").orderBy(F.desc("ts"), "order_id").limit(100).select("order_id", "ts", "price"))
 _simple("t5_user_active", "order_events", lambda o: orders.latest(o).where(is_active(F.col("status"))).select("user_addr", "pool_id", "order_id", "status"))
-_simple("t6_history", "order_events", lambda o: orders.history(o).where("pool_id = 'pool_3' and order_id % 2 = 1").orderBy(F.desc("ts"), F.desc("seq")).limit(100).select("id", "ts", "event"))
 _simple("p4_order", "order_events", lambda o: orders.latest(o).where("pool_id = 'pool_1' and order_id = 1").select(*_ORDER))
-_Q["p7_orderbook_side"] = lambda s, d: orders.book(orders.latest(view(s, d, "order_events")), depth=50).where("pool_id = 'pool_5' and side = 'BUY'").select("level", "price", "quantity", "orders")
+_Q["p7_orderbook_side"] = lambda s, d: _text(orders.book(orders.latest(view(s, d, "order_events")), depth=50).where("pool_id = 'pool_5' and side = 'BUY'").select("level", "price", "quantity", "orders"), "quantity")
 
 # Balances
 
-_simple("f3_deltas", "balance_events", balances.deltas)
-_simple("f4_balance_fold", "balance_events", lambda b: balances.final(balances.deltas(b), chunk=4096))
-_simple("f4_balance_running", "balance_events", lambda b: balances.running(balances.deltas(b)).select("seq", "sub", "user", "token_id", "available", "locked"))
-_simple("f5_balance_changed", "balance_events", lambda b: balances.changed(balances.deltas(b)).select("seq", "user", "token_id", "available", "locked"))
-_simple("f6_total", "balance_events", lambda b: balances.final(balances.deltas(b)).groupBy("token_id").agg(F.sum("total").cast("bigint").alias("total")))
+_BALANCE = ("available", "locked", "total")
+
+_simple("f3_deltas", "balance_events", lambda b: _text(balances.deltas(b), "d_available", "d_locked"))
+_simple("f4_balance_fold", "balance_events", lambda b: _text(balances.final(balances.deltas(b)), *_BALANCE))
+_simple("f4_balance_running", "balance_events", lambda b: _text(balances.running(balances.deltas(b)).select("seq", "sub", "user", "token_id", "available", "locked"), *_BALANCE[:2]))
+_simple("f5_balance_changed", "balance_events", lambda b: _text(balances.changed(balances.deltas(b)).select("seq", "user", "token_id", "available", "locked"), *_BALANCE[:2]))
+_simple("f6_total", "balance_events", lambda b: balances.final(balances.deltas(b)).groupBy("token_id").agg(F.try_sum("total").cast("string").alias("total")))
 _simple("a14_tokens_held", "balance_events", lambda b: balances.deltas(b).groupBy("user").agg(F.countDistinct("token_id").alias("tokens")))
-_simple("j7_user_balances", "balance_events", lambda b: balances.final(balances.deltas(b).where("user = 'u_11'")))
-_simple("g7_add_amounts", "balance_events", lambda b: reconcile.add_amounts(balances.deltas(b).where("seq % 2 = 0"), balances.deltas(b).where("seq % 2 = 1"), ["user", "token_id"], ["d_available", "d_locked"]))
+_simple("j7_user_balances", "balance_events", lambda b: _text(balances.final(balances.deltas(b).where("user = 'u_11'")), *_BALANCE))
+_simple("g7_add_amounts", "balance_events", lambda b: _text(reconcile.add_amounts(balances.deltas(b).where("seq % 2 = 0"), balances.deltas(b).where("seq % 2 = 1"), ["user", "token_id"], ["d_available", "d_locked"]), "d_available", "d_locked"))
 _Q["f11_users"] = lambda s, d: view(s, d, "order_events").select(F.col("user_addr").alias("user"), "ts").unionByName(balances.deltas(view(s, d, "balance_events")).select("user", "ts")).groupBy("user").agg(F.min("ts").alias("created_at"))
 _Q["t13_users_page"] = lambda s, d: _Q["f11_users"](s, d).orderBy("created_at", "user").offset(20).limit(10)
 _Q["p10_user"] = lambda s, d: _Q["f11_users"](s, d).where("user = 'u_3'")
@@ -163,29 +161,22 @@ _Q["g5_pool_upsert"] = lambda s, d: reconcile.upsert(view(s, d, "pools").select(
 
 _simple("r1_split", "ranges", lambda r: ranges.split(r, 4))
 _simple("r2_merge", "ranges", ranges.merge)
-_simple("r3_gaps", "ranges", lambda r: ranges.gaps(r, 500, 90000))
-_simple("r4_complete", "ranges", lambda r: ranges.complete(r.unionByName(r.where("feed = 'feed_1'").select(F.lit(0).cast("bigint").alias("from_block"), F.lit(999999).cast("bigint").alias("to_block"), "feed").distinct()), 500, 90000))
 _simple("r5_contiguous_end", "ranges", lambda r: ranges.contiguous_end(r, 25))
 _simple("r6_block_gaps", "ranges", lambda r: ranges.block_gaps(r.select("feed", (F.col("from_block") / 10).cast("bigint").alias("block"))))
-_simple("r7_open_gaps", "ranges", lambda r: (lambda g: g.join(g.where("(from_block + to_block) % 3 = 0"), ["feed", "from_block", "to_block"], "left_anti"))(ranges.gaps(r, 0, 90000)))
-_Q["r8_before_live"] = lambda s, d: (lambda first: reconcile.before_first_live(view(s, d, "bulk_a"), *first).select("content_id", "block_number", "log_index"))(view(s, d, "live").where("log_index > 300").agg(F.min_by("block_number", "log_index"), F.min("log_index")).first())
 
-# Whole ranges and all keys, with bounds from the data; the queries of the same names without `_all`
-# read the part of their tables that their SQL asks for.
+# Bounds from the data.
 
 
 def _last_block(r: DataFrame) -> int:
     return r.agg(F.coalesce(F.max("to_block"), F.lit(-1))).first()[0]
 
 
-@_query("s1_log_scan_all")
-def _(s, d):
-    logs = view(s, d, "raw_matched")
-    lo, hi = logs.agg(F.min("block_number"), F.max("block_number")).first()
-    return logs.where(F.col("block_number").between(lo, hi) & F.col("address").isin("ob_1", "ob_2") & (F.col("topic0") == "OrderMatched")).select("address", "block_number", "log_index", "tx_hash")
+def _filled_by(r: DataFrame, provider: str) -> DataFrame:
+    """What a back-fill from one provider adds to every feed."""
+    return r.select("feed").distinct().join(ranges.merge(r.where(F.col("feed") == provider)).drop("feed"), F.lit(True))
 
 
-@_query("r8_before_live_all")
+@_query("r8_before_live")
 def _(s, d):
     live = view(s, d, "live")
     middle = live.agg(F.floor((F.min("block_number") + F.max("block_number")) / 2)).first()[0]
@@ -193,11 +184,11 @@ def _(s, d):
     return reconcile.before_first_live(view(s, d, "bulk_a"), *first).select("content_id", "block_number", "log_index")
 
 
-_simple("t6_history_all", "order_events", lambda o: reconcile.newest(orders.history(o), ["pool_id", "order_id"], [F.desc("ts"), F.desc("seq")], 100).select("pool_id", "order_id", "id", "ts", "event"))
-_simple("t10_candles_range_all", "trades", lambda t: trades.candles(t, "1h").select("pool_id", "open_time", "open", "close", "volume"))
-_simple("r3_gaps_all", "ranges", lambda r: ranges.gaps(r, 500, _last_block(r)))
-_simple("r4_complete_all", "ranges", lambda r: (lambda last: ranges.complete(r.unionByName(r.where("feed = 'feed_1'").select(F.lit(0).cast("bigint").alias("from_block"), F.lit(last).cast("bigint").alias("to_block"), "feed").distinct()), 500, last))(_last_block(r)))
-_simple("r7_open_gaps_all", "ranges", lambda r: ranges.gaps(r, 0, _last_block(r)))
+_simple("t6_history", "order_events", lambda o: reconcile.newest(orders.history(o), ["pool_id", "order_id"], [F.desc("ts"), F.desc("seq")], 100).select("pool_id", "order_id", "id", "ts", "event"))
+_simple("t10_candles_range", "trades", lambda t: trades.candles(t, "1h").select("pool_id", "open_time", "open", "close", "volume"))
+_simple("r3_gaps", "ranges", lambda r: ranges.gaps(r, 500, _last_block(r)))
+_simple("r7_open_gaps", "ranges", lambda r: (lambda last: ranges.subtract(ranges.gaps(r, 0, last), _filled_by(r, "feed_0"), 0, last))(_last_block(r)))
+_simple("r4_complete", "ranges", lambda r: (lambda last: ranges.complete(r.unionByName(r.where("feed = 'feed_1'").select(F.lit(0).cast("bigint").alias("from_block"), F.lit(last).cast("bigint").alias("to_block"), "feed").distinct()), 500, last))(_last_block(r)))
 
 # Reconciliation and maintenance
 
@@ -231,16 +222,6 @@ _simple("a10_pipeline_stats", "bulk_a", lambda b: b.agg(F.countDistinct("block_n
 
 
 def _messages(s, d):
-    t = trades.dedup(view(s, d, "trades")).withColumn("price_text", F.col("price").cast("string"))
-    return reconcile.envelope(t, F.array(F.concat(F.lit("trades:"), F.col("pool_id")), F.concat(F.lit("user_trades:"), F.col("taker"))), ["tx_hash", "log_index", "price_text"], "indexer", F.col("ts") * 1000)
-
-
-_Q["g11_channels"] = lambda s, d: _messages(s, d).groupBy("channel").agg(F.count("*").alias("messages"))
-_Q["g12_envelope"] = _messages
-_Q["g13_trim"] = lambda s, d: reconcile.newest(_messages(s, d), "channel", [F.desc("timestamp"), F.desc("data")], 10)
-
-
-def _all_messages(s, d):
     """Orders to 3 channels, trades to 2, balances and candles to 1 each."""
     text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
     o = view(s, d, "order_events")
@@ -264,9 +245,9 @@ def _all_messages(s, d):
     return out
 
 
-_Q["g11_channels_all"] = lambda s, d: _all_messages(s, d).groupBy("channel").agg(F.count("*").alias("messages"))
-_Q["g12_envelope_all"] = _all_messages
-_Q["g13_trim_all"] = lambda s, d: reconcile.newest(_all_messages(s, d), "channel", [F.desc("timestamp"), F.desc("data")], 10)
+_Q["g11_channels"] = lambda s, d: _messages(s, d).groupBy("channel").agg(F.count("*").alias("messages"))
+_Q["g12_envelope"] = _messages
+_Q["g13_trim"] = lambda s, d: reconcile.newest(_messages(s, d), "channel", [F.desc("timestamp"), F.desc("data")], 10)
 _simple("x1_ids", "trades", lambda t: trades.dedup(t).select("log_index", ident("chain_id", "pool_id", "buy_order_id").alias("order_key"), ident("tx_hash", "log_index").alias("trade_key")))
 _simple("x4_try_numbers", "raw_matched", lambda r: r.select("log_index", uint64(F.col("topic2")).alias("number"), F.coalesce(F.col("topic0").try_cast("bigint"), F.lit(-1)).alias("bad")))
 _Q["x5_intervals"] = lambda s, d: trades.candles_all(view(s, d, "trades")).select("interval").distinct().join(interval_dim(s), "interval").select("interval", "seconds")
@@ -282,7 +263,7 @@ _simple("d13_unknown", "raw_all", lambda r: r.where(decode.label(F.col("topic0")
 def _decoded(event: str) -> Callable[[DataFrame], DataFrame]:
     numbers = [c for c, (_, kind) in decode.EVENTS[event].items() if kind == "u256"]
     rest = [c for c in decode.EVENTS[event] if c not in numbers]
-    return lambda r: decode.decode_all(r, _SIGNATURES)[event].select("address", "block_number", "log_index", "tx_hash", *rest, *[F.col(c).cast("bigint").alias(c) for c in numbers], "overflow")
+    return lambda r: decode.decode_all(r, _SIGNATURES)[event].select("address", "block_number", "log_index", "tx_hash", *rest, *[F.col(c).cast("string").alias(c) for c in numbers], "overflow")
 
 
 for _number, _event in zip((2, 3, 5, 6, 7, 8, 9, 10, 11, 12), ("PoolCreated", "OrderPlaced", "UpdateOrder", "OrderCancelled", "Deposit", "Withdrawal", "Lock", "Unlock", "TransferFrom", "TransferLockedFrom"), strict=True):
@@ -339,7 +320,7 @@ def _(s, d):
     return one(one(one(one(t, o), p), b), bulk).select("total_trades", "total_orders", "active_orders", "total_pools", "last_block", (F.col("last_block") < F.col("bulk_block")).alias("is_syncing"))
 
 
-_simple("p13_balance", "balance_events", lambda b: balances.final(balances.deltas(b).where("user = 'u_5' and token_id = 'tok_1'")))
+_simple("p13_balance", "balance_events", lambda b: _text(balances.final(balances.deltas(b).where("user = 'u_5' and token_id = 'tok_1'")), *_BALANCE))
 _simple("p13_trade", "trades", lambda t: trades.dedup(t.where("tx_hash = 'tx_40'")).select(ident("tx_hash", "log_index").alias("id"), "pool_id", "ts", "price", "quantity"))
 _simple("p13_candles_of_pool", "trades", lambda t: trades.candles(t.where("pool_id = 'pool_6'"), "4h").select("id", "open_time", "open", "high", "low", "close", "volume", "count"))
 _simple("p13_currencies", "pools", lambda p: p.select(F.explode(F.array("base_currency", "quote_currency")).alias("currency")).groupBy("currency").agg(F.count("*").alias("pools")))

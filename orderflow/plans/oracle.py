@@ -66,13 +66,7 @@ def _ranges(select: str, more: str = "") -> str:
     return f"{duck('ranges')}, {_MERGE}{more} {select}"
 
 
-def _gap_cte(start: int, target: int) -> str:
-    return f""", need as (select feed, unnest(range({start}, {target + 1})) as b from (select distinct feed from fx_ranges)),
-miss as (select feed, b from need anti join pts using (feed, b)),
-gap as (select feed, min(b) as from_block, max(b) as to_block from (select feed, b, b - row_number() over (partition by feed order by b) as g from miss) group by feed, g)"""
-
-
-def _all_gaps(start: int) -> str:
+def _gaps(start: int) -> str:
     """Gaps from `start` to the last block of any feed, from running maxima."""
     return f""", last as (select max(to_block) as t from fx_ranges),
 ends as (select feed, from_block, max(to_block) over (partition by feed order by from_block, to_block rows between unbounded preceding and 1 preceding) as reach from fx_ranges
@@ -81,16 +75,15 @@ gap as (select feed, greatest(coalesce(reach + 1, {start}), {start}) as from_blo
 
 
 _BULK = "bulk as (select * from fx_bulk_a union all select * from fx_bulk_b where content_id not in (select content_id from fx_bulk_a)), mis as (select * from bulk where content_id not in (select content_id from fx_live))"
-_WIN = "win as (select min(block_number) as lo, min(block_number) + least(60000, max(block_number) - min(block_number) + 1) - 1 as hi from fx_bulk_a)"
+_WIN = "win as (select min(block_number) as lo, min(block_number) + least(60000, max(block_number) - min(block_number)) - 1 as hi from fx_bulk_a)"
 
 
 def _recon(select: str) -> str:
     return f"{duck('bulk_a', 'bulk_b', 'live')}, {_BULK}, {_WIN} {select}"
 
 
-_MATCHED = "select address, block_number, log_index, tx_hash, (event_id * 7) % 2500 as buy_order_id, (event_id * 11) % 2500 as sell_order_id, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, block_ts as \"timestamp\", price as execution_price, price + 5 as taker_limit_price, k as executed_quantity, false as overflow from m"
+_MATCHED = "select address, block_number, log_index, tx_hash, (event_id * 7) % 2500 as buy_order_id, (event_id * 11) % 2500 as sell_order_id, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, block_ts as \"timestamp\", cast(price as varchar) as execution_price, cast(price + 5 as varchar) as taker_limit_price, cast(k as varchar) as executed_quantity, false as overflow from m"
 _M = "m as (select 'ob_' || (user_id % 8) as address, cast(floor(epoch(ts)) as bigint) // 12 as block_number, event_id as log_index, event_id, 'tx_' || (event_id // 4) as tx_hash, cast(floor(epoch(ts)) as bigint) as block_ts, cast(round(value * 100) as bigint) as price, cast(json_extract_string(props, '$.k') as bigint) as k from events)"
-_MSG = """msg as (select unnest(['trades:' || pool_id, 'user_trades:' || taker]) as channel, '{"tx_hash":"' || tx_hash || '","log_index":' || log_index || ',"price_text":"' || price || '"}' as data, 'indexer' as source, ts * 1000 as "timestamp" from t)"""
 def _sent(source: str, channels: str, time: str, **payload: str) -> str:
     fields = ", ".join(f"'{k}', {v}" for k, v in payload.items())
     return f"select unnest([{channels}]) as channel, cast(json_object({fields}) as varchar) as data, 'indexer' as source, {time} * 1000 as \"timestamp\" from {source}"
@@ -98,7 +91,7 @@ def _sent(source: str, channels: str, time: str, **payload: str) -> str:
 
 _WHOLE = lambda *names: {n: f"cast({n} as bigint)" for n in names}
 _TEXT = lambda *names: {n: f"cast({n} as varchar)" for n in names}
-_ALL_MSG = "msg as (" + " union all ".join([
+_MSG = "msg as (" + " union all ".join([
     _sent("hist", "'orderbook:' || pool_id, 'user:' || user_addr || ':orders', 'user:' || user_addr || ':orders:' || pool_id", "ts", type="case event when 'PartiallyFilled' then 'partially_filled' else lower(event) end", pool_id="pool_id", order_id="order_id", side="side", **_TEXT("price", "quantity", "filled"), status="status", user="user_addr", timestamp="ts"),
     _sent("t", "'trades:' || pool_id, 'user:' || taker || ':trades:' || pool_id", "ts", pool_id="pool_id", **_TEXT("price", "quantity"), side="taker_side", timestamp="ts", tx_hash="tx_hash", log_index="log_index", buy_order_id="buy_order_id", sell_order_id="sell_order_id", taker_address="taker"),
     _sent("(select run.*, dl.ts, dl.change from run join dl using (seq, sub, \"user\", token_id))", "'user:' || \"user\" || ':balance'", "ts", user='"user"', currency="token_id", amount="cast(available as varchar)", locked_amount="cast(locked as varchar)", event_type="lower(change)", timestamp="ts"),
@@ -106,8 +99,8 @@ _ALL_MSG = "msg as (" + " union all ".join([
 ]) + ")"
 
 
-def _all_messages(select: str) -> str:
-    return f"{duck('trades', 'order_events', 'balance_events')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'bars')}, {_LIFE}, {_DELTAS}, {_ALL_MSG} {select}"
+def _messages(select: str) -> str:
+    return f"{duck('trades', 'order_events', 'balance_events')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'bars')}, {_LIFE}, {_DELTAS}, {_MSG} {select}"
 
 
 _USERS = "us as (select \"user\", min(ts) as created_at from (select user_addr as \"user\", ts from fx_order_events union all select \"user\", ts from dl) group by 1)"
@@ -121,12 +114,12 @@ def _event_types() -> dict[str, str]:
     """What each event type's fields are, from the numbers that the logs' words were made of."""
     addr, word = (lambda c: f"'0x' || lpad(lower(hex({c})), 40, '0')"), (lambda c: f"'0x' || lpad(lower(hex({c})), 64, '0')")
     status = lambda c: f"coalesce(list_extract(['NONE', 'OPEN', 'PARTIALLY_FILLED', 'FILLED', 'CANCELLED', 'EXPIRED'], cast({c} % 7 + 1 as int)), 'NONE')"
-    amount = f"{addr('w1')} as \"user\", {word('w2')} as id, w6 as amount"
-    moved = f"{addr('w1')} as operator, {addr('w2')} as sender, {addr('w3')} as receiver, {word('w2')} as id, w6 as amount, k as fee_amount"
+    amount = f"{addr('w1')} as \"user\", {word('w2')} as id, cast(w6 as varchar) as amount"
+    moved = f"{addr('w1')} as operator, {addr('w2')} as sender, {addr('w3')} as receiver, {word('w2')} as id, cast(w6 as varchar) as amount, cast(k as varchar) as fee_amount"
     fields = {
         "d2_pool_created": (0, f"{word('w1')} as pool_id, {addr('w1')} as order_book, {addr('w2')} as base_currency, {addr('w3')} as quote_currency"),
-        "d3_order_placed": (1, f"w1 as order_id, {addr('w2')} as \"user\", case w4 when 1 then 'SELL' else 'BUY' end as side, w6 as price, k as quantity, sec as expiry, w4 <> 0 as is_market_order, {status('k')} as status"),
-        "d5_update_order": (3, f"w1 as order_id, sec as \"timestamp\", k as filled, {status('k')} as status"),
+        "d3_order_placed": (1, f"w1 as order_id, {addr('w2')} as \"user\", case w4 when 1 then 'SELL' else 'BUY' end as side, cast(w6 as varchar) as price, cast(k as varchar) as quantity, sec as expiry, w4 <> 0 as is_market_order, {status('k')} as status"),
+        "d5_update_order": (3, f"w1 as order_id, sec as \"timestamp\", cast(k as varchar) as filled, {status('k')} as status"),
         "d6_order_cancelled": (4, f"w1 as order_id, {addr('w2')} as \"user\", sec as \"timestamp\", 'CANCELLED' as status"),
         "d7_deposit": (5, amount), "d8_withdrawal": (6, amount), "d9_lock": (7, amount), "d10_unlock": (8, amount),
         "d11_transfer_from": (9, moved), "d12_transfer_locked_from": (10, moved),
@@ -155,7 +148,7 @@ def _reads() -> dict[str, str]:
         "a17_rows_written": f"{duck('trades', 'order_events', 'balance_events', 'pools')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'bars')}, {_DELTAS} select 'orders' as \"table\", count(distinct pool_id || '~' || order_id) as rows from fx_order_events union all select 'trades', count(*) from t union all select 'balances', count(distinct \"user\" || '~' || token_id) from dl union all select 'pools', count(*) from fx_pools union all select 'candles', count(*) from bars",
         "p1_pool": f"{duck('pools')} select pool_id, order_book, base_currency, quote_currency, base_decimals, quote_decimals from fx_pools where pool_id = 'pool_3'",
         "p12_stats": f"{duck('trades', 'order_events', 'pools', 'live', 'bulk_a')}, {_T}, {_LIFE} select (select count(*) from t) as total_trades, (select count(*) from lat) as total_orders, (select count(*) from lat where status in ('OPEN', 'PARTIALLY_FILLED')) as active_orders, (select count(*) from fx_pools) as total_pools, (select max(block_number) from fx_live) as last_block, (select max(block_number) from fx_live) < (select max(block_number) from fx_bulk_a) as is_syncing",
-        "p13_balance": _balances("select *, available + locked as total from fin where \"user\" = 'u_5' and token_id = 'tok_1'"),
+        "p13_balance": _balances("select \"user\", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked, cast(available + locked as varchar) as total from fin where \"user\" = 'u_5' and token_id = 'tok_1'"),
         "p13_trade": _trades("select tx_hash || '_' || log_index as id, pool_id, ts, price, quantity from t where tx_hash = 'tx_40'"),
         "p13_candles_of_pool": _candles("select id, open_time, open, high, low, close, volume, count from bars where pool_id = 'pool_6'", "interval = '4h'"),
         "p13_currencies": f"{duck('pools')} select currency, count(*) as pools from (select unnest([base_currency, quote_currency]) as currency from fx_pools) group by 1",
@@ -170,7 +163,6 @@ def oracle_sql() -> dict[str, str]:
     users = f"{duck('order_events', 'balance_events')}, {_DELTAS}, {_USERS}"
     order = "pool_id, order_id, user_addr, side, price, quantity, filled, remaining, status"
     return {
-        "s1_log_scan": f"{raw} select address, block_number, log_index, tx_hash from fx_raw_matched where block_number % 7 < 3 and address in ('ob_1', 'ob_2')",
         "s2_new_pool_logs": f"{both} select address, block_number, log_index from fx_raw_matched where address in (select order_book from fx_pools where ts >= 1700000004)",
         "s6_pool_restore": f"{pools} select pool_id, order_book from fx_pools where regexp_full_match(order_book, 'ob_[0-9a-f]+')",
         "s8_trades_in_range": _trades("select tx_hash, log_index, ts, price, quantity from t where pool_id = 'pool_3' and quantity >= 10 and quantity < 50"),
@@ -196,12 +188,9 @@ def oracle_sql() -> dict[str, str]:
         "a4_vwap": f"{duck('trades')}, {_T}, {_IN} select pool_id, cast(sum(qv) as double) / cast(sum(q) as double) as vwap from ci group by 1",
         "a7_pool_trades": _trades("select pool_id, count(*) as trades from t group by 1"),
         "a12_fills": _trades("select tx_hash || '_' || log_index || '_BUY' as id, chain_id, pool_id, ts, price, quantity, buy_order_id as order_id, 'BUY' as side from t union all select tx_hash || '_' || log_index || '_SELL', chain_id, pool_id, ts, price, quantity, sell_order_id, 'SELL' from t"),
-        "a13_filled_value": _trades("select pool_id, order_id, cast(sum(price * quantity) as bigint) as total_filled_value, count(*) as fills from (select pool_id, buy_order_id as order_id, price, quantity from t union all select pool_id, sell_order_id, price, quantity from t) group by all"),
-        "a15_ticker": f"{duck('trades', 'order_events')}, {_T}, {_LIFE}, day as (select *, block_number * 1048576 + log_index as q from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400), st as (select pool_id, arg_max(price, q) as last_price, arg_min(price, q) as first_price, cast(sum(quantity) as bigint) as volume_24h from day group by 1), bs as (select pool_id, max(price) filter (side = 'BUY') as best_bid, min(price) filter (side = 'SELL') as best_ask from lat where status in ('OPEN', 'PARTIALLY_FILLED') group by 1) select pool_id, best_bid, best_ask, last_price, volume_24h, last_price - first_price as change_24h from st left join bs using (pool_id)",
-        "a16_pool_stats": f"{duck('trades', 'order_events')}, {_T}, {_LIFE} select pool_id, total_trades, last_price, total_orders from (select pool_id, count(*) as total_trades, arg_max(price, block_number * 1048576 + log_index) as last_price from t group by 1) full join (select pool_id, count(*) as total_orders from lat group by 1) using (pool_id)",
+        "a13_filled_value": _trades("select pool_id, order_id, cast(sum(price::hugeint * quantity) as varchar) as total_filled_value, count(*) as fills from (select pool_id, buy_order_id as order_id, price, quantity from t union all select pool_id, sell_order_id, price, quantity from t) group by all"),
+        "a15_ticker": f"{duck('trades', 'order_events')}, {_T}, {_LIFE}, day as (select *, block_number * 1048576 + log_index as q from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400), st as (select pool_id, arg_max(price, q) as last_price, arg_min(price, q) as first_price, cast(sum(quantity) as varchar) as volume_24h from day group by 1), bs as (select pool_id, max(price) filter (side = 'BUY') as best_bid, min(price) filter (side = 'SELL') as best_ask from lat where status in ('OPEN', 'PARTIALLY_FILLED') group by 1) select pool_id, best_bid, best_ask, last_price, volume_24h, last_price - first_price as change_24h from st left join bs using (pool_id)",
         "g6_candle_merge": f"{duck('trades')}, {_T}, {_IN}, {_IV}, {_bars('ci', 'a', where='seq % 1048576 % 3 <> 0', iv=chr(105) + 'nterval = ' + repr('1h'))}, {_bars('ci', 'b', where='seq % 1048576 % 3 = 0', iv='interval = ' + repr('1h'))} select id, coalesce(a.open, b.open) as open, greatest(a.high, b.high) as high, least(a.low, b.low) as low, coalesce(b.close, a.close) as close, coalesce(b.volume, a.volume) as volume, coalesce(b.count, a.count) as count from a full join b using (id)",
-        "g9_candles_by_interval": _candles("select interval, count(*) as rows from bars group by 1"),
-        "t10_candles_range": _candles("select open_time, open, close, volume from bars where pool_id = 'pool_2' and open_time % 7 < 3 order by open_time limit 100", "interval = '1h'"),
         "t11_candles_recent": _candles("select open_time, open, high, low, close, volume from bars where pool_id = 'pool_1' order by open_time desc limit 100", "interval = '1m'"),
         "t12_candle_latest": _candles("select pool_id, max(open_time) as open_time, arg_max(close, open_time) as close from bars group by 1", "interval = '1d'"),
         "t7_recent_trades": _trades("select pool_id, tx_hash, log_index, ts, price from t qualify row_number() over (partition by pool_id order by ts desc, log_index desc) <= 20"),
@@ -213,24 +202,23 @@ def oracle_sql() -> dict[str, str]:
         "f10_order_history": _orders("select id, seq, user_addr, event, filled, status from hist"),
         "j4_update_with_state": _orders("select seq, kind, user_addr, side, price, quantity, expiry from life where kind <> 'PLACED'"),
         "d20_active": _orders("select pool_id, order_id, status in ('OPEN', 'PARTIALLY_FILLED') as active from lat"),
-        "a5_book_depth": _orders("select * from book"),
-        "t1_top_levels": _orders("select * from book where level <= 5"),
+        "a5_book_depth": _orders("select * replace (cast(quantity as varchar) as quantity) from book"),
+        "t1_top_levels": _orders("select * replace (cast(quantity as varchar) as quantity) from book where level <= 5"),
         "a6_active_orders": _orders("select pool_id, count(*) as active_orders from lat where status in ('OPEN', 'PARTIALLY_FILLED') group by 1"),
         "t2_open_side": _orders("select order_id, price, remaining from lat where pool_id = 'pool_1' and side = 'SELL' and status = 'OPEN' order by price, order_id limit 50"),
         "t3_pool_orders": _orders("select order_id, ts, status from lat where pool_id = 'pool_2' order by ts desc, order_id limit 100"),
         "t4_user_orders": _orders("select order_id, ts, price from lat where user_addr = 'u_7' and status = 'CANCELLED' order by ts desc, order_id limit 100"),
         "t5_user_active": _orders("select user_addr, pool_id, order_id, status from lat where status in ('OPEN', 'PARTIALLY_FILLED')"),
-        "t6_history": _orders("select id, ts, event from hist where pool_id = 'pool_3' and order_id % 2 = 1 order by ts desc, seq desc limit 100"),
         "p4_order": _orders(f"select {order} from lat where pool_id = 'pool_1' and order_id = 1"),
-        "p7_orderbook_side": _orders("select level, price, quantity, orders from book where pool_id = 'pool_5' and side = 'BUY' and level <= 50"),
-        "f3_deltas": _balances("select * from dl"),
-        "f4_balance_fold": _balances("select *, available + locked as total from fin"),
-        "f4_balance_running": _balances("select * from run"),
-        "f5_balance_changed": _balances('select seq, "user", token_id, available, locked from run qualify row_number() over (partition by seq, "user", token_id order by sub desc) = 1'),
-        "f6_total": _balances("select token_id, cast(sum(available + locked) as bigint) as total from fin group by 1"),
+        "p7_orderbook_side": _orders("select level, price, cast(quantity as varchar) as quantity, orders from book where pool_id = 'pool_5' and side = 'BUY' and level <= 50"),
+        "f3_deltas": _balances("select seq, sub, \"user\", token_id, ts, change, cast(d_available as varchar) as d_available, cast(d_locked as varchar) as d_locked from dl"),
+        "f4_balance_fold": _balances("select \"user\", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked, cast(available + locked as varchar) as total from fin"),
+        "f4_balance_running": _balances("select seq, sub, \"user\", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked from run"),
+        "f5_balance_changed": _balances('select seq, "user", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked from run qualify row_number() over (partition by seq, "user", token_id order by sub desc) = 1'),
+        "f6_total": _balances("select token_id, cast(sum(available + locked) as varchar) as total from fin group by 1"),
         "a14_tokens_held": _balances('select "user", count(distinct token_id) as tokens from dl group by 1'),
-        "j7_user_balances": _balances("select *, available + locked as total from fin where \"user\" = 'u_11'"),
-        "g7_add_amounts": _balances('select "user", token_id, cast(sum(d_available) as bigint) as d_available, cast(sum(d_locked) as bigint) as d_locked from dl group by all'),
+        "j7_user_balances": _balances("select \"user\", token_id, cast(available as varchar) as available, cast(locked as varchar) as locked, cast(available + locked as varchar) as total from fin where \"user\" = 'u_11'"),
+        "g7_add_amounts": _balances('select "user", token_id, cast(sum(d_available) as varchar) as d_available, cast(sum(d_locked) as varchar) as d_locked from dl group by all'),
         "f11_users": f"{users} select * from us",
         "t13_users_page": f'{users} select * from us order by created_at, "user" limit 10 offset 20',
         "p10_user": f"{users} select * from us where \"user\" = 'u_3'",
@@ -241,19 +229,17 @@ def oracle_sql() -> dict[str, str]:
         "g5_pool_upsert": f"{pools}, u as (select case when pool_id = 'pool_2' then 'pool_9' else pool_id end as pool_id, 'tok_new' as base_currency, 'tok_u' as quote_currency from fx_pools where ts % 2 = 0) select pool_id, coalesce(p.base_currency, u.base_currency) as base_currency, coalesce(u.quote_currency, p.quote_currency) as quote_currency from fx_pools p full join u using (pool_id)",
         "r1_split": f"{duck('ranges')} select feed, s as from_block, least(s + 3, to_block) as to_block from (select feed, to_block, unnest(range(from_block, to_block + 1, 4)) as s from fx_ranges)",
         "r2_merge": _ranges("select feed, from_block, to_block from isl"),
-        "r3_gaps": _ranges("select feed, from_block, to_block from gap", _gap_cte(500, 90000)),
-        "r4_complete": _ranges("select feed, feed = 'feed_1' or feed not in (select feed from gap) as complete from (select distinct feed from fx_ranges)", _gap_cte(500, 90000)),
-        "r5_contiguous_end": _ranges("select feed, cast(coalesce(max(case when from_block <= 25 and to_block >= 25 then to_block end), 24) as bigint) as contiguous_end from isl group by 1"),
+        "r5_contiguous_end": _ranges("select feed, cast(case when min(from_block) <= 25 then arg_min(to_block, from_block) else 24 end as bigint) as contiguous_end from isl group by 1"),
         "r6_block_gaps": f"{duck('ranges')} select * from (select feed, b as after_block, lead(b) over (partition by feed order by b) as next_block, lead(b) over (partition by feed order by b) - b - 1 as missed from (select distinct feed, from_block // 10 as b from fx_ranges)) where missed > 0",
-        "r7_open_gaps": _ranges("select feed, from_block, to_block from gap where (from_block + to_block) % 3 <> 0", _gap_cte(0, 90000)),
-        "r8_before_live": f"{duck('bulk_a', 'live')}, f as (select arg_min(block_number, log_index) as b, min(log_index) as i from fx_live where log_index > 300) select content_id, block_number, log_index from fx_bulk_a, f where block_number < b or (block_number = b and log_index < i)",
-        "s1_log_scan_all": f"{raw} select address, block_number, log_index, tx_hash from fx_raw_matched where address in ('ob_1', 'ob_2')",
-        "t6_history_all": _orders("select pool_id, order_id, id, ts, event from hist qualify row_number() over (partition by pool_id, order_id order by ts desc, seq desc) <= 100"),
-        "t10_candles_range_all": _candles("select pool_id, open_time, open, close, volume from bars", "interval = '1h'"),
-        "r3_gaps_all": f"{duck('ranges')}{_all_gaps(500)} select feed, from_block, to_block from gap",
-        "r4_complete_all": f"{duck('ranges')}{_all_gaps(500)} select feed, feed = 'feed_1' or feed not in (select feed from gap) as complete from (select distinct feed from fx_ranges)",
-        "r7_open_gaps_all": f"{duck('ranges')}{_all_gaps(0)} select feed, from_block, to_block from gap",
-        "r8_before_live_all": f"{duck('bulk_a', 'live')}, f as (select min((block_number, log_index)) as r from fx_live where block_number >= (select floor((min(block_number) + max(block_number)) / 2) from fx_live)) select content_id, block_number, log_index from fx_bulk_a, f where (block_number, log_index) < r",
+        "t6_history": _orders("select pool_id, order_id, id, ts, event from hist qualify row_number() over (partition by pool_id, order_id order by ts desc, seq desc) <= 100"),
+        "t10_candles_range": _candles("select pool_id, open_time, open, close, volume from bars", "interval = '1h'"),
+        "r3_gaps": f"{duck('ranges')}{_gaps(500)} select feed, from_block, to_block from gap",
+        "r4_complete": f"{duck('ranges')}, own as (select feed, from_block, to_block from fx_ranges union all select 'feed_1', 0, max(to_block) from fx_ranges), mk as (select *, case when from_block <= 1 + max(to_block) over (partition by feed order by from_block, to_block rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from own) select feed, sum(n) = 1 and min(from_block) <= 500 and max(to_block) >= (select max(to_block) from fx_ranges) as complete from mk group by feed",
+        "r7_open_gaps": _ranges("select feed, from_block, to_block from gap", """, last as (select max(to_block) as t from fx_ranges),
+need as (select feed, unnest(range(0, t + 1)) as b from (select distinct feed from fx_ranges), last),
+miss as (select feed, b from need where (feed, b) not in (select (feed, b) from pts) and b not in (select b from pts where feed = 'feed_0')),
+gap as (select feed, min(b) as from_block, max(b) as to_block from (select feed, b, b - row_number() over (partition by feed order by b) as g from miss) group by feed, g)"""),
+        "r8_before_live": f"{duck('bulk_a', 'live')}, f as (select min((block_number, log_index)) as r from fx_live where block_number >= (select floor((min(block_number) + max(block_number)) / 2) from fx_live)) select content_id, block_number, log_index from fx_bulk_a, f where (block_number, log_index) < r",
         "g1_union_sources": _recon("select content_id, log_index, block_number, source from bulk"),
         "j6_missing": _recon("select content_id, event_type, log_index from mis"),
         "a11_missing_by_type": _recon("select event_type, count(*) as missing from mis group by 1"),
@@ -267,13 +253,10 @@ def oracle_sql() -> dict[str, str]:
         "g14_progress": f"{duck('live')} select max(block_number) as last_block, count(distinct block_number) as blocks_processed from fx_live",
         "a8_table_counts": f"{duck('trades', 'order_events', 'pools')}, {_T}, {_LIFE} select 'trades' as \"table\", count(*) as n from t union all select 'orders', count(*) from lat union all select 'pools', count(*) from fx_pools",
         "a10_pipeline_stats": f"{duck('bulk_a')} select count(distinct block_number) as blocks, count(*) as events, count(*) filter (event_type = 'signup') as signups, count(*) filter (event_type = 'purchase') as purchases from fx_bulk_a",
-        "g11_channels": f"{duck('trades')}, {_T}, {_MSG} select channel, count(*) as messages from msg group by 1",
-        "g12_envelope": f"{duck('trades')}, {_T}, {_MSG} select * from msg",
-        "g13_trim": f"{duck('trades')}, {_T}, {_MSG} select * from msg qualify row_number() over (partition by channel order by \"timestamp\" desc, data desc) <= 10",
-        "g11_channels_all": _all_messages("select channel, count(*) as messages from msg group by 1"),
-        "g12_envelope_all": _all_messages("select * from msg"),
-        "g13_trim_all": _all_messages("select * from msg qualify row_number() over (partition by channel order by \"timestamp\" desc, data desc) <= 10"),
-        "a16_pool_stats_all": f"{duck('trades', 'order_events')}, {_T}, {_LIFE} select pool_id, total_trades, last_price, total_orders, volume_24h from (select pool_id, count(*) as total_trades, arg_max(price, block_number * 1048576 + log_index) as last_price from t group by 1) full join (select pool_id, count(*) as total_orders from lat group by 1) using (pool_id) left join (select pool_id, cast(sum(quantity) as bigint) as volume_24h from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400 group by 1) using (pool_id)",
+        "g11_channels": _messages("select channel, count(*) as messages from msg group by 1"),
+        "g12_envelope": _messages("select * from msg"),
+        "g13_trim": _messages("select * from msg qualify row_number() over (partition by channel order by \"timestamp\" desc, data desc) <= 10"),
+        "a16_pool_stats": f"{duck('trades', 'order_events')}, {_T}, {_LIFE} select pool_id, total_trades, last_price, total_orders, volume_24h from (select pool_id, count(*) as total_trades, arg_max(price, block_number * 1048576 + log_index) as last_price from t group by 1) full join (select pool_id, count(*) as total_orders from lat group by 1) using (pool_id) left join (select pool_id, cast(sum(quantity) as varchar) as volume_24h from t join (select pool_id, max(ts) as m from t group by 1) using (pool_id) where ts > m - 86400 group by 1) using (pool_id)",
         "x1_ids": _trades("select log_index, '1_' || pool_id || '_' || buy_order_id as order_key, tx_hash || '_' || log_index as trade_key from t"),
         "x4_try_numbers": f"with {_M} select log_index, (event_id * 7) % 2500 as number, cast(-1 as bigint) as bad from m",
         **_event_types(),

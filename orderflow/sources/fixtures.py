@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderflow.operators import decode
+
 _SPARK = {"SEC": "unix_seconds(cast(ts as timestamp))", "K": "cast(get_json_object(props, '$.k') as bigint)", "DIV": "div", "SHA": "sha2({}, 256)"}
 _DUCK = {"SEC": "cast(floor(epoch(ts)) as bigint)", "K": "cast(json_extract_string(props, '$.k') as bigint)", "DIV": "//", "SHA": "sha256({})"}
 
@@ -23,13 +25,18 @@ VIEWS = {
     "raw_all": "select case when event_id % 12 in (0, 11) then 'pm' when event_id % 12 >= 5 then 'bm' else 'ob_' || (user_id % 8) end as address, case event_id % 12 when 0 then 'PoolCreated' when 1 then 'OrderPlaced' when 2 then 'OrderMatched' when 3 then 'UpdateOrder' when 4 then 'OrderCancelled' when 5 then 'Deposit' when 6 then 'Withdrawal' when 7 then 'Lock' when 8 then 'Unlock' when 9 then 'TransferFrom' when 10 then 'TransferLockedFrom' else 'CurrencyAdded' end as topic0, {W1} as topic1, {W2} as topic2, case when event_id % 12 = 1 then {W4} else {W3} end as topic3, '0x' || case event_id % 12 when 0 then {W1} || {W2} || {W3} when 1 then {W6} || {W8} || {W5} || {W4} || {W9} when 2 then {W4} || {W5} || {W6} || {W7} || {W8} when 3 then {W5} || {W8} || {W9} when 4 then {W5} || {W9} when 9 then {W2} || {W6} || {W8} when 10 then {W2} || {W6} || {W8} else {W6} end as data, {SEC} {DIV} 12 as block_number, event_id as log_index, 'tx_' || (event_id {DIV} 4) as tx_hash from events",
     "miniblocks": "select chr(123) || '\"block_number\":' || ({SEC} {DIV} 12) || ',\"index\":' || (event_id % 5) || case when event_id % 50 = 7 then ',\"receipts\":[' else ',\"transactions\":[\"tx_' || event_id || '\"],\"receipts\":[' || chr(123) || '\"logs\":[' || chr(123) || '\"address\":\"ob_' || (user_id % 8) || '\",\"log_index\":' || event_id || chr(125) || ',' || chr(123) || '\"address\":\"bm\",\"log_index\":' || (event_id + 1) || chr(125) || ']' || chr(125) || ',' || chr(123) || '\"logs\":[]' || chr(125) || ']' || chr(125) end as value from events",
 }
+# The same logs with their signatures, and amounts of 2^64 times as much; now and then the largest uint128.
+VIEWS["raw_wide"] = VIEWS["raw_all"].replace("{W6}", "{WIDE}")
+for _name, _hash in decode.SIGNATURES.items():
+    VIEWS["raw_wide"] = VIEWS["raw_wide"].replace(f"'{_name}'", f"'{_hash}'")
+_WIDE = "case when event_id % 97 = 0 then lpad('ffffffffffffffffffffffffffffffff', 64, '0') else lpad(lower(hex(cast(round(value * 100) as bigint))) || '0000000000000000', 64, '0') end"
 _WORDS = {"W1": "user_id", "W2": "(event_id * 7) % 2500", "W3": "(event_id * 11) % 2500", "W4": "event_id % 2", "W5": "{SEC}", "W6": "cast(round(value * 100) as bigint)", "W7": "cast(round(value * 100) as bigint) + 5", "W8": "{K}", "W9": "{K} % 7"}
 
 
 def _expand(name: str, engine: dict[str, str]) -> str:
     tokens = engine | {"SHA": engine["SHA"].format("'tx_' || event_id || '|' || event_type")}
     words = {k: f"lpad(lower(hex({v})), 64, '0')" for k, v in _WORDS.items()}
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{WIDE}", _WIDE)
     for k, v in words.items():
         text = text.replace(f"{{{k}}}", v)
     for k, v in tokens.items():

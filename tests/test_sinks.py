@@ -1,8 +1,9 @@
 """Table sinks, progress, and the parts of a stream that are written."""
 
+import importlib
 import json
-import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -80,7 +81,20 @@ def test_closed_bars_of_a_stream_with_replays(spark, tmp_path):
 
 
 def test_entry_without_optional_modules(monkeypatch):
-    for name in ("orderflow.llm.entries", "corpus_pipeline"):
-        monkeypatch.setitem(sys.modules, name, None)  # an import that fails
+    plain = importlib.import_module
+
+    def without(name):
+        if name in ("orderflow.llm.entries", "corpus_pipeline"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return plain(name)
+
+    monkeypatch.setattr(importlib, "import_module", without)
     known = entry.queries()
     assert set(known) == set(entry.oracle_sql()) and not any(n.startswith("op") for n in known)
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'missing'", name="missing")
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
