@@ -94,7 +94,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Machine:
     """The factorisation machine; `cuts` holds the bins' edges, one row for each statistic."""
 
-    def __init__(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 128, seed: int = 11):
+    def __init__(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 128, steps: int = 384, seed: int = 11):
+        # Few rows need smaller batches and more epochs for the same number of steps, else the scores stay
+        # near the classes' shares and no threshold means anything.
+        batch = min(batch, max(16, len(y) // 32))
+        epochs = max(epochs, -(-steps // max(1, len(y) // batch)))
         raw, offsets = buffer_of(pa.array(texts, pa.binary()))
         parts = [features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in batches_of_rows(offsets, CHUNK)]
         stats = np.concatenate([p[0] for p in parts])
@@ -112,7 +116,7 @@ class Machine:
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in "bwv"}
         step = 0
         for epoch in range(epochs):
-            rate = 0.02 * 0.5 ** (epoch / 4)
+            rate = 0.02 * 0.5 ** (3 * epoch / epochs)
             for ids in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
                 step += 1
                 take = np.concatenate([np.arange(start[i], start[i + 1]) for i in ids])
