@@ -2,7 +2,8 @@
 
 Hundreds of regular expressions: names of license families in sentence forms, and sentences of license texts
 and notices written by hand (SIGNATURES), each gated by a word of its own that every match holds. A version may be glued to the name (GPLv2). A detection has a byte interval; one that lies inside the interval
-of a detection of higher priority, or of equal priority and greater length, is suppressed. Base
+of a detection of higher priority, or of equal priority and greater length, is suppressed. A detection up
+to four words after a negation ("not licensed under the ...") counts for nothing. Base
 phrases (PHRASES) are places where a phrase's words stand consecutively; no rule suppresses them.
 
 Defined results: a null or empty text has no words, no places and no labels, null first_word and
@@ -196,6 +197,17 @@ def _gate(keyword: str, name: str) -> bytes:
     return next((w for w in must if keyword in w), max((w for w in must if w != "license"), key=len, default=must[0])).encode()
 
 
+#: A negation up to four words before a detection, in the same clause.
+_NEGATED = re.compile(rb"(?:^|[^0-9a-z])(?:not|never|nor|neither|no longer|isn['\x80-\xff]{1,3}t|without)(?:\s+[0-9a-z\x80-\xff-]+){0,4}\s+$")
+
+
+def _refuted(text: bytes, start: int, end: int, label: str) -> bool:
+    """Whether the words around a detection say that it is none: a negation before it, or a longer term."""
+    if label == "public-domain" and text[end : end + 8].lstrip().startswith((b"name", b"suffix")):
+        return True
+    return _NEGATED.search(text[max(0, start - 96) : start]) is not None
+
+
 class Rules:
     """The compiled rules: (keyword, regex, label, priority, confidence), built once in a process."""
 
@@ -228,7 +240,7 @@ class Rules:
         if here:
             for order, (keyword, regex, label, priority, confidence) in enumerate(self.rules):
                 if keyword in here:
-                    found += [(-priority, m.start() - m.end(), order, m.start(), m.end(), label, confidence) for m in regex.finditer(text)]
+                    found += [(-priority, m.start() - m.end(), order, m.start(), m.end(), label, confidence) for m in regex.finditer(text) if not _refuted(text, m.start(), m.end(), label)]
         kept: list[tuple[int, int, str, float]] = []
         at: list[int] = []
         reach: list[int] = []  # kept intervals by start, and the farthest end up to each
