@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orderflow.llm.common import as_bytes, map_arrow
 
@@ -96,7 +97,8 @@ def _width(ranks: dict[bytes, int]) -> str:
 def token_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: str, text_col: str, shards: int) -> DataFrame:
     """shard, order, doc_id and the ids as little-endian bytes (two each where the vocabulary allows)."""
     frame = docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("t")).withColumn("order", F.xxhash64("doc_id", "t"))
-    frame = frame.select(F.pmod("order", F.lit(shards)).cast("int").alias("shard"), "order", "doc_id", "t")
+    # Equal rows are told apart by where they stand, else a long run of them would be one shard.
+    frame = frame.select(F.pmod(F.xxhash64("order", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), "order", "doc_id", "t")
     schema = T.StructType([*frame.schema.fields[:3], T.StructField("ids", T.BinaryType())])
     shared, width = docs.sparkSession.sparkContext.broadcast(ranks), _width(ranks)
     made: list = []
@@ -140,7 +142,7 @@ def pack(docs: DataFrame, *, ranks: dict[bytes, int], pattern: str, row: int = R
             positions = np.concatenate([*(np.arange(n, dtype="<i4") for _, _, n in parts), np.arange(row - used, dtype="<i4")])
             yield [number, k, used, ids.tobytes(), np.concatenate([[0], np.cumsum([n for *_, n in parts])]).tolist(), positions.tobytes(), [{"doc_id": names[i], "first": a, "length": n} for i, a, n in parts]]
 
-    arrow_schema = pa.schema([("shard", pa.int32()), ("row_no", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("positions", pa.binary()), ("segments", pa.list_(pa.struct([("doc_id", pa.from_numpy_dtype(np.int64) if isinstance(id_type, T.LongType) else pa.int32() if isinstance(id_type, T.IntegerType) else pa.string()), ("first", pa.int32()), ("length", pa.int32())])))])
+    arrow_schema = pa.schema([("shard", pa.int32()), ("row_no", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("positions", pa.binary()), ("segments", pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("first", pa.int32()), ("length", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards one after the other; rows come sorted by shard."""
