@@ -388,7 +388,7 @@ def chunks(docs: DataFrame, keep: list[str], text_col: str, pattern: str, part:
             yield part(Chunk(pa.concat_batches(held), pattern, (own, number)))
 
     bounded_batches(docs.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.toDF(*[f"c{i}" for i in range(k + 1)]).mapInArrow(run, schema)
 
 
 CHANGED = "a chunk changed between two readings of the documents; checkpoint them before"

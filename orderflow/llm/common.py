@@ -59,20 +59,21 @@ def new_name(keep: list[str], name: str) -> str:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """Applies `fn` to each Arrow batch; `fn` returns the output columns in the schema's order."""
+    """Applies `fn` to each Arrow batch; `fn` returns the output columns in the schema's order. Columns go
+    by their places, so their names may be any, with dots too."""
     bounded_batches(df.sparkSession)
     names = schema.fieldNames()
+    places = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
+                columns = out.columns if isinstance(out, pa.RecordBatch) else [out[n] for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=places)
 
-    return df.mapInArrow(run, schema)
+    numbered = T.StructType([T.StructField(c, f.dataType) for c, f in zip(places, schema.fields, strict=True)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, numbered).toDF(*names)
 
 
 def as_bytes(text: str | F.Column = "text") -> F.Column:

@@ -290,5 +290,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # Repeated rows of one id and text: partial aggregation keeps one of each partition.
     again = mine(chosen.where("n > 1").alias("b"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = again.groupBy(F.col(id_col).alias("k0"), text_hash(text_col).alias("k1")).agg(F.min_by(whole, F.xxhash64(whole)).alias("r"))
+    # Maps have no hash; their rows are told apart by their JSON.
+    mapped = "map<" in docs.schema.simpleString()
+    order = F.xxhash64(F.to_json(whole)) if mapped else F.xxhash64(whole)
+    least = again.groupBy(F.col(id_col).alias("k0"), text_hash(text_col).alias("k1")).agg(F.min_by(whole, order).alias("r"))
     return once.unionByName(least.select("r.*"))
