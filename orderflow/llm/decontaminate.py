@@ -300,7 +300,7 @@ ORACLE = r"""
 with d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (
-  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 bw as (
   select distinct item_id, k, array_to_string(w[p : p + k - 1], ' ') as win
   from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0)),
@@ -309,7 +309,7 @@ dw as (
   from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from bw) where len(w) >= k)),
 hits as (select r, p, dw.k, item_id from dw join bw on dw.win = bw.win and dw.k = bw.k),
 words as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + k)) as q from hits) group by r),
-items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct r, item_id from hits) group by r)
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct r, item_id from hits where item_id is not null) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)

@@ -230,10 +230,10 @@ def _raised(least: np.ndarray, best: tuple, k: int) -> np.ndarray:
 
 
 ORACLE = r"""
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+s as (select q.r, q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
       from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
-select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20
+k as (select *, row_number() over (partition by s.r order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from k where rank <= 20
 """

@@ -90,12 +90,12 @@ def apply_rules(urls: DataFrame, rules: DataFrame, *, key_col: str = "page_id",
 
 
 ORACLE = r"""
-with u as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
-c as (select page_id, split_part(split_part(rest, '#', 1), '?', 1) as rest from u),
-h as (select page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, length(split_part(rest, '/', 1)) + 1) as path from c),
-r(rhost, rpath, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+with u as (select row_number() over () as r, page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
+c as (select r, page_id, split_part(split_part(rest, '#', 1), '?', 1) as rest from u),
+h as (select r, page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, length(split_part(rest, '/', 1)) + 1) as path from c),
+q(rhost, rpath, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 j as (select page_id, host, path, rhost || rpath as rule, v,
-             row_number() over (partition by page_id, host, path order by length(rhost || rpath) desc nulls last) as n
-      from h left join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+             row_number() over (partition by h.r order by length(rhost || rpath) desc nulls last) as n
+      from h left join q on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from j where n = 1
 """
