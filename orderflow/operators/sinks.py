@@ -21,12 +21,15 @@ Sink = Callable[[DataFrame, int], None]
 @dataclass(frozen=True)
 class Table:
     """How a table is made from a batch: its rows, its keys, the order in which the last row of a key
-    stays (none: the first insert stays), and the columns that it is stored by."""
+    stays (none: the first insert stays), and the columns that it is stored by. `fixed` says that all rows
+    of a key have the same values in these columns (such as a block bucket), so that known keys are sought
+    in the folders that a batch touches alone."""
 
     rows: Callable[[DataFrame], DataFrame]
     keys: list[str]
     order: str | None = None
     by: list[str] = field(default_factory=list)
+    fixed: bool = False
 
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,6 +56,9 @@ def write_tables(path: str, tables: dict[str, Table], counts: Callable[[dict[str
                 rows = keep_last(rows, table.keys, table.order)
             else:
                 known = stored(batch.sparkSession, f"{path}/{name}", rows.schema).where(F.col("batch") < number).drop("batch")
+                for column in table.by if table.fixed else ():
+                    here = [r[0] for r in rows.select(column).distinct().collect()]
+                    known = known.where(F.col(column).isin(here))
                 rows = insert_ignore(known, rows, table.keys)
             rows.write.mode("overwrite").partitionBy(*table.by).parquet(f"{path}/{name}/batch={number}")
             written[name] = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}/batch={number}").count()
@@ -63,10 +69,41 @@ def write_tables(path: str, tables: dict[str, Table], counts: Callable[[dict[str
     return sink
 
 
+def compact(spark: SparkSession, path: str, name: str, table: Table, schema: T.StructType) -> None:
+    """Puts a table's batches but for the newest, which a stream may repeat, into one with the number of the
+    last of them. The rows are written beside them first and change places when they are complete; a change
+    that a failure cut short is ended by the next call. No batch may be written meanwhile."""
+    at = f"{path}/{name}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda: [s.getPath().getName() for s in files.listStatus(hadoop(at))] if files.exists(hadoop(at)) else []
+
+    def change() -> None:
+        for made in (n for n in listed() if n.startswith("_compact-")):
+            last = int(made.removeprefix("_compact-"))
+            if files.exists(hadoop(f"{at}/{made}/_SUCCESS")):
+                for old in listed():
+                    if old.startswith("batch=") and int(old.removeprefix("batch=")) <= last:
+                        files.delete(hadoop(f"{at}/{old}"), True)
+                files.rename(hadoop(f"{at}/{made}"), hadoop(f"{at}/batch={last}"))
+            else:
+                files.delete(hadoop(f"{at}/{made}"), True)
+
+    change()
+    batches = sorted(int(n.removeprefix("batch=")) for n in listed() if n.startswith("batch="))
+    if len(batches) > 2:
+        last = batches[-2]
+        _latest(stored(spark, at, schema).where(F.col("batch") <= last).drop("batch"), table).write.partitionBy(*table.by).parquet(f"{at}/_compact-{last}")
+        change()
+
+
+def _latest(rows: DataFrame, table: Table) -> DataFrame:
+    return keep_last(rows, table.keys, table.order) if table.order else rows
+
+
 def current(spark: SparkSession, path: str, name: str, table: Table, schema: T.StructType) -> DataFrame:
     """A table's rows: of each key the last one by the table's order."""
-    rows = stored(spark, f"{path}/{name}", schema).drop("batch")
-    return keep_last(rows, table.keys, table.order) if table.order else rows
+    return _latest(stored(spark, f"{path}/{name}", schema).drop("batch"), table)
 
 
 def fan_out(*sinks: Sink) -> Sink:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import ident
+from orderflow.functions.scalars import ident, seq_of
 from orderflow.operators import backfill, balances, decode, reconcile, sinks, trades
 from orderflow.plans import oracle
 from orderflow.sources import tables
@@ -93,6 +93,42 @@ def s4_live_logs(s: SparkSession, d: str) -> DataFrame:
     return out.unionByName(read("progress").groupBy("name").agg(F.max("block").cast("string").alias("id")).select(F.lit("progress").alias("table"), "id"))
 
 
+def g8_table_sinks(s: SparkSession, d: str) -> DataFrame:
+    """Tables that a stream of trades keeps, compacted between its parts: trades by block bucket, each once,
+    and the last price of a pool."""
+    path, rows = scratch(s, "tables"), view(s, d, "trades")
+    made = {
+        "trades": sinks.Table(lambda t: t.select(ident("tx_hash", "log_index").alias("id"), F.col("price").cast("string").alias("value"), F.floor(F.col("block_number") / tables.BUCKET_BLOCKS).alias("block_bucket")), ["id"], by=["block_bucket"], fixed=True),
+        "last_price": sinks.Table(lambda t: t.select(F.col("pool_id").alias("id"), F.col("price").cast("string").alias("value"), seq_of(F.col("block_number"), F.col("log_index")).alias("seq")), ["id"], order="seq"),
+    }
+    kinds = {name: table.rows(rows).schema for name, table in made.items()}
+    for half in _halves(rows):
+        live.arriving([half], path, lambda stream: stream.writeStream.foreachBatch(sinks.write_tables(f"{path}/out", made)))
+        for name, table in made.items():
+            sinks.compact(s, f"{path}/out", name, table, kinds[name])
+    now = {name: sinks.current(s, f"{path}/out", name, table, kinds[name]).select(F.lit(name).alias("table"), "id", "value") for name, table in made.items()}
+    return now["trades"].unionByName(now["last_price"])
+
+
+def w1_live_bars(s: SparkSession, d: str) -> DataFrame:
+    """Hourly bars from the updates of a stream: of each bar its last version."""
+    rows = state.drained(_halves(trades.dedup(view(s, d, "trades"))), lambda t: jobs.candles(t, 3600), scratch(s, "live-bars"))
+    now = state.last_version(rows.select("pool_id", "open_time", "open", "high", "low", "close", "volume", "count", "batch"), ["pool_id", "open_time"])
+    return now.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume")})
+
+
+def w6_stream_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Trades of a stream without their replays."""
+    rows = state.drained(_halves(view(s, d, "trades")), jobs.dedup, scratch(s, "deduped"), "append")
+    return rows.select("tx_hash", "log_index", "pool_id", "ts", "price", "quantity")
+
+
+def a9_event_types(s: SparkSession, d: str) -> DataFrame:
+    """Counts of the event types by batches of blocks, with their summary."""
+    logs = view(s, d, "raw_wide").withColumn("event_type", decode.label(F.col("topic0"), decode.SIGNATURES))
+    return decode.event_counts(logs, F.floor(F.col("block_number") / tables.BUCKET_BLOCKS), list(decode.EVENTS))
+
+
 def w2_late_bars(s: SparkSession, d: str) -> DataFrame:
     """Hourly bars when trades of 90 and more come with the second half, later than the grace."""
     rows, path = view(s, d, "trades"), scratch(s, "late-bars")
@@ -225,7 +261,7 @@ def n3_quarantine(s: SparkSession, d: str) -> DataFrame:
     return decode.lost(raw).select("event_type", "log_index", "data").unionByName(left)
 
 
-_ALL = (s1_log_scan, s1_log_scan_range, g9_candles_by_interval, t10_candles_window, s4_live_logs, w2_late_bars, w4_order_state, w5_balance_state, w7_debounced, w8_current_bars, w9_feed_metrics, v3_refolded, r7_gap_ledger, d1_signatures, n1_wide_amounts, n2_wide_balances, n3_quarantine)
+_ALL = (g8_table_sinks, w1_live_bars, w6_stream_dedup, a9_event_types, s1_log_scan, s1_log_scan_range, g9_candles_by_interval, t10_candles_window, s4_live_logs, w2_late_bars, w4_order_state, w5_balance_state, w7_debounced, w8_current_bars, w9_feed_metrics, v3_refolded, r7_gap_ledger, d1_signatures, n1_wide_amounts, n2_wide_balances, n3_quarantine)
 
 
 def queries() -> dict:
@@ -256,6 +292,10 @@ fin as (select "user", token_id, list_reduce(list(x order by seq, sub), lambda p
     return {
         "s1_log_scan": f"{raw} select address, block_number, log_index, tx_hash from fx_raw_matched where address in ('ob_1', 'ob_2')",
         "s1_log_scan_range": f"{raw} select address, block_number, log_index, tx_hash from fx_raw_matched where block_number >= (select (min(block_number) + max(block_number)) // 2 from fx_raw_matched)",
+        "g8_table_sinks": o._trades("select 'trades' as \"table\", tx_hash || '_' || log_index as id, cast(price as varchar) as value from t union all select 'last_price', pool_id, cast(arg_max(price, block_number * 1048576 + log_index) as varchar) from t group by pool_id"),
+        "w1_live_bars": o._candles("select pool_id, open_time, open, high, low, close, volume, count from bars", "interval = '1h'"),
+        "w6_stream_dedup": o._trades("select tx_hash, log_index, pool_id, ts, price, quantity from t"),
+        "a9_event_types": f"with {o._EV}, x as (select block_number // 10000 as batch, {named} as e from ev), c as (select batch, count(*) as total, " + ", ".join(f"count(*) filter (e = '{k}') as \"{k}\"" for k in o._TYPES) + " from x group by 1) select *, coalesce(nullif(concat_ws(' ', " + ", ".join(f"case when \"{k}\" > 0 then '{k}:' || \"{k}\" end" for k in o._TYPES) + "), ''), 'none') as summary from c",
         "g9_candles_by_interval": o._candles("select interval, count(*) as rows from bars group by 1"),
         "t10_candles_window": o._candles("select pool_id, open_time, open, close, volume from bars where open_time >= (select (min(ts) + max(ts)) // 2 from t)", "interval = '1m'"),
         "s4_live_logs": f"""with {o._EV}, x as (select *, log_index % 50 = 7 as cut, t in (1, 2, 5, 6, 7, 8, 9, 10) and log_index % 97 = 0 as lost from ev)

@@ -38,6 +38,33 @@ def test_write_tables(spark, tmp_path):
     assert list((tmp_path / "out" / "candles" / "batch=0").glob("interval=1d"))
 
 
+def test_compaction(spark, tmp_path):
+    rows, path = view(spark, D, "trades"), str(tmp_path / "out")
+    sink = sinks.write_tables(path, TABLES)
+    for number in range(3):
+        sink(rows.where(f"log_index % 3 = {number} or log_index % 7 = 0"), number)
+    read = lambda: {name: sorted(map(str, _read(spark, path, name).drop("batch").collect())) for name in TABLES}
+    batches = lambda name: sorted(p.name for p in (tmp_path / "out" / name).glob("batch=*"))
+    schemas = {name: spark.read.parquet(f"{path}/{name}").drop("batch").schema for name in TABLES}
+    before = read()
+    for name, table in TABLES.items():
+        sinks.compact(spark, path, name, table, schemas[name])
+        assert batches(name) == ["batch=1", "batch=2"]
+    assert read() == before
+    sink(rows.where("log_index % 3 = 2 or log_index % 7 = 0"), 2)  # the newest batch may be repeated
+    assert read() == before
+    # Changes that were cut short: one before its rows were complete, one before the batches were gone.
+    for complete in (False, True):
+        for name, table in TABLES.items():
+            half = sinks._latest(sinks.stored(spark, f"{path}/{name}", schemas[name]).where("batch <= 1").drop("batch"), table)
+            half.write.partitionBy(*table.by).parquet(f"{path}/{name}/_compact-1")
+            if not complete:
+                (tmp_path / "out" / name / "_compact-1" / "_SUCCESS").unlink()
+            sinks.compact(spark, path, name, table, schemas[name])
+            assert batches(name) == ["batch=1", "batch=2"]
+        assert read() == before
+
+
 def test_stream_to_several_sinks(spark, tmp_path):
     rows = view(spark, D, "trades")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
