@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orderflow.functions.scalars import INTERVALS, amount_of, bucket_open, ident, seq_of
+from orderflow.functions.scalars import AMOUNT, INTERVALS, amount_of, bucket_open, ident, seq_of
 
 
 def dedup(trades: DataFrame) -> DataFrame:
@@ -15,9 +16,25 @@ def dedup(trades: DataFrame) -> DataFrame:
     return trades.groupBy("tx_hash", "log_index").agg(F.min(F.struct("block_number", *[c for c in rest if c != "block_number"])).alias("t")).select("tx_hash", "log_index", "t.*").select(trades.columns)
 
 
+def _wide(rows: DataFrame, *columns: str) -> bool:
+    """Whether some of the columns are amounts of 38 digits, whose arithmetic can leave their type."""
+    return any(isinstance(rows.schema[c].dataType, T.DecimalType) for c in columns)
+
+
+def _quote(trades: DataFrame) -> Column:
+    return F.try_multiply(amount_of("price"), amount_of("quantity")) if _wide(trades, "price", "quantity") else F.col("price") * F.col("quantity")
+
+
+def unfit(trades: DataFrame) -> DataFrame:
+    """Trades whose quote value needs more than 38 digits; they are in no candle."""
+    return trades.where(_quote(trades).isNull()) if _wide(trades, "price", "quantity") else trades.limit(0)
+
+
 def candle_input(trades: DataFrame) -> DataFrame:
     """Trades with price and quantity other than 0, with quote value and taker side."""
-    return trades.where("price <> 0 and quantity <> 0").select("chain_id", "pool_id", "ts", "price", F.col("quantity").alias("base_quantity"), (F.col("price") * F.col("quantity")).alias("quote_value"), (F.col("taker_side") == "BUY").alias("is_taker_buy"), seq_of(F.col("block_number"), F.col("log_index")).alias("seq"))
+    fits = trades.where("price <> 0 and quantity <> 0")
+    fits = fits.where(_quote(trades).isNotNull()) if _wide(trades, "price", "quantity") else fits
+    return fits.select("chain_id", "pool_id", "ts", "price", F.col("quantity").alias("base_quantity"), _quote(trades).alias("quote_value"), (F.col("taker_side") == "BUY").alias("is_taker_buy"), seq_of(F.col("block_number"), F.col("log_index")).alias("seq"))
 
 
 _SUMS = ("volume", "quote_volume", "count", "taker_buy_base_volume", "taker_buy_quote_volume")
@@ -26,16 +43,23 @@ _SUMS = ("volume", "quote_volume", "count", "taker_buy_base_volume", "taker_buy_
 def partial_bars(trades: DataFrame, **opens: Column) -> DataFrame:
     """Bars of some trades, with what is needed to compose them: the keys of first and last trade, exact sums."""
     taker = lambda c: F.sum(F.when(F.col("is_taker_buy"), F.col(c)).otherwise(0))
+    if _wide(trades, "base_quantity", "quote_value"):
+        amounts = {c: amount_of(c) for c in ("base_quantity", "quote_value")}
+        sums = [F.try_sum(a).alias(n) for n, a in zip(("volume", "quote_volume"), amounts.values(), strict=True)]
+        taker = lambda c: F.try_sum(F.when(F.col("is_taker_buy"), amounts[c]).otherwise(F.lit(0).cast(AMOUNT)))
+    else:
+        sums = [F.sum("base_quantity").alias("volume"), F.sum("quote_value").alias("quote_volume")]
     return trades.groupBy("chain_id", "pool_id", *[v.alias(k) for k, v in opens.items()]).agg(
         F.min("seq").alias("k0"), F.max("seq").alias("k1"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
-        F.sum("base_quantity").alias("volume"), F.sum("quote_value").alias("quote_volume"), F.count("*").alias("count"), taker("base_quantity").alias("taker_buy_base_volume"), taker("quote_value").alias("taker_buy_quote_volume"),
+        *sums, F.count("*").alias("count"), taker("base_quantity").alias("taker_buy_base_volume"), taker("quote_value").alias("taker_buy_quote_volume"),
     )
 
 
 def rolled(finer: DataFrame) -> DataFrame:
-    """Partial bars of the same bucket as one."""
+    """Partial bars of the same bucket as one. A sum that left 38 digits stays null."""
+    total = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.try_sum(c)) if _wide(finer, c) else F.sum(c)
     return finer.groupBy("chain_id", "pool_id", "interval", "open_time").agg(
-        F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min_by("open", "k0").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "k1").alias("close"), *[F.sum(c).alias(c) for c in _SUMS]
+        F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min_by("open", "k0").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "k1").alias("close"), *[total(c).alias(c) for c in _SUMS]
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import ident, seq_of
+from orderflow.functions.scalars import bucket_open, ident, seq_of
 from orderflow.operators import backfill, balances, decode, reconcile, sinks, trades
 from orderflow.plans import oracle
 from orderflow.sources import tables
@@ -261,7 +261,16 @@ def n3_quarantine(s: SparkSession, d: str) -> DataFrame:
     return decode.lost(raw).select("event_type", "log_index", "data").unionByName(left)
 
 
-_ALL = (g8_table_sinks, w1_live_bars, w6_stream_dedup, a9_event_types, s1_log_scan, s1_log_scan_range, g9_candles_by_interval, t10_candles_window, s4_live_logs, w2_late_bars, w4_order_state, w5_balance_state, w7_debounced, w8_current_bars, w9_feed_metrics, v3_refolded, r7_gap_ledger, d1_signatures, n1_wide_amounts, n2_wide_balances, n3_quarantine)
+def n4_wide_bars(s: SparkSession, d: str) -> DataFrame:
+    """Daily bars of matches whose prices are beyond 64 bits, as exact numbers."""
+    found = decode.with_pool(decode.decode(_wide_logs(s, d).where(F.col("topic0") == decode.SIGNATURES["OrderMatched"]), "OrderMatched").where("not overflow"), view(s, d, "pools"))
+    t = found.select("chain_id", "pool_id", "tx_hash", "log_index", "block_number", F.col("timestamp").alias("ts"), F.col("execution_price").alias("price"), F.col("executed_quantity").alias("quantity"), F.col("side").alias("taker_side"))
+    bars = trades.partial_bars(trades.candle_input(trades.dedup(t)), open_time=bucket_open(F.col("ts"), 86400))
+    names = ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume")
+    return _text(bars.select("pool_id", "open_time", *names, "count"), *names)
+
+
+_ALL = (n4_wide_bars, g8_table_sinks, w1_live_bars, w6_stream_dedup, a9_event_types, s1_log_scan, s1_log_scan_range, g9_candles_by_interval, t10_candles_window, s4_live_logs, w2_late_bars, w4_order_state, w5_balance_state, w7_debounced, w8_current_bars, w9_feed_metrics, v3_refolded, r7_gap_ledger, d1_signatures, n1_wide_amounts, n2_wide_balances, n3_quarantine)
 
 
 def queries() -> dict:
@@ -320,5 +329,7 @@ select part, cast(cycle as bigint) as cycle, min(block_number) as from_block, ma
         "d1_signatures": f"with {o._EV} select address, log_index, coalesce({named}, 'Unknown') as event_type from ev",
         "n1_wide_amounts": f"with {o._EV} select log_index, {named} as event_type, {amount} as amount, log_index % 97 = 0 as overflow from ev where t in (1, 2, 5, 6, 7, 8, 9, 10)",
         "n2_wide_balances": f"with {o._EV}, {fits}, {moves} select \"user\", token_id, {text('available', 'locked')}, cast(available + locked as varchar) as total from fin",
+        "n4_wide_bars": f"""{duck('pools')}, {o._EV}, m as (select pool_id, sec - sec % 86400 as open_time, {wide} as p, k as q, {wide} * k as v, case when w4 = 0 then k else 0 end as tq, case when w4 = 0 then {wide} * k else 0 end as tv, block_number * 1048576 + log_index as s from ev join fx_pools on order_book = address where t = 2 and log_index % 97 <> 0 and k <> 0 and w6 <> 0)
+select pool_id, open_time, cast(arg_min(p, s) as varchar) as open, cast(max(p) as varchar) as high, cast(min(p) as varchar) as low, cast(arg_max(p, s) as varchar) as close, cast(sum(q) as varchar) as volume, cast(sum(v) as varchar) as quote_volume, cast(sum(tq) as varchar) as taker_buy_base_volume, cast(sum(tv) as varchar) as taker_buy_quote_volume, count(*) as count from m group by pool_id, open_time""",
         "n3_quarantine": f"{duck('raw_wide')}, {o._EV} select {named} as event_type, ev.log_index, data from ev join fx_raw_wide r on r.log_index = ev.log_index where t in (1, 2, 5, 6, 7, 8, 9, 10) and ev.log_index % 97 = 0",
     }

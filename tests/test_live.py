@@ -218,6 +218,9 @@ def test_amounts_beyond_64_bits_and_38_digits(spark):
     assert int(added.first().v) == 2**63
     t = spark.createDataFrame([(1, "p", "x", i, 1, 1, 10**12, 10**12, "BUY", 1, 2) for i in range(2)], "chain_id int, pool_id string, tx_hash string, log_index bigint, block_number bigint, ts bigint, price bigint, quantity bigint, taker_side string, buy_order_id bigint, sell_order_id bigint")
     assert {int(r.total_filled_value) for r in trades.filled_value(t).collect()} == {2 * 10**24}
+    wide = t.withColumns({"price": F.col("price").cast("decimal(38,0)") * 10**12, "quantity": F.when(F.col("log_index") == 1, F.lit("9" * 38).cast("decimal(38,0)")).otherwise(F.col("quantity").cast("decimal(38,0)"))})
+    (bar,) = trades.candles_all(wide).where("interval = '1h'").collect()  # the second trade's value does not fit
+    assert (bar["count"], bar.quote_volume, bar.average) == (1, 1e36, 1e24) and [r.log_index for r in trades.unfit(wide).collect()] == [1] and trades.unfit(t).count() == 0
     total = spark.range(1).select(sat_add(F.lit(str(MOST)), F.lit("5")).alias("a"), sat_add(F.lit("2"), F.lit("5")).alias("b")).first()
     assert (int(total.a), int(total.b)) == (MOST, 7)
 
