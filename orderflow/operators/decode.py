@@ -54,21 +54,32 @@ def relevant(logs: DataFrame, pools: DataFrame, *, manager: str, balances: str,
     return own.unionByName(book.select(own.columns))
 
 
+_KEYS = ["address", "block_number", "log_index", "tx_hash", "data"]
+_FITS = {"u64": fits_uint64, "u256": fits_uint256}
+_MAKE = {"u64": uint64, "u256": uint256, "address": address, "hex": lambda x: F.concat(F.lit("0x"), x), "side": lambda x: side(uint64(x)), "status": lambda x: status(uint64(x)), "bool": lambda x: uint64(x) != 0, "cancelled": lambda x: F.lit("CANCELLED")}
+
+
+def _word(at: str | int) -> Column:
+    """Topics are bare words; data words follow "0x"."""
+    return F.lpad(F.regexp_replace(F.col(at), "^0x", ""), 64, "0") if isinstance(at, str) else word(F.col("data"), at)
+
+
+def _overflows(numbers: list[tuple[str, Column]]) -> Column:
+    """Whether one of the words (kind, word) that are there does not fit its kind."""
+    out = F.lit(False)
+    for kind, w in numbers:
+        out = out | (~_FITS[kind](w) & (w != ""))
+    return out
+
+
 def decode(logs: DataFrame, event: str) -> DataFrame:
     """The event's fields beside the log's keys. A number that does not fit stays null, and `overflow`
     says so (the raw data is kept for the quarantine). Words are cut first; `overflow` is told from their
     digits, so that a filter by it does not make the numbers."""
-    keys, fields = ["address", "block_number", "log_index", "tx_hash", "data"], EVENTS[event]
-    # Topics are bare words; data words follow "0x".
-    words = {f"__{name}": F.lpad(F.regexp_replace(F.col(at), "^0x", ""), 64, "0") if isinstance(at, str) else word(F.col("data"), at) for name, (at, _) in fields.items()}
-    make = {"u64": uint64, "u256": uint256, "address": address, "hex": lambda x: F.concat(F.lit("0x"), x), "side": lambda x: side(uint64(x)), "status": lambda x: status(uint64(x)), "bool": lambda x: uint64(x) != 0, "cancelled": lambda x: F.lit("CANCELLED")}
-    fits = {"u64": fits_uint64, "u256": fits_uint256}
-    cut = logs.select(*keys, *[w.alias(k) for k, w in words.items()])
-    lost = F.lit(False)
-    for name, (_, kind) in fields.items():
-        if kind in fits:
-            lost = lost | (~fits[kind](F.col(f"__{name}")) & (F.col(f"__{name}") != ""))
-    return cut.select(*keys, *[make[kind](F.col(f"__{name}")).alias(name) for name, (_, kind) in fields.items()], lost.alias("overflow"))
+    fields = EVENTS[event]
+    cut = logs.select(*_KEYS, *[_word(at).alias(f"__{name}") for name, (at, _) in fields.items()])
+    overflow = _overflows([(kind, F.col(f"__{name}")) for name, (_, kind) in fields.items() if kind in _FITS])
+    return cut.select(*_KEYS, *[_MAKE[kind](F.col(f"__{name}")).alias(name) for name, (_, kind) in fields.items()], overflow.alias("overflow"))
 
 
 def decode_all(logs: DataFrame, signatures: dict[str, str]) -> dict[str, DataFrame]:
@@ -95,12 +106,11 @@ def balance_events(logs: DataFrame, signatures: dict[str, str] = SIGNATURES) ->
 
 
 def lost(logs: DataFrame, signatures: dict[str, str] = SIGNATURES) -> DataFrame:
-    """The logs of all event types with a number that does not fit, with their raw data."""
-    out = None
+    """The logs of all event types with a number that does not fit, with their raw data, in one scan."""
+    bad = F.lit(False)
     for event, signature in signatures.items():
-        rows = quarantine(decode(logs.where(F.col("topic0") == signature), event)).withColumn("event_type", F.lit(event))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        bad = F.when(F.col("topic0") == signature, _overflows([(kind, _word(at)) for at, kind in EVENTS[event].values() if kind in _FITS])).otherwise(bad)
+    return logs.where(bad).select(*_KEYS, label(F.col("topic0"), signatures).alias("event_type"))
 
 
 def quarantine(decoded: DataFrame) -> DataFrame:

@@ -58,11 +58,8 @@ def routed(signatures: dict[str, str]) -> dict[str, sinks.Table]:
     def quarantined(batch: DataFrame) -> DataFrame:
         bad = batch.where("_corrupt_record is not null").select(F.lit("corrupt").alias("reason"), F.sha2("_corrupt_record", 256).alias("id"), F.col("_corrupt_record").alias("raw"))
         rest = good(batch).where(F.col("topic0").isNull() | ~F.col("topic0").isin(*known))
-        out = bad.unionByName(rest.select(F.lit("unknown").alias("reason"), ident("tx_hash", "log_index").alias("id"), F.col("data").alias("raw")))
-        for name, signature in signatures.items():
-            lost = decode.quarantine(decode.decode(good(batch).where(F.col("topic0") == signature), name))
-            out = out.unionByName(lost.select(F.lit("overflow").alias("reason"), ident("tx_hash", "log_index").alias("id"), F.col("data").alias("raw")))
-        return out
+        kept = lambda reason, rows: rows.select(F.lit(reason).alias("reason"), ident("tx_hash", "log_index").alias("id"), F.col("data").alias("raw"))
+        return bad.unionByName(kept("unknown", rest)).unionByName(kept("overflow", decode.lost(good(batch), signatures)))
 
     key = ["tx_hash", "log_index"]
     return {
