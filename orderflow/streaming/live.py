@@ -173,8 +173,14 @@ def run_to_end(writer: DataStreamWriter) -> None:
 
 
 def arriving(parts: list[DataFrame], path: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
-    """Runs a writer over a table that arrives in parts, started again for each from its checkpoint."""
+    """Runs a writer over a table that arrives in parts, started again for each from its checkpoint. State
+    is dealt over no more partitions than there are cores (the number is fixed by the first start)."""
     spark, schema = parts[0].sparkSession, parts[0].schema
+    many = spark.conf.get("spark.sql.shuffle.partitions")
     for part in parts:
         part.write.mode("append").parquet(f"{path}/in")
-        run_to_end(start(spark.readStream.schema(schema).parquet(f"{path}/in")).option("checkpointLocation", f"{path}/checkpoint"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(many), max(8, spark.sparkContext.defaultParallelism))))
+        try:
+            run_to_end(start(spark.readStream.schema(schema).parquet(f"{path}/in")).option("checkpointLocation", f"{path}/checkpoint"))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", many)
