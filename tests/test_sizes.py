@@ -1,11 +1,12 @@
 """What larger tables bring: keys beyond those of the small ones, and steps that may not grow faster than their input."""
 
+import random
 import shutil
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
+from orderflow.operators import ranges
 from orderflow.plans import catalogue, oracle
 
 D = "/root/testdata/sf0.001"
@@ -33,3 +34,27 @@ def same_as_sql(got, d, sql):
 
 def test_bars_are_split_by_log_index_beyond_20_bits(spark, shifted):
     same_as_sql(catalogue.queries()["g6_candle_merge"](spark, shifted), shifted, oracle.oracle_sql()["g6_candle_merge"])
+
+
+def test_open_gaps_send_the_feeds_alone(spark):
+    plan = catalogue.queries()["r7_open_gaps"](spark, D)._jdf.queryExecution().sparkPlan().toString()
+    sent = [line for line in plan.split("\n") if "BroadcastNestedLoopJoin" in line]
+    assert sent and all("BuildRight" in line for line in sent)
+    # The right side of each such join, which is sent, has the names of the feeds.
+    lines = plan.split("\n")
+    for at in (k for k, line in enumerate(lines) if "BroadcastNestedLoopJoin" in line):
+        depth = next(c for c, x in enumerate(lines[at]) if x.isalpha() or x == "*")
+        right = next(line for line in lines[at + 1 :] if line[depth : depth + 2] == "+-")
+        assert "from_block" not in right and "feed" in right, right
+
+
+def test_subtraction_over_many_buckets(spark):
+    pick = random.Random(5)
+    made = lambda n, most: [(f"f{pick.randrange(3)}", a := pick.randrange(200), a + pick.randrange(most)) for _ in range(n)]
+    for own, taken in ((made(40, 30), made(15, 12)), (made(6, 90), made(40, 4)), ([("f0", 0, 199)], []), ([("f0", 3, 9)], [("f1", 0, 99)])):
+        frame = lambda rows: spark.createDataFrame(rows, "feed string, from_block bigint, to_block bigint")
+        got = ranges.subtract(frame(own), frame(taken), 10, 180, bucket_blocks=7).collect()
+        cover = lambda rows: {(f, b) for f, a, z in rows for b in range(a, z + 1)}
+        want = {(f, b) for f, b in cover(own) - cover(taken) if 10 <= b <= 180}
+        assert cover(got) == want
+        assert len(got) == sum((f, b - 1) not in want for f, b in want)
