@@ -49,17 +49,24 @@ class Store:
     def run_cycle(self, cycle: int, *sources: DataFrame, known: DataFrame | None = None) -> None:
         """Compares, fills and records. `known` is what is known to exist where that is more than the
         configured sources can give; what they can't stays an open gap."""
-        held = self.logs()
         # Logs without a content id cannot be compared, and are never missing.
-        bulk = reduce(reconcile.union_sources, [s.select(self.schema.fieldNames()).where("content_id is not null") for s in sources])
-        missing = reconcile.missing(bulk, held).select(self.schema.fieldNames())
-        missing.write.mode("overwrite").parquet(f"{self.path}/logs/batch={cycle}")
-        came = self.spark.read.schema(self.schema).parquet(f"{self.path}/logs/batch={cycle}")
-        wanted = came if known is None else reconcile.missing(known.where("content_id is not null").select("content_id", "block_number"), self.logs()).unionByName(came.select("content_id", "block_number"))
+        known_ids = lambda until: self._part("logs", self.schema).where(F.col("content_id").isNotNull() & (F.col("batch") <= until)).select("content_id")
+        rest = [f for f in self.schema.fieldNames() if f != "content_id"]
+        # What is missing first, by ids alone; only of these rows one for each id is chosen, of the first source that has it.
+        offered = reduce(DataFrame.unionByName, [s.select(self.schema.fieldNames()).where("content_id is not null").withColumn("__rank", F.lit(i)) for i, s in enumerate(sources)])
+        missing = reconcile.missing(offered, known_ids(cycle - 1)).groupBy("content_id").agg(F.min(F.struct("__rank", *rest)).alias("r")).select("content_id", *[f"r.{c}" for c in rest])
+        missing.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/logs/batch={cycle}")
+        came = self.spark.read.schema(self.schema).parquet(f"{self.path}/logs/batch={cycle}").select("block_number").distinct()
+        if known is None:
+            wanted, filled = came, came
+        else:
+            # What no configured source could give. A block is filled when nothing of it is missing any more.
+            at = f"{self.path}/left/batch={cycle}"
+            reconcile.missing(known.where("content_id is not null").select("content_id", "block_number"), known_ids(cycle)).select("block_number").distinct().write.mode("overwrite").parquet(at)
+            left = self.spark.read.schema(came.schema).parquet(at)
+            wanted, filled = came.unionByName(left), came.join(left, "block_number", "left_anti")
         block_ranges(wanted, self.feed).write.mode("overwrite").parquet(f"{self.path}/recorded/batch={cycle}")
-        # A block is filled when nothing of it is missing any more.
-        left = wanted.select("content_id", "block_number").join(self.logs().select("content_id"), "content_id", "left_anti").select("block_number").distinct()
-        block_ranges(came.select("block_number").distinct().join(left, "block_number", "left_anti"), self.feed).write.mode("overwrite").parquet(f"{self.path}/filled/batch={cycle}")
+        block_ranges(filled, self.feed).write.mode("overwrite").parquet(f"{self.path}/filled/batch={cycle}")
 
     def recorded(self, until: int | None = None) -> DataFrame:
         """Ranges with the first cycle that recorded them."""

@@ -6,7 +6,7 @@ import shutil
 import duckdb
 import pytest
 
-from orderflow.operators import ranges
+from orderflow.operators import backfill, ranges
 from orderflow.plans import catalogue, oracle
 
 D = "/root/testdata/sf0.001"
@@ -58,3 +58,18 @@ def test_subtraction_over_many_buckets(spark):
         want = {(f, b) for f, b in cover(own) - cover(taken) if 10 <= b <= 180}
         assert cover(got) == want
         assert len(got) == sum((f, b - 1) not in want for f, b in want)
+
+
+def test_back_fill_cycle_replaces_itself_and_sorts_what_is_missing_alone(spark, tmp_path):
+    made = lambda *n: spark.createDataFrame([(f"c{i}", i // 2, i) for i in n], "content_id string, block_number bigint, log_index bigint")
+    store = backfill.Store(spark, str(tmp_path / "s"), made(0).schema)
+    store.add(made(*range(0, 40, 2)))
+    known = made(*range(40)).select("content_id", "block_number")
+    ranges_of = lambda rows: sorted((r.batch, r.from_block, r.to_block) for r in rows.collect())
+    for _ in range(2):
+        store.run_cycle(1, made(*range(0, 40, 3)), known=known)
+        store.run_cycle(2, made(*range(0, 40, 3)), made(*range(40)))
+    assert sorted(r.log_index for r in store.logs().collect()) == list(range(40))
+    assert ranges_of(store.filled()) == [(1, b, b) for b in (1, 4, 7, 10, 13, 16, 19)] + [(2, a, b) for a, b in ((0, 0), (2, 3), (5, 6), (8, 9), (11, 12), (14, 15), (17, 18))]
+    assert sorted((r.from_block, r.to_block) for r in store.open_gaps(1).collect()) == [(0, 0), (2, 3), (5, 6), (8, 9), (11, 12), (14, 15), (17, 18)]
+    assert store.open_gaps().count() == 0
