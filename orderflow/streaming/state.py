@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -44,31 +45,36 @@ class KeyedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("fold", self.schema)
 
-    def _event(self, row: Any) -> dict:
-        return dict(zip(self.names, row, strict=True))
-
-    def _place(self, event: dict) -> tuple:
-        return tuple(event[o] for o in self.order)
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        k, n = len(self.start), len(self.order)
-        value = self.held.get() if self.held.exists() else None
+        k, n, names = len(self.start), len(self.order), self.names
+        # Events are tuples of `names`: a key may hold many.
+        place, row = itemgetter(*[names.index(o) for o in self.order], names.index(self.order[0])), Row(*self.made)
+        at, ms, mark = None, names.index("event_ms"), timerValues.getCurrentWatermarkInMs()
+        value = self.held.get()
         state, last, pending = (tuple(value[:k]), tuple(value[k : k + n]), value[k + n]) if value else (self.start, (-1,) * n, [])
-        held = {self._place(e): e for e in map(self._event, pending or [])}
-        new = [e for e in ({c: r[c] for c in self.names} for r in rows) if self._place(e) > last and self._place(e) not in held]
-        held |= {self._place(e): e for e in new}
-        first, mark, keep = min(map(self._place, new), default=None), timerValues.getCurrentWatermarkInMs(), []
-        folded, closed = state, True
-        for place in sorted(held):
-            folded, out = self.step(folded, held[place])
+        held = {place(e): e for e in map(tuple, pending or [])}
+        first, done = None, (*last, last[0])
+        for r in rows:
+            at = at or itemgetter(*(map(r.__fields__.index, names) if isinstance(r, Row) else names))
+            e = at(r)
+            p = place(e)
+            if p > done and p not in held:
+                held[p] = e
+                first = p if first is None or p < first else first
+        keep, folded, closed, step = [], state, True, self.step
+        for p in sorted(held):
+            e = held[p]
             # The part up to the watermark becomes the state; what comes after the first later event stays an event.
-            closed = closed and held[place]["event_ms"] <= mark
+            closed = closed and e[ms] <= mark
+            if not closed:
+                keep.append(e)
+                if first is None:
+                    continue
+            folded, out = step(folded, dict(zip(names, e, strict=True)))
             if closed:
-                state, last = folded, place
-            else:
-                keep.append(tuple(held[place][c] for c in self.names))
-            if out is not None and first is not None and place >= first:
-                yield Row(**dict(zip(self.made, out, strict=True)))
+                state, last = folded, p[:n]
+            if out is not None and first is not None and p >= first:
+                yield row(*out)
         self.held.update((*state, *last, keep))
 
     def close(self) -> None:
@@ -107,8 +113,11 @@ def _order_step(state: tuple, event: dict) -> tuple[tuple, tuple | None]:
     return (segment, whole(filled), status, *placed), row
 
 
+_LIMIT = 10**MAX_DECIMAL
+
+
 def _amount(value: Any) -> Decimal | None:
-    return None if value is None or abs(int(value)) >= 10**MAX_DECIMAL else Decimal(int(value))
+    return None if value is None or abs(whole := int(value)) >= _LIMIT else Decimal(whole)
 
 
 def order_fold(events: DataFrame, grace: str = GRACE) -> DataFrame:
@@ -157,20 +166,20 @@ class Debounce(StatefulProcessor):
         self.handle, self.held = handle, handle.getValueState("burst", self.schema)
 
     def _advance(self, key: Any, new: list[tuple], mark: int) -> Iterator[Row]:
-        first, last, events, data, pending = self.held.get() if self.held.exists() else (None, None, 0, None, [])
-        waiting = sorted({*map(tuple, pending or []), *new})
+        first, last, events, data, pending = self.held.get() or (None, None, 0, None, [])
+        waiting, at = sorted({*map(tuple, pending or []), *new}), 0
         timers = set(self.handle.listTimers())
-        end = lambda: min(last + self.quiet, first + self.cap)
         while True:
-            at = waiting[0][0] if waiting and waiting[0][0] <= mark else None
-            if first is not None and end() <= (mark if at is None else at):
-                yield Row(channel=key[0], first_ms=first, sent_ms=end(), data=data, events=events)
+            due = at < len(waiting) and waiting[at][0] <= mark
+            if first is not None and (end := min(last + self.quiet, first + self.cap)) <= (waiting[at][0] if due else mark):
+                yield Row(channel=key[0], first_ms=first, sent_ms=end, data=data, events=events)
                 first, last, events, data = None, None, 0, None
-            elif at is not None:
-                ms, _, value = waiting.pop(0)
-                first, last, events, data = ms if first is None else first, ms, events + 1, value
+            elif due:
+                ms, _, value = waiting[at]
+                first, last, events, data, at = ms if first is None else first, ms, events + 1, value, at + 1
             else:
                 break
+        waiting = waiting[at:]
         wanted = {last + self.quiet, first + self.cap} if first is not None else {waiting[0][0]} if waiting else set()
         for t in timers - wanted:
             self.handle.deleteTimer(t)

@@ -2,12 +2,14 @@
 
 import random
 import shutil
+import time
 
 import duckdb
 import pytest
 
 from orderflow.operators import backfill, ranges
 from orderflow.plans import catalogue, oracle
+from orderflow.streaming import state
 
 D = "/root/testdata/sf0.001"
 
@@ -73,3 +75,25 @@ def test_back_fill_cycle_replaces_itself_and_sorts_what_is_missing_alone(spark,
     assert ranges_of(store.filled()) == [(1, b, b) for b in (1, 4, 7, 10, 13, 16, 19)] + [(2, a, b) for a, b in ((0, 0), (2, 3), (5, 6), (8, 9), (11, 12), (14, 15), (17, 18))]
     assert sorted((r.from_block, r.to_block) for r in store.open_gaps(1).collect()) == [(0, 0), (2, 3), (5, 6), (8, 9), (11, 12), (14, 15), (17, 18)]
     assert store.open_gaps().count() == 0
+
+
+def test_debounce_takes_many_waiting_events_of_a_channel():
+    """300,000 events of one channel that the watermark closes at once: no step may move all that wait."""
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        exists, get = lambda self: self.value is not None, lambda self: self.value
+        clear = lambda self: setattr(self, "value", None)
+        update = lambda self, value: setattr(self, "value", value)
+        listTimers, registerTimer, deleteTimer = lambda self: [], lambda self, t: None, lambda self, t: None
+
+    job, many = state.Debounce(100, 500), 300_000
+    job.held = job.handle = Held()
+    events = [(i * 40 + (i // 50) * 1000, i, str(i)) for i in range(many)]
+    assert list(job._advance(("c",), events, -1)) == []
+    began = time.process_time()
+    rows = list(job._advance(("c",), [], events[-1][0] + 10_000))
+    assert time.process_time() - began < 5
+    assert sum(r.events for r in rows) == many and [r.first_ms for r in rows] == sorted(r.first_ms for r in rows) and job.held.value is None
