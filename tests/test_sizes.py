@@ -7,8 +7,9 @@ import time
 import duckdb
 import pytest
 
-from orderflow.operators import backfill, ranges
-from orderflow.plans import catalogue, oracle
+from orderflow.operators import backfill, balances, decode, ranges
+from orderflow.plans import catalogue, live, oracle
+from orderflow.sources.fixtures import view
 from orderflow.streaming import state
 
 D = "/root/testdata/sf0.001"
@@ -97,3 +98,27 @@ def test_debounce_takes_many_waiting_events_of_a_channel():
     rows = list(job._advance(("c",), [], events[-1][0] + 10_000))
     assert time.process_time() - began < 5
     assert sum(r.events for r in rows) == many and [r.first_ms for r in rows] == sorted(r.first_ms for r in rows) and job.held.value is None
+
+
+def test_quarantine_scans_the_logs_once_for_the_fold(spark):
+    plan = decode.balance_events(view(spark, D, "raw_wide"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_quarantine_folds_the_accounts_that_may_overflow(spark, tmp_path):
+    # Deposits of 5.4e18 * 2^64 to one account of user 1, in log order; user 2 gets one of them.
+    days = [(1, 5 + 7500 * k, f"2024-01-0{k + 1}") for k in range(4)] + [(2, 5, "2024-01-01")]
+    rows = ", ".join(f"({i}, timestamp '{day}', {user}, 'click', 5.4e16::double, '{{\"k\": 3}}')" for user, i, day in days)
+    duckdb.execute(f"copy (select * from (values {rows}) v(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet' (format parquet)")
+    got = live.n3_quarantine(spark, str(tmp_path)).collect()
+    day = lambda k: (1704067200 + 86400 * k) // 12 * 2**20
+    assert sorted(tuple(r) for r in got) == [("balance", day(k) + 5 + 7500 * k, "") for k in (1, 2, 3)]
+    pick = random.Random(3)
+    amounts = [str(pick.choice((1, -1)) * pick.randrange(10 ** pick.choice((20, 37, 38)))) for _ in range(600)]
+    made = [(k, 0, f"u{k % 60}", "t", 0, "c", a, b) for k, (a, b) in enumerate(zip(amounts[::2], amounts[1::2], strict=True))]
+    changes = spark.createDataFrame(made, "seq bigint, sub int, user string, token_id string, ts bigint, change string, d_available string, d_locked string")
+    changes = changes.selectExpr("seq", "sub", "user", "token_id", "ts", "change", "cast(d_available as decimal(38,0)) as d_available", "cast(d_locked as decimal(38,0)) as d_locked")
+    found = lambda rows: sorted((r.user, r.seq) for r in balances.overflowed(balances.running(rows, 40)).collect())
+    some = balances.may_overflow(changes)
+    assert found(changes) == found(changes.join(some, ["user", "token_id"], "left_semi")) != []
+    assert 0 < some.count() < 60
