@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -302,6 +304,56 @@ def test_html_counts_what_the_tree_decides(spark):
     assert html_text.low_branches(pages).count() == 2  # the box, counted from the first and from the last
 
 
+def test_html_importance_is_composed_up_the_tree(spark):
+    """The importances of all nodes, and what is noise, are those of a plain recursion over the merged pages."""
+    pick = random.Random(8)
+    pages = []
+    for i in range(40):
+        items = "".join(f"<li>{'Home' if k else f'item {pick.randrange(6)}'}</li>" for k in range(pick.randrange(2, 5)))
+        deep = "<div>" * 9 + f"own {i} text" + "</div>" * 9
+        pages.append((f"h{i % 3}", f"<body>Hello<div class=a><ul>{items}</ul><p>Read <b>on</b></p></div><div class=b>{deep}</div><div class=c><p>Foot</p></div>" + "<p>x</p>" * pick.randrange(3)))
+    trees = {}
+    for host, page in {(h, p): 0 for h, p in pages}:
+        for _, node, up, share, look, _, words in html_text.Page(page).tree():
+            trees.setdefault(host, {}).setdefault(node, []).append((up, share, look, words))
+    want = {}
+    for host, tree in trees.items():
+        def composed(node):
+            rows, below = tree[node], [(n, r) for n, rs in tree.items() for r in rs if r[0] == node]
+            m, given = len(rows), {n: composed(n) for n in dict.fromkeys(n for n, _ in below)}
+            noise = all(given[n][1] for n in given)
+            if m < 3:
+                value = 1.0
+            elif rows[0][3]:
+                seen = Counter(w for r in rows for w in r[3])
+                value = 1 - sum(math.log(c, m) for c in seen.values()) / len(seen)
+            else:
+                kinds = Counter(r[2] for r in rows)
+                entropy, left = -sum(c / m * math.log(c / m, m) for c in kinds.values()), 0.9 ** len(kinds)
+                value = (1 - left) * entropy + left * sum(r[1] * given[n][0] for n, r in below) / m
+            want[host, node] = value, noise and value < 0.2
+            return want[host, node]
+
+        for root in {n for n, rows in tree.items() if rows[0][0] is None}:
+            composed(root)
+    found = html_text.importance(html_text.style_nodes(spark.createDataFrame(pages, "host string, html string")))
+    got = {(r.host, r.node): (r.importance, r.noise) for r in found.collect()}
+    assert set(got) <= set(want) and all(want[k][0] == 1 for k in set(want) - set(got))
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
+    assert {noise for _, noise in got.values()} == {True, False}
+
+
+def test_html_words_and_nodes_below_decide(spark):
+    # A box in four versions goes by its common words, a text that is alike on most pages stays for the others' sake.
+    box = "<body><div><p>own %d</p></div><div class=box>Share this page with all of your friends on %s</div>"
+    pages = [("http://a/%d" % i, box % (i, "wxyz"[i % 4])) for i in range(12)]
+    alike = "<body><div><p>%s</p></div><p>page %d</p>"
+    pages += [("http://b/%d" % i, alike % ("the same" if i < 38 else f"quite another text of page n{i}", i)) for i in range(40)]
+    texts = texts_of(spark, pages)
+    assert texts[:12] == [f"own {i}" for i in range(12)]
+    assert texts[12] == "the same\npage 0" and texts[-1] == "quite another text of page n39\npage 39"
+
+
 @pytest.mark.parametrize("page", ["<a " * 150_000 + "'", "<div>" * 40_000 + "</b>" * 20_000 + "</div>" * 40_000, "<b>" * 5 + "<div>" * 40_000 + "</b>" * 60_000, "<i>" * 60_000 + "<h1></h1>" * 20_000, "<aside>" * 30_000 + "<main></main>" * 20_000, "<a x='" * 90_000, "<" * 500_000, "<!--" * 120_000, "<p>" * 100_000, "<a " + " " * 500_000 + "=>"], ids=range(10))
 def test_html_of_long_malformed_pages(page):
     began = time.time()
